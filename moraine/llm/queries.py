@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, langid, mixing, packing, quality, topk
+from . import html_text, langid, mixing, near_dup, packing, quality, topk
 from .common import id_remainder, table
 
 
@@ -19,6 +19,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), length=4, percent=80)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
@@ -39,5 +43,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op6_topk, op5_language_id, op7_quality, op8_html_text, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op6_topk, op9_near_dup, op5_language_id, op7_quality, op8_html_text, op10_packing)}
 ORACLES: dict[str, str] = {}
