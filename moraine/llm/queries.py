@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, langid, mixing, near_dup, packing, quality, topk
+from . import html_text, langid, mixing, near_dup, packing, quality, substring_dup, topk
 from .common import id_remainder, table
 
 
@@ -15,6 +15,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_substring_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dup.clusters(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "n", "paragraph", "keeper_doc_id", "keeper_start", "kept")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -43,5 +48,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op6_topk, op9_near_dup, op5_language_id, op7_quality, op8_html_text, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_substring_dup, op6_topk, op9_near_dup, op5_language_id, op7_quality, op8_html_text, op10_packing)}
 ORACLES: dict[str, str] = {}
