@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, html_text, langid, mixing, near_dup, packing, quality, substring_dup, topk
+from . import fingerprints, html_text, katz, langid, mixing, near_dup, packing, quality, substring_dup, topk
 from .common import id_remainder, table
 
 
@@ -24,6 +24,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -52,5 +56,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_substring_dup, op3_fingerprints, op6_topk, op9_near_dup, op5_language_id, op7_quality, op8_html_text, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_substring_dup, op3_fingerprints, op4_katz, op6_topk, op9_near_dup, op5_language_id, op7_quality, op8_html_text, op10_packing)}
 ORACLES: dict[str, str] = {}
