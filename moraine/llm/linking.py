@@ -22,10 +22,10 @@ BLOCK_PAIRS = 2_000_000
 BROADCAST_IDS = 500_000
 
 
-def semi_join(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is among the (stored, distinct) ids, broadcast only if these are few."""
+def semi_join(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose key is among the (stored, distinct) ids, or with left_anti is not; broadcast only if these are few."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if small else ids, key, "left_semi")
+    return rows.join(F.broadcast(ids) if small else ids, key, how)
 
 
 def sizes_fit(a: str, b: str, percent: int) -> Column:

@@ -68,13 +68,14 @@ def apportion(rows: DataFrame, votes: Column, seats: Column, room: Column, withi
     return out.drop("_votes", "_seats", "_room", "_sum", "_n", "_sure", "_left", "_most", "_won")
 
 
-def mix(docs: DataFrame, weights: list[int] | None = None, repeats: int = 3, seed: int = 17, shard_words: int = SHARD_WORDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, text, size, source_size, target, taken, for every row of docs.
+def mix(docs: DataFrame, weights: list[int] | None = None, repeats: int = 3, seed: int = 17, shard_words: int = SHARD_WORDS, block: int = BLOCK, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, for every row of docs; with carry, the row itself as `row`.
 
     weights repeat over the sources in code-point order. The sum of all sizes is what the mix takes.
     """
     weights = weights or [5, 2, 1]
-    sized = docs.select("doc_id", "source", "text", words("text").alias("size"))
+    own = [F.struct(*docs.columns).alias("row")] if carry else []
+    sized = docs.select("doc_id", "source", words("text").alias("size"), F.xxhash64("text").alias("tie"), *own)
     sized = sized.withColumn("source_key", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")))
     sized = sized.withColumn("place", F.xxhash64(F.lit(seed), "doc_id"))
 
@@ -97,7 +98,7 @@ def mix(docs: DataFrame, weights: list[int] | None = None, repeats: int = 3, see
     shards = apportion(shards, F.col("length"), F.col("source_quota"), F.floor(F.col("length") * repeats / F.col("block")), ["source_key"], by)
     shards = shards.select(*by, "quota", "length")
 
-    order = Window.partitionBy(*by).orderBy("place", "doc_id", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*by).orderBy("place", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("begin", F.coalesce(F.sum("size").over(order), F.lit(0))).join(shards, by)
     run = F.col("quota") * F.col("block")
     rest = F.when(F.col("length") > 0, run % F.col("length")).otherwise(0)
@@ -105,14 +106,11 @@ def mix(docs: DataFrame, weights: list[int] | None = None, repeats: int = 3, see
     end = F.col("begin") + F.col("size")
     inside = lambda shift: F.greatest(F.lit(0), F.least(end, first + rest - shift) - F.greatest(F.col("begin"), first - shift))
     taken = F.when(F.col("length") > 0, F.floor(run / F.col("length")) * F.col("size")).otherwise(0) + inside(F.lit(0)) + inside(F.col("length"))
-    return rows.select("doc_id", "source", "text", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["row"] if carry else []))
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """The columns of documents, each row as many times as the mix takes it whole; a part of half or more counts as whole."""
-    mixed = mix(docs, **how)
     times = F.when(F.col("size") > 0, F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2))).otherwise(0).cast("int")
-    counts = mixed.select(F.col("doc_id").alias("_id"), F.xxhash64("text", "source").alias("_h"), times.alias("_times"))
-    counts = counts.groupBy("_id", "_h").agg(F.max("_times").alias("_times"))
-    rows = docs.join(counts, docs["doc_id"].eqNullSafe(counts["_id"]) & (F.xxhash64(docs["text"], docs["source"]) == counts["_h"]))
-    return rows.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    mixed = mix(docs, carry=True, **how).select("row", times.alias("times")).where("times > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

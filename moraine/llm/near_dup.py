@@ -120,3 +120,10 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80) -> Data
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """docs without the documents that are near-duplicates of one with a smaller id in their component; null ids stay."""
+    found = near_duplicates(docs, **how).where(F.col("doc_id").isNotNull())
+    gone = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "gone")
+    return semi_join(docs, gone, "doc_id", "left_anti").select(*docs.columns)

@@ -110,3 +110,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> np.ndarr
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs with score and predicted (1 if score >= threshold, else 0)."""
     return score(docs, train(docs, labels)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject, with all their columns as they were."""
+    clash = {c: f"moraine_input_{c}" for c in docs.columns if c.lower() in ("score", "predicted")}
+    kept = classify(docs.withColumnsRenamed(clash), labels, threshold).where("predicted = 1").drop("score", "predicted")
+    return kept.withColumnsRenamed({v: k for k, v in clash.items()})

@@ -182,21 +182,21 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
 
     A document of which nothing but white space is left, but which had words, is dropped.
     """
-    gone = clusters(docs, **how).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n", "h1")).alias("_gone"))
+    gone = clusters(docs, **how).where("not kept").groupBy(F.col("doc_id").alias("_moraine_id")).agg(F.collect_list(F.struct("start", "n", "h1")).alias("_moraine_gone"))
     gone = stored(gone, "removals")
-    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_moraine_id"), "left").drop("_moraine_id")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             texts, keep = batch.column("text").to_pylist(), np.ones(batch.num_rows, bool)
-            for k, spans in enumerate(batch.column("_gone").to_pylist()):
+            for k, spans in enumerate(batch.column("_moraine_gone").to_pylist()):
                 if spans and texts[k]:
                     texts[k] = cut_out(texts[k], spans)
                     keep[k] = bool(texts[k].split())
             columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in columns:
-                changed = pa.array([bool(x) for x in batch.column("_gone").to_pylist()], pa.bool_())
+                changed = pa.array([bool(x) for x in batch.column("_moraine_gone").to_pylist()], pa.bool_())
                 counted = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
                 columns["n_chars"] = pc.if_else(changed, counted, columns["n_chars"])
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names).filter(pa.array(keep))
