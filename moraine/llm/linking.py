@@ -1,23 +1,26 @@
 """From buckets of possibly similar items to connected components, without all pairs of a bucket.
 
-Only components matter, so an item needs one link into its group. First every item of a bucket meets the bucket's pivots
-(its smallest id, and one by hash): rows stay in proportion to the bucket's size. What that leaves unconnected is then
-settled exactly: in a bucket with several components, each item outside the bucket's largest component meets all items of
-the bucket that are of other components. If these are many, they are taken in blocks, with components brought up to date
-between blocks, so that memory stays bounded and no pair is left out that could still connect two components.
+Only components matter, so an item needs one link into its group. First every item of a bucket meets two pivots of the
+bucket, its smallest id and one that is random for the bucket: rows stay in proportion to the bucket's size. Buckets that then
+still hold several components are settled exactly. They are gathered into regions (buckets that share items); each item
+outside its region's largest component is compared with all items of the region that are of other components and share a
+bucket with it. That is done in cells of bounded blocks of items, which give only true links, so that a cell's memory is bounded
+and no rows are made for pairs; and no pair is left out that could still connect two components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, stored
+from .common import stored
 from .components import components
 
-#: Pairs in a block of the second step, at least; more with more rows.
-BLOCK_PAIRS = 2_000_000
+#: Items in a block of a cell, about.
+BLOCK = 1024
 #: Ids up to which a semi-join may broadcast; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 
@@ -33,42 +36,73 @@ def sizes_fit(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    column = table.column(name).combine_chunks()
+    return column.flatten().to_numpy(), np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
+
+
+def _cell(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """Links between the items of two tables (id, component, hashes, keys) that are of other components and share a key."""
+    found: list[tuple[int, int]] = []
+    if left.num_rows and right.num_rows:
+        values, at = zip(*(_lists(t, "hashes") for t in (left, right)))
+        keys = [_lists(t, "keys")[0].reshape(t.num_rows, -1) for t in (left, right)]
+        ids, groups = ([t.column(c).to_numpy() for t in (left, right)] for c in ("id", "component"))
+        size = [np.diff(x) for x in at]
+        for k in range(left.num_rows):
+            n, m = size[0][k], size[1]
+            may = (groups[1] != groups[0][k]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+            may[may] = (keys[1][may] == keys[0][k]).any(axis=1)
+            x = values[0][at[0][k] : at[0][k + 1]]
+            for j in np.flatnonzero(may):
+                y = values[1][at[1][j] : at[1][j + 1]]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    found.append((ids[0][k], ids[1][j]))
+    a, b = zip(*found) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _settled(rest: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links (a, b) across components in unsettled buckets. rest: key, id, component, low (the bucket's smallest id)."""
+    regions = components(rest.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+    items = stored(rest.select("id", "component").distinct().join(regions.select("id", F.col("component").alias("region")), "id"), "items")
+    sizes = items.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("region").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("region", F.col("top.component").alias("main"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("top.n")).alias("out"))
+    full = items.join(sizes.where("out > 0"), "region").join(sets(stored(items.select("id").distinct(), "ids")), "id")
+    full = stored(full, "sets")
+    block = lambda n: F.pmod(F.xxhash64(F.lit(9), "id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    carry = ["region", "id", "component", "hashes", "keys"]
+    outside = full.where("component != main").select(*carry, block(F.col("out")).alias("o"), every(F.col("all")).alias("m"))
+    inside = full.select(*carry, block(F.col("all")).alias("m"), every(F.col("out")).alias("o"))
+    cell = ["region", "o", "m"]
+    found = outside.groupBy(*cell).cogroup(inside.groupBy(*cell)).applyInArrow(lambda x, y: _cell(x, y, percent), "a long, b long")
+    return stored(found, "links")
+
+
+def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """id, component for the ids of verified pairs.
 
-    buckets: key, id, size. verify: takes distinct pairs (a, b), a < b, and returns those that are links.
+    buckets: key, id, size. verify: takes distinct pairs (a, b), a < b, and returns those that are links. sets: takes ids and
+    returns id, hashes (the sorted distinct elements) and keys (as many for each, place by place).
     """
-    by_hash = F.struct(F.xxhash64(F.lit(3), "id").alias("h"), "id", "size")
-    pivots = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size")).alias("low"), F.min(by_hash).alias("any"))
-    pivots = stored(pivots.where("n > 1 and low.id is not null").select("key", "low", F.struct("any.id", "any.size").alias("any")), "pivots")
+    low = F.struct("id", "size")
+    at_random = F.struct(F.xxhash64("key", "id").alias("h"), "id", "size")
+    pivots = buckets.groupBy("key").agg(F.min(low).alias("low"), F.max("id").alias("high"), F.min(at_random).alias("any"))
+    pivots = pivots.where("low.id != high").select("key", "low", F.struct("any.id", "any.size").alias("any"))
     members = stored(buckets.join(pivots, "key"), "members")
     met = members.select("id", "size", F.explode(F.array("low", "any")).alias("p")).where((F.col("id") != F.col("p.id")) & sizes_fit("size", "p.size", percent))
-    links = stored(verify(stored(met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct(), "pairs")), "links")
-    labels = components(links)
-    members = members.select("key", "id", "size")
-    at, blocks = 0, 1
-    while at < blocks:
-        known = members.join(labels, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
-        split = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-        rest = stored(known.join(split, "key"), "unsettled")
-        counts = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        counts = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
-        total = counts.select(F.sum((F.col("n") - F.col("top.n")) * F.col("n"))).first()[0] or 0
-        if not total:
-            discard(rest)
-            break
-        if at == 0:
-            blocks = max(1, -(-int(total) // BLOCK_PAIRS))
-        outside = rest.join(counts.select("key", F.col("top.component").alias("main")), "key").where((F.col("component") != F.col("main")) & (F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(blocks)) == at))
-        outside = outside.select("key", F.col("id").alias("oid"), F.col("size").alias("osize"), F.col("component").alias("ocomponent"))
-        met = rest.join(outside, "key").where((F.col("component") != F.col("ocomponent")) & sizes_fit("size", "osize", percent))
-        pairs = stored(met.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct(), "pairs")
-        if pairs.limit(1).count():
-            more = stored(verify(pairs), "links")
-            if more.limit(1).count():
-                # Old labels are links to their component's smallest id.
-                labels = components(more.select("a", "b").union(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).where("a != b")))
-            discard(more)
-        discard(pairs, rest)
-        at += 1
-    return labels
+    pairs = stored(met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct(), "pairs")
+    labels = components(stored(verify(pairs), "links"))
+    known = members.select("key", "id", F.col("low.id").alias("low")).join(labels, "id", "left")
+    known = known.select("key", "id", "low", F.coalesce("component", "id").alias("component"))
+    split = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    rest = stored(known.join(split, "key"), "unsettled")
+    if not rest.limit(1).count():
+        return labels
+    more = _settled(rest, sets, percent)
+    # Old labels are links to their component's smallest id.
+    return components(more.union(labels.where("component != id").select(F.col("component").alias("a"), F.col("id").alias("b"))))

@@ -91,7 +91,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     kept.append(k)
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
@@ -101,20 +101,23 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80) -> Data
     classes = filled.groupBy("h1", "h2", F.col("n_shingles").alias("size")).agg(F.min("doc_id").alias("id"), F.any_value("sketch").alias("sketch"))
     classes = stored(classes, "classes")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-
+    def sets(ids: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches):
                 hashes, at = _sets(batch, length)
-                sketch = [x.tobytes() for x in setsketch.registers(hashes, at)]
+                sketch = setsketch.registers(hashes, at)
+                keys = np.ascontiguousarray(setsketch.band_keys(sketch)).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signed(hashes), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(sketch, pa.binary())], names=["id", "hashes", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "hashes", "sketch", "keys"])
 
-        wanted = semi_join(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id")
-        return confirm(pairs, wanted.mapInArrow(run, "id long, hashes array<long>, sketch binary"), percent)
+        wanted = semi_join(docs.select(F.col("doc_id").cast("long"), "text"), ids.withColumnRenamed("id", "doc_id"), "doc_id")
+        return wanted.mapInArrow(run, "id long, hashes array<long>, sketch binary, keys array<long>")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        return confirm(pairs, sets(ids).drop("keys"), percent)
 
-    labels = connect(bands(classes), verify, percent)
+    labels = connect(bands(classes), verify, lambda ids: sets(ids).drop("sketch"), percent)
     named = classes.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))

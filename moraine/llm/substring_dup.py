@@ -109,6 +109,11 @@ def _paragraph_sets(c: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, at, c.h1[own]
 
 
+def band_keys(values: np.ndarray, at: np.ndarray, bands: int) -> list[np.ndarray]:
+    """For every band, the keys of sets that lie one after the other: the smallest of their permuted elements."""
+    return [mix(np.minimum.reduceat(mix(values ^ U(977 * (b + 1))), at[:-1]) + U(b)) for b in range(bands)]
+
+
 def paragraph_keys(docs: DataFrame, bands: int) -> DataFrame:
     """key, id (content hash), size for every paragraph and band."""
 
@@ -117,7 +122,7 @@ def paragraph_keys(docs: DataFrame, bands: int) -> DataFrame:
             values, at, ids = _paragraph_sets(Cut(batch.column("text")))
             if not len(ids):
                 continue
-            keys = [mix(np.minimum.reduceat(mix(values ^ U(977 * (b + 1))), at[:-1]) + U(b)) for b in range(bands)]
+            keys = band_keys(values, at, bands)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(np.concatenate(keys))), pa.array(np.tile(signed(ids), bands)), pa.array(np.tile(np.diff(at), bands), pa.int64())], names=["key", "id", "size"]
             )
@@ -150,21 +155,25 @@ def clusters(docs: DataFrame, percent: int = 80, bands: int = BANDS, least_run:
     shared = stored(keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("key"), "shared-keys")
     buckets = stored(keys.join(shared, "key").distinct(), "buckets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "contents")
+    def sets(wanted: DataFrame) -> DataFrame:
         where = units(docs).where("paragraph").select(F.col("h1").alias("id"), "doc_id").join(wanted, "id", "left_semi")
         where = stored(where.groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches):
                 values, at, ids = _paragraph_sets(Cut(batch.column("text")))
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signed(values), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), lists], names=["id", "hashes"])
+                if len(ids):
+                    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signed(values), pa.int64()))
+                    found = signed(np.stack(band_keys(values, at, bands), axis=1).copy())
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), lists, pa.array(list(found), pa.list_(pa.int64()))], names=["id", "hashes", "keys"])
 
-        sets = semi_join(docs, where, "doc_id").mapInArrow(run, "id long, hashes array<long>").join(wanted, "id", "left_semi")
-        return confirm(pairs, sets.dropDuplicates(["id"]), percent)
+        found = semi_join(docs, where, "doc_id").mapInArrow(run, "id long, hashes array<long>, keys array<long>")
+        return found.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return confirm(pairs, sets(stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "contents")), percent)
 
-    near = connect(buckets, verify, percent)
+    near = connect(buckets, verify, sets, percent)
     every = units(docs)
     repeated = every.groupBy("h1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1")
     named = repeated.join(near.withColumnRenamed("id", "h1"), "h1", "full").select("h1", "component")

@@ -128,4 +128,4 @@ def distinct(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+    return np.ascontiguousarray(x).view(np.int64)
