@@ -9,7 +9,7 @@ in a seeded order, and the quota is a run of blocks that starts at a seeded plac
 `taken` is how many words of a document lie in that run.
 
 Only DataFrame functions are used. The highest-quotient rule isn't simulated block by block: a divisor under which the
-rounded quotients can't exceed the total gives all but a few blocks at once, and the rest are ranked (at most two for each
+rounded quotients can't exceed the total gives all but a few blocks at once, and the rest are ranked (a few for each
 source or shard).
 
 Null text is empty; null source is a source of its own, after all others; null and repeated ids are rows like others
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, discard, stored
+from .common import WORD, stored
 
 #: Words in a block at most; fewer where the smallest source is small, so that each has 64 blocks at least.
 BLOCK = 64
@@ -32,14 +32,25 @@ def words(text: str) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def water_fill(sources: DataFrame, total: Column | str, cap: str, weight: str) -> DataFrame:
-    """sources with `target`: shares of total by weight, none above cap. One row per source goes through one task."""
-    by_level = Window.orderBy(F.col(cap) / F.col(weight), "source_key").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    level = (F.col("_total") - F.coalesce(F.sum(cap).over(by_level), F.lit(0))) / (F.sum(weight).over(every) - F.coalesce(F.sum(weight).over(by_level), F.lit(0)))
-    out = sources.withColumn("_total", F.sum(total).over(every)).withColumn("_level", level)
-    reached = F.min(F.when(F.col(cap) / F.col(weight) >= F.col("_level"), F.struct(F.col(cap) / F.col(weight), "_level"))).over(every)["_level"]
-    return out.withColumn("target", F.least(F.col(cap).cast("double"), F.coalesce(reached, F.lit(float("inf"))) * F.col(weight))).drop("_level", "_total")
+def with_level(rows: DataFrame, name: str, total: Column, cap: Column, weight: Column, within: list[str], tie: list[str]) -> DataFrame:
+    """rows with the level L at which the sum of min(cap, L * weight) over a group is total; infinite where caps are below it."""
+    rows = rows.withColumn("_weight", weight.cast("double")).withColumn("_cap", F.when(F.col("_weight") > 0, cap).otherwise(0))
+    rows = rows.withColumn("_ratio", F.when(F.col("_weight") > 0, F.col("_cap") / F.col("_weight")).otherwise(0.0))
+    group = Window.partitionBy(*within)
+    below = group.orderBy("_ratio", *tie).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(below), F.lit(0))
+    # If all rows before this one are capped, and this one isn't, the level is what is left over the weights that are left.
+    rest = F.sum("_weight").over(group) - before("_weight")
+    rows = rows.withColumn("_level", F.when(rest > 0, (total - before("_cap")) / rest))
+    reached = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", "_level"))).over(group)["_level"]
+    return rows.withColumn(name, F.coalesce(reached, F.lit(float("inf")))).drop("_weight", "_cap", "_ratio", "_level")
+
+
+def water_fill(sources: DataFrame) -> DataFrame:
+    """sources with `target`: shares of all sizes by weight, none above `most`. One row per source goes through one task."""
+    total = F.sum("source_size").over(Window.partitionBy("all"))
+    sources = with_level(sources.withColumn("_total", total), "_at", F.col("_total"), F.col("most"), F.col("weight"), ["all"], ["source_key"])
+    return sources.withColumn("target", F.least(F.col("most").cast("double"), F.col("_at") * F.col("weight"))).drop("_at", "_total")
 
 
 def apportion(rows: DataFrame, votes: Column, seats: Column, room: Column, within: list[str], tie: list[str]) -> DataFrame:
@@ -48,24 +59,22 @@ def apportion(rows: DataFrame, votes: Column, seats: Column, room: Column, withi
     No row gets more than its room; ties go to the row that `tie` sorts first.
     """
     group = Window.partitionBy(*within)
-    rows = rows.withColumn("_votes", votes.cast("double")).withColumn("_seats", F.greatest(seats, F.lit(0))).withColumn("_room", room)
-    rows = rows.withColumn("_sum", F.sum("_votes").over(group)).withColumn("_n", F.count(F.lit(1)).over(group))
-    # Rounding shares of the seats less half a seat for each row gives no more than all seats; with half a seat more, no fewer.
-    fewer = F.greatest(F.col("_seats") - F.col("_n") / 2, F.lit(0.0))
-    share = lambda n: F.when(F.col("_sum") > 0, F.floor(F.col("_votes") / F.col("_sum") * n + 0.5)).otherwise(0).cast("long")
-    rows = rows.withColumn("_sure", F.least(share(fewer), "_room", "_seats"))
+    rows = rows.withColumn("_votes", votes.cast("double")).withColumn("_seats", F.greatest(seats, F.lit(0)).cast("double")).withColumn("_room", F.when(votes > 0, room).otherwise(0))
+    # Rounded at the level of half a seat for each row less than all, quotas sum to no more than the seats; at half a seat more, to no fewer.
+    half = F.count(F.lit(1)).over(group) / 2
+    rows = rows.withColumn("_less", F.greatest(F.col("_seats") - half, F.lit(0.0))).withColumn("_more", F.col("_seats") + half)
+    rows = with_level(rows, "_low", F.col("_less"), F.col("_room"), F.col("_votes"), within, tie)
+    rows = with_level(rows, "_high", F.col("_more"), F.col("_room"), F.col("_votes"), within, tie)
+    rounded = lambda level: F.when(F.col("_room") > 0, F.least(F.col("_room").cast("double"), F.floor(F.col("_votes") * F.col(level) + 0.5))).otherwise(0).cast("long")
+    rows = rows.withColumn("_sure", F.greatest(rounded("_low") - 1, F.lit(0))).withColumn("_most", F.least(rounded("_high") + 1, F.col("_room")).cast("long"))
     rows = rows.withColumn("_left", F.greatest(F.col("_seats") - F.sum("_sure").over(group), F.lit(0)))
-    # Where rooms bind, more seats are left than rounding leaves: every row may then take its part of what is left, and two more.
-    free = F.sum(F.when(F.col("_room") > F.col("_sure"), F.col("_votes")).otherwise(0.0)).over(group)
-    most = F.least("_room", F.greatest(share(F.col("_seats") + F.col("_n") / 2), F.col("_sure") + F.ceil(F.when(free > 0, F.col("_left") * F.col("_votes") / free).otherwise(0)).cast("long")) + 2)
-    rows = rows.withColumn("_most", most)
     bids = rows.where("_most > _sure").select(*within, *(t for t in tie if t not in within), "_votes", "_left", F.explode(F.sequence(F.col("_sure"), F.col("_most") - 1)).alias("_q"))
-    best = Window.partitionBy(*within).orderBy(F.desc(F.col("_votes") / (2 * F.col("_q") + 1)), *tie, "_q")
+    best = group.orderBy(F.desc(F.col("_votes") / (2 * F.col("_q") + 1)), *tie, "_q")
     won = bids.withColumn("_rank", F.row_number().over(best)).where("_rank <= _left")
     keys = list(dict.fromkeys([*within, *tie]))
     won = won.groupBy(*keys).agg(F.count(F.lit(1)).alias("_won"))
     out = rows.join(won, keys, "left").withColumn("quota", F.col("_sure") + F.coalesce("_won", F.lit(0)))
-    return out.drop("_votes", "_seats", "_room", "_sum", "_n", "_sure", "_left", "_most", "_won")
+    return out.drop("_votes", "_seats", "_room", "_less", "_more", "_low", "_high", "_sure", "_most", "_left")
 
 
 def mix(docs: DataFrame, weights: list[int] | None = None, repeats: int = 3, seed: int = 17, shard_words: int = SHARD_WORDS, block: int = BLOCK, carry: bool = False) -> DataFrame:
@@ -82,13 +91,13 @@ def mix(docs: DataFrame, weights: list[int] | None = None, repeats: int = 3, see
     place = F.row_number().over(Window.orderBy("source_key"))
     sources = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(place - 1, F.lit(len(weights))) + 1).cast("long"))
-    sources = water_fill(sources.withColumn("most", F.col("source_size") * repeats), "source_size", "most", "weight")
-    every = Window.partitionBy()
+    sources = water_fill(sources.withColumn("all", F.lit(0)).withColumn("most", F.col("source_size") * repeats))
+    every = Window.partitionBy("all")
     least = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(every)
     sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(least / 64))).cast("long"))
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / shard_words))).cast("int"))
-    sources = sources.withColumn("_all", F.sum("source_size").over(every)).withColumn("_zero", F.lit(0))
-    sources = apportion(sources, F.col("target"), F.round(F.col("_all") / F.col("block")).cast("long"), F.floor(F.col("most") / F.col("block")), ["_zero"], ["source_key"])
+    sources = sources.withColumn("blocks", F.round(F.sum("source_size").over(every) / F.col("block")).cast("long"))
+    sources = apportion(sources, F.col("target"), F.col("blocks"), F.floor(F.col("most") / F.col("block")), ["all"], ["source_key"])
     # A row for each source; written, its size is known, so that the joins below are broadcast only if it is small.
     sources = stored(sources.select("source_key", "source_size", "target", "block", "shards", F.col("quota").alias("source_quota")), "mix-sources")
 
