@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from moraine.functions import scalar
+from moraine.functions.blake3 import blake3
 from moraine.operators import classify, dedup, folds, inputs, verify
 
 from . import adapters as A
@@ -297,3 +298,8 @@ def codec_labels(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def crc_column(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
+
+
+@query()
+def blake3_column(spark: SparkSession, d: str) -> DataFrame:
+    return A.table(spark, d, "documents").select("doc_id", blake3("text").alias("blake3"))
