@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import discard, partitions, stored
 from .words import U, Texts, chunks, mix
 
-CHUNK_BYTES, CHUNK_ROWS = 12_000_000, 1 << 20
+CHUNK_BYTES, CHUNK_ROWS = 8_000_000, 1 << 20
 TOP = 5
 END, START = (U(x) for x in mix(np.array([11, 12], U)))
 CHUNKS = "chunk long, vocabulary binary, tokens binary, doc_ids array<long>, lengths array<int>"
