@@ -427,7 +427,7 @@ def test_substring_dedup(spark):
     left = {x.doc_id: x for x in substring_dup.without_repeats(frame).collect()}
     texts = dict(rows)
     assert all(left[i].text == texts[i] for i in (1, 3, 4, 5, 6, 8, 9, 10, None))
-    assert len(left[2].text.split()) <= 90 + 16 and left[2].n_chars == len(left[2].text) and len(left[7].text.split()) <= 30 + 12
+    assert len(left[2].text.split()) <= 90 + 22 and left[2].n_chars == len(left[2].text) and len(left[7].text.split()) <= 30 + 22
 
 
 def test_substrings_equal_brute_force(spark):
