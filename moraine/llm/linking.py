@@ -2,9 +2,9 @@
 
 Only components matter, so an item needs one link into its group. First every item of a bucket meets two pivots of the
 bucket, its smallest id and one that is random for the bucket: rows stay in proportion to the bucket's size. Buckets that then
-still hold several components are settled exactly. They are gathered into regions (buckets that share items); each item
-outside its region's largest component is compared with all items of the region that are of other components and share a
-bucket with it. That is done in cells of bounded blocks of items, which give only true links, so that a cell's memory is bounded
+still hold several components are settled exactly: each item outside the bucket's largest component is compared with all of
+its items that are of other components, first by short signatures, then in full. Where items lie in many buckets, buckets that
+share items are first gathered into regions, so that an item is sent once and not with each bucket. That is done in cells of bounded blocks of items, which give only true links, so that a cell's memory is bounded
 and no rows are made for pairs; and no pair is left out that could still connect two components.
 """
 
@@ -41,8 +41,8 @@ def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
 
 
-def _cell(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
-    """Links between the items of two tables (id, component, hashes, keys) that are of other components and share a key."""
+def _cell(left: pa.Table, right: pa.Table, percent: int, share: float) -> pa.Table:
+    """Links between items of two tables (id, component, hashes, keys) of other components, more than a share of whose keys are equal."""
     found: list[tuple[int, int]] = []
     if left.num_rows and right.num_rows:
         values, at = zip(*(_lists(t, "hashes") for t in (left, right)))
@@ -52,7 +52,7 @@ def _cell(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
         for k in range(left.num_rows):
             n, m = size[0][k], size[1]
             may = (groups[1] != groups[0][k]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
-            may[may] = (keys[1][may] == keys[0][k]).any(axis=1)
+            may[may] = (keys[1][may] == keys[0][k]).mean(axis=1) > share
             x = values[0][at[0][k] : at[0][k + 1]]
             for j in np.flatnonzero(may):
                 y = values[1][at[1][j] : at[1][j + 1]]
@@ -63,10 +63,13 @@ def _cell(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _settled(rest: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _settled(rest: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, by_region: bool, share: float) -> DataFrame:
     """Links (a, b) across components in unsettled buckets. rest: key, id, component, low (the bucket's smallest id)."""
-    regions = components(rest.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
-    items = stored(rest.select("id", "component").distinct().join(regions.select("id", F.col("component").alias("region")), "id"), "items")
+    if by_region:
+        regions = components(rest.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+        items = stored(rest.select("id", "component").distinct().join(regions.select("id", F.col("component").alias("region")), "id"), "items")
+    else:
+        items = rest.select(F.col("key").alias("region"), "id", "component")
     sizes = items.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("region").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -79,15 +82,16 @@ def _settled(rest: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: i
     outside = full.where("component != main").select(*carry, block(F.col("out")).alias("o"), every(F.col("all")).alias("m"))
     inside = full.select(*carry, block(F.col("all")).alias("m"), every(F.col("out")).alias("o"))
     cell = ["region", "o", "m"]
-    found = outside.groupBy(*cell).cogroup(inside.groupBy(*cell)).applyInArrow(lambda x, y: _cell(x, y, percent), "a long, b long")
+    found = outside.groupBy(*cell).cogroup(inside.groupBy(*cell)).applyInArrow(lambda x, y: _cell(x, y, percent, share), "a long, b long")
     return stored(found, "links")
 
 
-def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, by_region: bool = True, share: float = 0.0) -> DataFrame:
     """id, component for the ids of verified pairs.
 
     buckets: key, id, size. verify: takes distinct pairs (a, b), a < b, and returns those that are links. sets: takes ids and
-    returns id, hashes (the sorted distinct elements) and keys (as many for each, place by place).
+    returns id, hashes (the sorted distinct elements) and keys (as many for each, place by place); pairs of which no more than
+    a share of keys is equal are not links.
     """
     low = F.struct("id", "size")
     at_random = F.struct(F.xxhash64("key", "id").alias("h"), "id", "size")
@@ -103,6 +107,6 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], sets:
     rest = stored(known.join(split, "key"), "unsettled")
     if not rest.limit(1).count():
         return labels
-    more = _settled(rest, sets, percent)
+    more = _settled(rest, sets, percent, by_region, share)
     # Old labels are links to their component's smallest id.
     return components(more.union(labels.where("component != id").select(F.col("component").alias("a"), F.col("id").alias("b"))))

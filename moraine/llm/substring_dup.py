@@ -32,6 +32,8 @@ from .linking import connect, semi_join
 from .words import U, Texts, chunks, distinct, mix, powers, shingles, signed
 
 SHINGLE, LEAST_WORDS, REACH, LEAST_PIECE, LEAST_RUN = 5, 8, 5, 6, 24
+#: MinHash values that are compared before sets are.
+SIGNATURE = 128
 UNITS = "doc_id long, start int, n int, paragraph boolean, h1 long, h2 long"
 
 
@@ -156,24 +158,37 @@ def clusters(docs: DataFrame, percent: int = 80, bands: int = BANDS, least_run:
     buckets = stored(keys.join(shared, "key").distinct(), "buckets")
 
     def sets(wanted: DataFrame) -> DataFrame:
-        where = units(docs).where("paragraph").select(F.col("h1").alias("id"), "doc_id").join(wanted, "id", "left_semi")
-        where = stored(where.groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
+        every = units(docs).where("paragraph").select(F.col("h1").alias("id"), "doc_id")
+        where = stored(semi_join(every, wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "contents")
+        ids = stored(where.select("doc_id").distinct(), "ids")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches):
                 values, at, ids = _paragraph_sets(Cut(batch.column("text")))
                 if len(ids):
                     lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signed(values), pa.int64()))
-                    found = signed(np.stack(band_keys(values, at, bands), axis=1).copy())
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), lists, pa.array(list(found), pa.list_(pa.int64()))], names=["id", "hashes", "keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), lists], names=["id", "hashes"])
 
-        found = semi_join(docs, where, "doc_id").mapInArrow(run, "id long, hashes array<long>, keys array<long>")
-        return found.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+        found = semi_join(docs, ids, "doc_id").mapInArrow(run, "id long, hashes array<long>")
+        return semi_join(found, where.select("id"), "id").dropDuplicates(["id"])
+
+    def signed_sets(wanted: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    column = batch.column("hashes")
+                    values, at = column.flatten().to_numpy().view(U), np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
+                    keys = np.stack([k.astype(np.uint16) for k in band_keys(values, at, SIGNATURE)], axis=1).view(np.int16)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys), pa.list_(pa.int16()))], names=["id", "hashes", "keys"])
+
+        return sets(wanted).mapInArrow(run, "id long, hashes array<long>, keys array<short>")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return confirm(pairs, sets(stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "contents")), percent)
 
-    near = connect(buckets, verify, sets, percent)
+    # Six standard deviations of the signatures' share under the threshold.
+    share = percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / SIGNATURE)
+    near = connect(buckets, verify, signed_sets, percent, by_region=False, share=share)
     every = units(docs)
     repeated = every.groupBy("h1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1")
     named = repeated.join(near.withColumnRenamed("id", "h1"), "h1", "full").select("h1", "component")
