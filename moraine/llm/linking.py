@@ -42,12 +42,15 @@ def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cell(left: pa.Table, right: pa.Table, percent: int, share: float) -> pa.Table:
-    """Links between items of two tables (id, component, hashes, keys) of other components, more than a share of whose keys are equal."""
+    """Links between items of two tables (id, component, hashes, keys) of other components, more than a share of whose keys are equal.
+
+    Of all links only enough are given to join what they join: items joined by a link found before aren't compared again.
+    """
     found: list[tuple[int, int]] = []
     if left.num_rows and right.num_rows:
         values, at = zip(*(_lists(t, "hashes") for t in (left, right)))
         keys = [_lists(t, "keys")[0].reshape(t.num_rows, -1) for t in (left, right)]
-        ids, groups = ([t.column(c).to_numpy() for t in (left, right)] for c in ("id", "component"))
+        ids, groups = ([t.column(c).to_numpy().copy() for t in (left, right)] for c in ("id", "component"))
         size = [np.diff(x) for x in at]
         for k in range(left.num_rows):
             n, m = size[0][k], size[1]
@@ -55,10 +58,15 @@ def _cell(left: pa.Table, right: pa.Table, percent: int, share: float) -> pa.Tab
             may[may] = (keys[1][may] == keys[0][k]).mean(axis=1) > share
             x = values[0][at[0][k] : at[0][k + 1]]
             for j in np.flatnonzero(may):
+                if groups[1][j] == groups[0][k]:
+                    continue
                 y = values[1][at[1][j] : at[1][j + 1]]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     found.append((ids[0][k], ids[1][j]))
+                    joined = groups[1][j]
+                    for g in groups:
+                        g[g == joined] = groups[0][k]
     a, b = zip(*found) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
