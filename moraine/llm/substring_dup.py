@@ -1,21 +1,23 @@
-"""Substring dedup by paragraph MinHash banding.
+"""Substring dedup: exact stretches of words, and paragraphs by MinHash banding.
 
-Units are paragraphs (lines of 8 words or more) and the pieces that their words are cut into where the hash of a word pair
-is the smallest of its neighbourhood. Such cuts depend on a few words only, so a passage that was pasted into the middle of
-other paragraphs is cut like its original but for the edges, and a passage of 50 words holds two pieces or more. Words are
-compared with A-Z lower-cased.
+Stretches. Every run of `least_run` words that occurs at two places is found, wherever it lies and however its lines are
+broken; what lies side by side at both places is one stretch, so a stretch ends where the words differ. Runs
+aren't compared all with all: each has an anchor, the shorter run of words inside it with the least hash, so equal runs have equal anchors.
+About a seventh of all places are anchors; they are sorted by hash and place, each with the digests of the runs it stands for, and
+the first of equal runs is the keeper. Words are compared with A-Z lower-cased.
 
-Units of equal content are found by a 128-bit digest. Paragraphs of unequal content become candidates by MinHash: each of
-`bands` keys is the smallest of its permuted 5-word shingle hashes; with one row in a band, 4 bands find a pair of similarity
-0.8 with a probability of 0.998. Candidates are confirmed by exact Jaccard similarity of their shingles, and linked
-paragraphs are clustered by connected components. Of the units of a cluster the first (smallest doc_id, then place) is kept,
-the others are removed.
+Paragraphs (lines of 8 words or more) of equal content are found by a 128-bit digest. Paragraphs of unequal content become
+candidates by MinHash: each of `bands` keys is the smallest of its permuted 5-word shingle hashes; with one row in a band, 4
+bands find a pair of similarity 0.8 with a probability of 0.998. Candidates are confirmed by exact Jaccard similarity of their
+shingles, and linked paragraphs are clustered by connected components. Of the paragraphs of a cluster the first (smallest
+doc_id, then place) is kept, the others are removed.
 
-Only passages count: repeated units of a document that follow each other, with at most five words between two, make a run,
-and runs of fewer than `least_run` words (a heading, a common line) are left alone.
+Only passages count: repeated units (stretches and paragraphs) of a document that follow each other, with at most five words
+between two, make a run, and runs of fewer than `least_run` words (a heading, a common line) are left alone.
 
 Null and empty texts have no units. Rows with a null id are not compared and stay as they are. Rows with equal ids are one
-document; a unit is only removed where the words at its place have its content. Repeats inside one document count too.
+document; a unit is only removed from the text that it was found in. Repeats inside one document count too; where a stretch
+overlaps its own first place (a word over and over), the first `least_run` words stay.
 """
 
 from __future__ import annotations
@@ -31,10 +33,14 @@ from .common import stored
 from .linking import connect, semi_join
 from .words import U, Texts, chunks, distinct, mix, powers, shingles, signed
 
-SHINGLE, LEAST_WORDS, REACH, LEAST_PIECE, LEAST_RUN = 5, 8, 5, 6, 24
+SHINGLE, LEAST_WORDS, LEAST_RUN = 5, 8, 24
+#: Words that may lie between two units of a run.
+BETWEEN = 5
 #: MinHash values that are compared before sets are.
 SIGNATURE = 128
-UNITS = "doc_id long, start int, n int, paragraph boolean, h1 long, h2 long"
+UNITS = "doc_id long, whole long, start int, n int, h1 long, h2 long"
+ANCHORS = "doc_id long, whole long, start int, anchor long, runs array<long>"
+STRETCHES = "doc_id long, whole long, start int, m int, keeper_doc_id long, keeper_start int, kept boolean"
 
 
 def tuned_bands(similarity: float, recall: float, rows: int = 1) -> int:
@@ -46,13 +52,14 @@ BANDS = tuned_bands(0.8, 0.998)
 
 
 class Cut:
-    """The units of a run of texts. first and last: word places within the run; paragraph: whether it is a line."""
+    """The paragraphs of a run of texts. first and last: word places within the run; whole: a hash of each text's words."""
 
     def __init__(self, column: pa.Array):
         self.texts = texts = Texts(column)
         self.words = words = texts.word_hashes(lower=True)
         n = len(words)
         self.begin = np.cumsum(texts.per_doc) - texts.per_doc
+        self.whole = run_hashes(words, self.begin, self.begin + texts.per_doc, 3)
         # A line begins with a document or behind a newline.
         breaks = np.zeros(len(texts.data) + 1, np.int64)
         np.cumsum(texts.data == 10, out=breaks[1:])
@@ -61,20 +68,9 @@ class Cut:
         lines = np.flatnonzero(line_start)
         self.line = np.cumsum(line_start) - 1
         self.lines = np.r_[lines, n]
-        pair = mix(words * U(3) + np.r_[words[1:], words[:1]])
-        cut = np.ones(n, bool)
-        for k in range(1, REACH + 1):
-            cut[k:] &= pair[k:] < pair[:-k]
-            cut[:-k] &= pair[:-k] <= pair[k:]
-        pieces = np.flatnonzero(cut | line_start)
-        ends = np.r_[pieces[1:], n]
-        long = ends - pieces >= LEAST_PIECE
-        line_ends = self.lines[1:]
-        wide = line_ends - lines >= LEAST_WORDS
-        self.first = np.r_[lines[wide], pieces[long]].astype(np.int64)
-        self.last = np.r_[line_ends[wide], ends[long]].astype(np.int64)
-        self.paragraph = np.r_[np.ones(wide.sum(), bool), np.zeros(long.sum(), bool)]
-        self.doc = texts.doc[self.first] if len(self.first) else np.zeros(0, np.int64)
+        wide = np.diff(self.lines) >= LEAST_WORDS
+        self.first, self.last = lines[wide], self.lines[1:][wide]
+        self.doc = texts.doc[self.first]
         self.h1, self.h2 = (run_hashes(words, self.first, self.last, seed) for seed in (1, 2))
 
 
@@ -87,28 +83,139 @@ def run_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray, seed: int
 
 
 def units(docs: DataFrame) -> DataFrame:
+    """The paragraphs: UNITS."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             c = Cut(batch.column("text"))
             ids = batch.column("doc_id").take(pa.array(c.doc, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(c.first - c.begin[c.doc], pa.int32()), pa.array(c.last - c.first, pa.int32()), pa.array(c.paragraph), pa.array(signed(c.h1)), pa.array(signed(c.h2))],
-                names=["doc_id", "start", "n", "paragraph", "h1", "h2"],
+                [ids, pa.array(signed(c.whole[c.doc])), pa.array(c.first - c.begin[c.doc], pa.int32()), pa.array(c.last - c.first, pa.int32()), pa.array(signed(c.h1)), pa.array(signed(c.h2))],
+                names=["doc_id", "whole", "start", "n", "h1", "h2"],
             )
 
     return docs.mapInArrow(run, UNITS)
 
 
+def anchors(docs: DataFrame, least: int) -> DataFrame:
+    """Every run of least words, by anchor: start (place of the first run), anchor (its hash), runs (hashes of runs at start, start + 1 ...)."""
+    short = (least + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            texts = Texts(batch.column("text"))
+            words = texts.word_hashes(lower=True)
+            if len(words) < least:
+                continue
+            begin = np.cumsum(texts.per_doc) - texts.per_doc
+            whole = run_hashes(words, begin, begin + texts.per_doc, 3)
+            at = np.arange(len(words) - short + 1)
+            hashes = run_hashes(words, at, at + short, 1)
+            n = len(words) - least + 1
+            smallest, place = hashes[:n].copy(), at[:n].copy()
+            for k in range(1, least - short + 1):
+                smaller = hashes[k : k + n] < smallest
+                np.copyto(smallest, hashes[k : k + n], where=smaller)
+                np.copyto(place, at[k : k + n], where=smaller)
+            first = np.flatnonzero(texts.doc[:n] == texts.doc[least - 1 :])
+            if not len(first):
+                continue
+            runs = run_hashes(words, first, first + least, 2)
+            new = np.ones(len(first), bool)
+            new[1:] = (place[first[1:]] != place[first[:-1]]) | (first[1:] != first[:-1] + 1)
+            group = np.flatnonzero(new)
+            start = first[group]
+            doc = texts.doc[start]
+            ids = batch.column("doc_id").take(pa.array(doc, pa.int64()))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[group, len(first)], pa.int32()), pa.array(signed(runs)))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(signed(whole[doc])), pa.array(start - begin[doc], pa.int32()), pa.array(signed(smallest[start])), lists], names=["doc_id", "whole", "start", "anchor", "runs"]
+            )
+
+    return docs.mapInArrow(run, ANCHORS)
+
+
+def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """STRETCHES, m runs long each, from batches of ANCHORS in the order of anchor, doc_id, start, whole.
+
+    Of an anchor that goes on in the next batch, only the first places of its runs are held.
+    """
+    columns = ("anchor", "doc_id", "whole", "start")
+    held, held_run, held_told, before = [np.zeros(0, np.int64)] * 4, np.zeros(0, np.int64), np.zeros(0, bool), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row = [batch.column(c).to_numpy().astype(np.int64) for c in columns]
+        anchor, lists = row[0], batch.column("runs")
+        # Rows that occur twice, and anchors that occur once.
+        keep = np.ones(len(anchor), bool)
+        keep[1:] = np.any([x[1:] != x[:-1] for x in row], axis=0)
+        keep[0] = before != tuple(x[0] for x in row)
+        before = tuple(x[-1] for x in row)
+        equal = anchor[1:] == anchor[:-1]
+        keep &= np.r_[False, equal] | np.r_[equal, False] | (anchor == anchor[-1]) | (anchor == (held[0][0] if len(held[0]) else anchor[-1]))
+        picked = np.flatnonzero(keep)
+        lists = lists.take(pa.array(picked))
+        length = lists.value_lengths().to_numpy().astype(np.int64)
+        owner = np.repeat(picked, length)
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
+        row = [np.r_[h, x[owner]] for h, x in zip(held, row)]
+        row[3][len(held_run) :] += inner
+        anchors_, doc, whole, start = row
+        run = np.r_[held_run, lists.flatten().to_numpy()]
+        told = np.r_[held_told, np.zeros(len(owner), bool)]
+        if not len(run):
+            continue
+        _, index, group = np.unique(run, return_index=True, return_inverse=True)
+        keeper = index[group]
+        kept = (doc == doc[keeper]) & (start == start[keeper])
+        repeats = np.zeros(len(index), bool)
+        repeats[group[~kept]] = True
+        repeats[group[told]] = True
+        out = np.flatnonzero(repeats[group] & ~told)
+        told |= repeats[group]
+        goes_on = kept & (anchors_ == anchor[-1])
+        held, held_run, held_told = [x[goes_on] for x in row], run[goes_on], told[goes_on]
+        if not len(out):
+            continue
+        ends = [doc[out], whole[out], start[out], doc[keeper[out]], start[keeper[out]], kept[out]]
+        new = np.ones(len(out), bool)
+        new[1:] = np.any([np.diff(x.astype(np.int64)) != step for x, step in zip(ends, (0, 0, 1, 0, 1, 0))], axis=0)
+        begin = np.flatnonzero(new)
+        d, w, s, kd, ks, k = (x[begin] for x in ends)
+        m = np.diff(np.r_[begin, len(out)])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(d), pa.array(w), pa.array(s, pa.int32()), pa.array(m, pa.int32()), pa.array(kd), pa.array(ks, pa.int32()), pa.array(k)],
+            names=["doc_id", "whole", "start", "m", "keeper_doc_id", "keeper_start", "kept"],
+        )
+
+
+def stretches(docs: DataFrame, least: int) -> DataFrame:
+    """Every stretch of least words or more that occurs before, and (kept) every first one: doc_id, whole, start, n, keeper_doc_id, keeper_start, kept."""
+    parts = anchors(docs, least).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start", "whole").mapInArrow(repeated_runs, STRETCHES)
+    order = Window.partitionBy("doc_id", "whole").orderBy("start")
+    before = F.lag(F.struct(F.col("start") + F.col("m"), "keeper_doc_id", F.col("keeper_start") + F.col("m"), "kept")).over(order)
+    same = before == F.struct("start", "keeper_doc_id", "keeper_start", "kept")
+    parts = parts.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    whole = parts.groupBy("doc_id", "whole", "_run", "keeper_doc_id", "kept").agg(F.min("start").alias("start"), F.sum("m").alias("m"), F.min("keeper_start").alias("keeper_start"))
+    # What overlaps its keeper begins behind the keeper's first run.
+    skip = F.when(~F.col("kept") & (F.col("doc_id") == F.col("keeper_doc_id")), F.greatest(F.lit(0), F.col("keeper_start") + least - F.col("start"))).otherwise(0)
+    whole = whole.withColumn("_skip", skip)
+    return whole.select(
+        "doc_id", "whole", (F.col("start") + F.col("_skip")).cast("int").alias("start"), (F.col("m") + least - 1 - F.col("_skip")).cast("int").alias("n"),
+        "keeper_doc_id", (F.col("keeper_start") + F.col("_skip")).cast("int").alias("keeper_start"), "kept",
+    )
+
+
 def _paragraph_sets(c: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of the run's paragraphs, where each one's begin, and the paragraphs' content hashes."""
-    own = np.flatnonzero(c.paragraph)
     per_line = np.diff(c.lines)
     hashes, line = shingles(c.words, c.line, per_line, SHINGLE)
     wide = per_line >= LEAST_WORDS
     number = np.cumsum(wide) - 1
     keep = wide[line]
-    values, at = distinct(hashes[keep], number[line[keep]], len(own))
-    return values, at, c.h1[own]
+    values, at = distinct(hashes[keep], number[line[keep]], len(c.first))
+    return values, at, c.h1
 
 
 def band_keys(values: np.ndarray, at: np.ndarray, bands: int) -> list[np.ndarray]:
@@ -140,25 +247,25 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def in_long_runs(members: DataFrame, least: int) -> DataFrame:
-    """The rows (doc_id, start, n) that lie in runs of least words or more."""
-    order = Window.partitionBy("doc_id").orderBy("start", F.desc("n"))
+    """The rows (doc_id, whole, start, n) that lie in runs of least words or more."""
+    order = Window.partitionBy("doc_id", "whole").orderBy("start", F.desc("n"))
     before = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = members.withColumn("_new", F.when(F.col("start") <= before + LEAST_PIECE - 1, 0).otherwise(1))
+    marked = members.withColumn("_new", F.when(F.col("start") <= before + BETWEEN, 0).otherwise(1))
     marked = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("doc_id", "_run")
+    run = Window.partitionBy("doc_id", "whole", "_run")
     length = F.max(F.col("start") + F.col("n")).over(run) - F.min("start").over(run)
     return marked.withColumn("_length", length).where(F.col("_length") >= least).drop("_new", "_run", "_length")
 
 
 def clusters(docs: DataFrame, percent: int = 80, bands: int = BANDS, least_run: int = LEAST_RUN) -> DataFrame:
-    """Every unit that repeats: doc_id, start (word place), n (words), paragraph, h1, keeper_doc_id, keeper_start, kept."""
+    """Every unit that repeats: doc_id, start (word place), n (words), paragraph, whole (a hash of its text), keeper_doc_id, keeper_start, kept."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     keys = paragraph_keys(docs, bands)
     shared = stored(keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("key"), "shared-keys")
     buckets = stored(keys.join(shared, "key").distinct(), "buckets")
 
     def sets(wanted: DataFrame) -> DataFrame:
-        every = units(docs).where("paragraph").select(F.col("h1").alias("id"), "doc_id")
+        every = units(docs).select(F.col("h1").alias("id"), "doc_id")
         where = stored(semi_join(every, wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "contents")
         ids = stored(where.select("doc_id").distinct(), "ids")
 
@@ -194,11 +301,16 @@ def clusters(docs: DataFrame, percent: int = 80, bands: int = BANDS, least_run:
     named = repeated.join(near.withColumnRenamed("id", "h1"), "h1", "full").select("h1", "component")
     named = stored(named.select("h1", F.coalesce("component", "h1").alias("cluster"), F.col("component").isNotNull().alias("near")), "contents")
     members = every.join(named, "h1").withColumn("cluster2", F.when(F.col("near"), F.lit(0)).otherwise(F.col("h2")))
-    members = stored(in_long_runs(members, least_run), "members")
+    found = stretches(docs, least_run).withColumn("paragraph", F.lit(False))
+    members = members.select("doc_id", "whole", "start", "n", "cluster", "cluster2", F.lit(True).alias("paragraph"))
+    members = stored(in_long_runs(members.unionByName(found, allowMissingColumns=True), least_run), "members")
     place = F.struct("doc_id", "start", "n")
-    first = members.groupBy("cluster", "cluster2").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where("keeper != other")
-    out = members.join(first, ["cluster", "cluster2"])
-    return out.select("doc_id", "start", "n", "paragraph", "h1", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.start").alias("keeper_start"), (place == F.col("keeper")).alias("kept"))
+    paragraphs = members.where("paragraph").drop("keeper_doc_id", "keeper_start", "kept")
+    first = paragraphs.groupBy("cluster", "cluster2").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where("keeper != other")
+    out = paragraphs.join(first, ["cluster", "cluster2"])
+    out = out.withColumns({"keeper_doc_id": F.col("keeper.doc_id"), "keeper_start": F.col("keeper.start"), "kept": place == F.col("keeper")})
+    columns = ["doc_id", "start", "n", "paragraph", "whole", "keeper_doc_id", "keeper_start", "kept"]
+    return out.select(*columns).union(members.where("not paragraph").select(*columns))
 
 
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
@@ -206,7 +318,7 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
 
     A document of which nothing but white space is left, but which had words, is dropped.
     """
-    gone = clusters(docs, **how).where("not kept").groupBy(F.col("doc_id").alias("_moraine_id")).agg(F.collect_list(F.struct("start", "n", "h1")).alias("_moraine_gone"))
+    gone = clusters(docs, **how).where("not kept").groupBy(F.col("doc_id").alias("_moraine_id")).agg(F.collect_list(F.struct("start", "n", "whole")).alias("_moraine_gone"))
     gone = stored(gone, "removals")
     rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_moraine_id"), "left").drop("_moraine_id")
     names = docs.columns
@@ -230,19 +342,17 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
 
 def cut_out(text: str, spans: list[dict]) -> str:
     c = Cut(pa.array([text], pa.string()))
-    first = np.array([s["start"] for s in spans], np.int64)
-    last = first + np.array([s["n"] for s in spans], np.int64)
-    fits = last <= len(c.words)
-    first, last, wanted = first[fits], last[fits], np.array([s["h1"] for s in spans], np.int64)[fits]
-    same = signed(run_hashes(c.words, first, last, 1)) == wanted
+    whole = int(signed(c.whole)[0])
+    first = np.array([s["start"] for s in spans if s["whole"] == whole], np.int64)
+    last = first + np.array([s["n"] for s in spans if s["whole"] == whole], np.int64)
     drop = np.zeros(len(c.words) + 1, np.int64)
-    np.add.at(drop, first[same], 1)
-    np.add.at(drop, last[same], -1)
+    np.add.at(drop, first, 1)
+    np.add.at(drop, last, -1)
     drop = np.cumsum(drop)[:-1] > 0
     # A few words between two removed units belong to the passage.
     edges = np.flatnonzero(np.diff(np.r_[False, drop, False].astype(np.int8)))
     for a, b in zip(edges[1:-1:2], edges[2::2]):
-        drop[a:b] |= b - a < LEAST_PIECE
+        drop[a:b] |= b - a <= BETWEEN
     gone = np.zeros(len(c.texts.data), bool)
     edges = np.flatnonzero(np.diff(np.r_[False, drop, False].astype(np.int8)))
     for a, b in zip(edges[::2], edges[1::2]):

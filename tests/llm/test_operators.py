@@ -439,6 +439,22 @@ def test_substrings_equal_brute_force(spark):
     assert found == set(range(30))
 
 
+def pasted(seeds, length=51):
+    """Two documents for each seed, with one passage in the middle of a line of both."""
+    out = []
+    for k in seeds:
+        r = random.Random(k)
+        passage = prose(f"{k} passage", length, 5000)
+        out += [(2 * k + j, f"{prose(f'{k} before {j}', r.randrange(5, 90), 5000)} {passage} {prose(f'{k} behind {j}', r.randrange(5, 90), 5000)}", None, None) for j in (0, 1)]
+    return out
+
+
+def test_passages_in_the_middle_of_lines_are_found(spark):
+    rows = pasted(range(400))
+    found = {x.doc_id for x in substring_dup.clusters(docs(spark, rows)).collect()}
+    assert found == {k for k, *_ in rows}
+
+
 def test_substrings_of_awkward_rows(awkward):
     assert substring_dup.without_repeats(awkward).columns == awkward.columns
     assert substring_dup.clusters(awkward.limit(0)).count() == 0
