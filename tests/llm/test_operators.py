@@ -427,7 +427,7 @@ def test_substring_dedup(spark):
     left = {x.doc_id: x for x in substring_dup.without_repeats(frame).collect()}
     texts = dict(rows)
     assert all(left[i].text == texts[i] for i in (1, 3, 4, 5, 6, 8, 9, 10, None))
-    assert len(left[2].text.split()) <= 90 + 22 and left[2].n_chars == len(left[2].text) and len(left[7].text.split()) <= 30 + 22
+    assert len(left[2].text.split()) <= 90 + 16 and left[2].n_chars == len(left[2].text) and len(left[7].text.split()) <= 30 + 12
 
 
 def test_substrings_equal_brute_force(spark):
@@ -455,6 +455,57 @@ def test_passages_in_the_middle_of_lines_are_found(spark):
     assert found == {k for k, *_ in rows}
 
 
+def without_repeats_by_brute_force(rows, least=24):
+    """The words that stay in each document if every run of so many words goes that occurs before."""
+    first, left = {}, {}
+    for i, text in sorted(rows):
+        w = text.lower().split()
+        gone = [False] * len(w)
+        for at in range(len(w) - least + 1):
+            keeper, place = first.setdefault(tuple(w[at : at + least]), (i, at))
+            if (keeper, place) != (i, at):
+                begin = max(at, place + least) if keeper == i else at
+                gone[begin : at + least] = [True] * (at + least - begin)
+        left[i] = [x for x, g in zip(text.split(), gone) if not g]
+    return left
+
+
+def test_removed_stretches_equal_brute_force(spark):
+    """No word of a repeated passage stays but in its first place, and no other word goes."""
+    r = random.Random(31)
+    passages = [prose(f"shared {k}", r.choice([23, 24, 25, 30, 51, 70, 100]), 5000) for k in range(12)]
+    rows = [(k, " ".join(f"{prose(f'own {k} {j}', r.randrange(8, 60), 5000)} {r.choice(passages)}" for j in range(4)) + " " + prose(f"end {k}", 9, 5000)) for k in range(60)]
+    frame = docs(spark, [(i, t, None, None) for i, t in rows])
+    want = without_repeats_by_brute_force(rows)
+    assert {x.doc_id: x.text.split() for x in substring_dup.without_repeats(frame).collect()} == want
+    texts = {i: t.split() for i, t in rows}
+    for x in substring_dup.clusters(frame).collect():
+        assert x.n >= 24 and texts[x.doc_id][x.start : x.start + x.n] == texts[x.keeper_doc_id][x.keeper_start : x.keeper_start + x.n]
+
+
+def test_runs_of_an_anchor_go_on_over_batches():
+    rows = [(i, prose("passage", 60, 5000)) for i in range(6)] + [(9, "the " * 80), (10, "The " * 90)]
+    text = {i: t for i, t in rows}
+    table = pa.table({"doc_id": pa.array(list(text), pa.int64()), "text": list(text.values())})
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return pa.Table.from_batches(run(iter(table.to_batches())))
+
+    sorted_rows = substring_dup.anchors(Frame(), 24).sort_by([(c, "ascending") for c in ("anchor", "doc_id", "start", "whole")]).combine_chunks()
+    sorted_rows = pa.concat_tables([sorted_rows, sorted_rows]).sort_by([(c, "ascending") for c in ("anchor", "doc_id", "start", "whole")]).combine_chunks()
+
+    def places(size):
+        found = []
+        for b in substring_dup.repeated_runs(iter(sorted_rows.to_batches(max_chunksize=size))):
+            for x in b.to_pylist():
+                found += [(x["doc_id"], x["start"] + k, x["keeper_doc_id"], x["keeper_start"] + k, x["kept"]) for k in range(x["m"])]
+        return sorted(found)
+
+    want = sorted([(i, k, 0, k, i == 0) for i in range(6) for k in range(37)] + [(i, k, 9, 0, (i, k) == (9, 0)) for i, n in ((9, 57), (10, 67)) for k in range(n)])
+    assert all(places(size) == want for size in (1, 2, 3, 7, 1000))
+
+
 def test_substrings_of_awkward_rows(awkward):
     assert substring_dup.without_repeats(awkward).columns == awkward.columns
     assert substring_dup.clusters(awkward.limit(0)).count() == 0
