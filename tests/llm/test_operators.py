@@ -506,6 +506,19 @@ def test_runs_of_an_anchor_go_on_over_batches():
     assert all(places(size) == want for size in (1, 2, 3, 7, 1000))
 
 
+def test_repeats_without_cuts_in_lines(spark):
+    """Words over and over, passages in short lines, and passages that are wrapped at another width."""
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[k : k + n]) for k in range(0, len(text.split()), n))
+    own = lambda k: wrap(prose(f"own {k}", 40, 5000), 6)
+    short, other, tied = prose("short", 60, 5000), prose("other", 60, 5000), "the " * 70 + "| - " * 40
+    rows = [
+        (1, f"{own(1)}\n{wrap(short, 5)}\n{own(2)}"), (2, f"{own(3)}\n{wrap(short, 5)}\n{own(4)}"), (3, f"{own(5)}\n{wrap(other, 7)}\n{own(6)}"), (4, f"{own(7)}\n{wrap(other, 6)}\n{own(8)}"),
+        (5, f"{prose('a', 20, 5000)} {tied} {prose('b', 20, 5000)}"), (6, f"{prose('c', 20, 5000)} {tied} {prose('d', 20, 5000)}"),
+    ]
+    left = {x.doc_id: x.text.split() for x in substring_dup.without_repeats(docs(spark, [(i, t, None, None) for i, t in rows])).collect()}
+    assert left == without_repeats_by_brute_force(rows) and [len(left[k]) for k in (2, 4, 6)] == [80, 80, 40]
+
+
 def test_substrings_of_awkward_rows(awkward):
     assert substring_dup.without_repeats(awkward).columns == awkward.columns
     assert substring_dup.clusters(awkward.limit(0)).count() == 0
