@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stored
+from .common import discard, stored
 from .linking import connect, semi_join
 from .words import U, Texts, chunks, distinct, mix, powers, shingles, signed
 
@@ -297,16 +297,22 @@ def clusters(docs: DataFrame, percent: int = 80, bands: int = BANDS, least_run:
     share = percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / SIGNATURE)
     near = connect(buckets, verify, signed_sets, percent, by_region=False, share=share)
     every = units(docs)
-    repeated = every.groupBy("h1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1")
+    place = F.struct("doc_id", "start", "n")
+    ends = [F.min(place).alias("keeper"), F.max(place).alias("other")]
+    repeated = every.groupBy("h1").agg(*ends).where("keeper != other").select("h1")
     named = repeated.join(near.withColumnRenamed("id", "h1"), "h1", "full").select("h1", "component")
     named = stored(named.select("h1", F.coalesce("component", "h1").alias("cluster"), F.col("component").isNotNull().alias("near")), "contents")
+    discard(shared, buckets)
     members = every.join(named, "h1").withColumn("cluster2", F.when(F.col("near"), F.lit(0)).otherwise(F.col("h2")))
+    members = stored(members.select("doc_id", "whole", "start", "n", "cluster", "cluster2", "near"), "repeats")
+    # What is at one place only, as in rows with equal ids, must not lengthen a run.
+    single = members.where("near").groupBy("cluster").agg(*ends).where("keeper = other").select("cluster", F.lit(True).alias("near"))
+    members = members.join(single, ["cluster", "near"], "left_anti")
     found = stretches(docs, least_run).withColumn("paragraph", F.lit(False))
     members = members.select("doc_id", "whole", "start", "n", "cluster", "cluster2", F.lit(True).alias("paragraph"))
     members = stored(in_long_runs(members.unionByName(found, allowMissingColumns=True), least_run), "members")
-    place = F.struct("doc_id", "start", "n")
     paragraphs = members.where("paragraph").drop("keeper_doc_id", "keeper_start", "kept")
-    first = paragraphs.groupBy("cluster", "cluster2").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where("keeper != other")
+    first = paragraphs.groupBy("cluster", "cluster2").agg(*ends).where("keeper != other")
     out = paragraphs.join(first, ["cluster", "cluster2"])
     out = out.withColumns({"keeper_doc_id": F.col("keeper.doc_id"), "keeper_start": F.col("keeper.start"), "kept": place == F.col("keeper")})
     columns = ["doc_id", "start", "n", "paragraph", "whole", "keeper_doc_id", "keeper_start", "kept"]

@@ -519,6 +519,14 @@ def test_repeats_without_cuts_in_lines(spark):
     assert left == without_repeats_by_brute_force(rows) and [len(left[k]) for k in (2, 4, 6)] == [80, 80, 40]
 
 
+def test_lines_that_occur_once_lengthen_no_run(spark):
+    """A common line of 8 to 23 words beside lines of the same kind that occur once stays, also where a row occurs twice."""
+    common = prose("common", 12, 5000)
+    rows = [(k, f"{prose(f'{k} x', 10, 5000)}\n{common}\n{prose(f'{k} y', 10, 5000)}", None, None) for k in range(30)]
+    assert substring_dup.clusters(docs(spark, rows)).count() == 0
+    assert substring_dup.clusters(docs(spark, rows + rows)).count() == 0
+
+
 def test_substrings_of_awkward_rows(awkward):
     assert substring_dup.without_repeats(awkward).columns == awkward.columns
     assert substring_dup.clusters(awkward.limit(0)).count() == 0
