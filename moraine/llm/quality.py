@@ -1,8 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with follow-the-regularised-leader updates.
 
-Every word gives three tokens: itself, its form (which kinds of characters it holds, and whether it repeats the word
-before), and the last two forms. Unigrams of all three, and bigrams and trigrams of forms, are hashed into 2**bits
-weights. A row's value for a feature is the feature's share of the text's words, times a scale; a score is the sparse dot
+Every word gives two tokens: itself, and its form (which kinds of characters it holds, and whether it repeats the word
+before). Unigrams, bigrams and trigrams of both are hashed into 2**bits weights. A row's value for a feature is the feature's share of the text's words, times a scale; a score is the sparse dot
 product of those shares and the weights, through the logistic function.
 
 Training reads at most about `per_label` rows of each label (chosen by hash of doc_id): that bound is the only sample.
@@ -49,15 +48,13 @@ def features(texts: Texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     form = form | (same.astype(U) << U(20))
     two = doc[1:] == doc[:-1]
     three = two[1:] & two[:-1]
-    key = mix(form + U(1))
-    parts = [
-        (mix(words ^ U(11)), doc),
-        (key, doc),
-        (mix(key[:-1] * U(3) + key[1:])[two], doc[1:][two]),
-        (mix(mix(key[:-2] * U(3) + key[1:-1]) * U(5) + key[2:])[three], doc[2:][three]) if len(words) > 2 else (key[:0], doc[:0]),
-    ]
+    parts = []
+    for key in (mix(words ^ U(11)), mix(form + U(1))):
+        parts += [(key, doc), (mix(key[:-1] * U(3) + key[1:])[two], doc[1:][two])]
+        if len(words) > 2:
+            parts.append((mix(mix(key[:-2] * U(3) + key[1:-1]) * U(5) + key[2:])[three], doc[2:][three]))
     place = np.concatenate([p for p, _ in parts])
-    return (place & U((1 << bits) - 1)).astype(np.int64) | 1, np.concatenate([d for _, d in parts])
+    return (place % U((1 << bits) - 1)).astype(np.int64) + 1, np.concatenate([d for _, d in parts])
 
 
 def fit(rows: list[tuple[str | None, int]], bits: int = BITS, epochs: int = 4, scale: float = 4.0, seed: int = 7) -> np.ndarray:

@@ -290,6 +290,28 @@ def test_quality(spark):
     assert all(x.predicted == int(x.doc_id % 4 > 0) for x in got) and all(0 <= x.score <= 1 for x in got)
 
 
+def test_quality_sees_word_order():
+    """Texts of phrases against the same words in any order, on rows that it didn't learn from; and all weights are used."""
+    r = random.Random(3)
+    phrases = [prose(f"phrase {k}", 4, 200).split() for k in range(40)]
+    rows = []
+    for k in range(400):
+        text = [w for _ in range(15) for w in r.choice(phrases)]
+        if k % 2:
+            r.shuffle(text)
+        rows.append((" ".join(text), 1 - k % 2))
+    weights = quality.fit(rows[:300])
+
+    def score(text):
+        place, _ = quality.features(words.Texts(pa.array([text])))
+        return weights[0] + 4 * weights[place].sum() / len(text.split())
+
+    good, bad = ([score(t) for t, y in rows[300:] if y == label] for label in (1, 0))
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.95
+    place, doc = quality.features(words.Texts(pa.array([prose(1, 3000, 10**6), None, "one", "two words"])))
+    assert len(place) == len(doc) and place.min() > 0 and place.max() < 1 << quality.BITS and 0.4 < np.mean(place % 2 == 0) < 0.6
+
+
 def test_classifiers_of_awkward_rows(spark, awkward):
     labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(awkward, labels).count() == 13
