@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree (unclosed paragraphs, list items and cells end where the next block begins). Parts that are never
-article text go: scripts, styles, forms, navigation, page headers and footers, asides, hidden parts, and elements whose
-class, id or role says menu, advert, notice, sidebar, comments and the like. Each remaining paragraph gives points for
+article text go: scripts, styles, forms, navigation, page headers and footers, asides, hidden parts, and elements whose role
+says menu, banner, dialog and the like. An element whose class or id says advert, notice, sidebar, comments and so on goes
+too, unless it holds most of the page's paragraph points, or an <article> or <main> that is not so named, and there is no other
+<article> or <main> with text. Names that tell a state (has-sidebar, comments-open) don't count. Each remaining paragraph gives points for
 its length and commas to its ancestors: all to the parent, half to the next, a third of a half to the one above, and so on;
 a container's points are then discounted by the share of its text that lies in links. The container with most points is
 the article, or the <article>/<main> element around it if there is one; without such an element its siblings with a
@@ -47,14 +49,16 @@ UNWANTED = frozenset(
     warning widget widgets""".split()
 )
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Names that tell a state of the element, not what it is.
+STATE = re.compile(r"(has|is|no|not|with|without|show|hide)[-_].*|.*[-_](open|closed|enabled|disabled|on|off|allowed)", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "points")
+    __slots__ = ("tag", "parent", "children", "skip", "suspect", "points")
 
     def __init__(self, tag: str, parent: "Node | None", skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
+        self.tag, self.parent, self.skip, self.suspect = tag, parent, skip, False
         self.children: list[Node | str] = []
         self.points = 0.0
 
@@ -67,10 +71,13 @@ def unwanted(tag: str, attributes: list[tuple[str, str | None]], within_article:
         return True
     if tag in ROOTS:
         return False
-    if a.get("role", "").lower() in UNWANTED_ROLE:
-        return True
-    named = f"{a.get('class', '')} {a.get('id', '')}"
-    return any(x.lower() in UNWANTED for x in PART.findall(named))
+    return a.get("role", "").lower() in UNWANTED_ROLE
+
+
+def named_unwanted(attributes: list[tuple[str, str | None]]) -> bool:
+    """Whether the class or id says that this is no article text. Only what the element holds decides whether it goes."""
+    names = " ".join(v or "" for k, v in attributes if k in ("class", "id")).split()
+    return any(x.lower() in UNWANTED for name in names if not STATE.fullmatch(name) for x in PART.findall(name))
 
 
 class Tree(HTMLParser):
@@ -79,6 +86,7 @@ class Tree(HTMLParser):
         self.root = self.at = Node("html", None, False)
         self.body = self.root
         self.articles = 0
+        self.suspects = False
 
     def climb(self, tags: set[str] | frozenset[str], scope: frozenset[str]) -> Node | None:
         """The nearest open element among tags, if no element of scope lies between."""
@@ -108,6 +116,8 @@ class Tree(HTMLParser):
         if tag in ENDED_BY and (open_one := self.climb(ENDED_BY[tag], SCOPE - ENDED_BY[tag])) is not None:
             self.close_to(open_one)
         node = Node(tag, self.at, self.at.skip or unwanted(tag, attrs, self.articles > 0))
+        if not node.skip and tag not in ("html", "body") and named_unwanted(attrs):
+            node.suspect = self.suspects = True
         self.at.children.append(node)
         if tag == "body" and self.body is self.root:
             self.body = node
@@ -167,12 +177,60 @@ def own_text(node: Node) -> str:
     return " ".join("".join(pieces).split())
 
 
+def paragraph_points(node: Node) -> float:
+    """The points that the node's own text gives: 0 if it is no paragraph."""
+    if node.tag in PARAGRAPH and len(text := own_text(node)) >= 25:
+        return 1 + text.count(",") + min(len(text) / 100, 3.0)
+    return 0.0
+
+
+def drop_suspects(root: Node) -> None:
+    """Skip the elements below root that are named as unwanted and don't hold the article."""
+    order: list[tuple[Node, bool]] = []
+    stack = [(root, False)]
+    while stack:
+        node, below = stack.pop()
+        if node.skip:
+            continue
+        # An <article> or <main> is never dropped for its own name.
+        below = below or node.suspect and node.tag not in ROOTS
+        order.append((node, below))
+        stack += [(x, below) for x in node.children if isinstance(x, Node)]
+    points: dict[Node, float] = {}
+    texts: dict[Node, bool] = {}
+    clean: dict[Node, bool] = {}
+    holds: set[Node] = set()
+    for node, below in reversed(order):
+        points[node] = points.get(node, 0.0) + paragraph_points(node)
+        said = any(isinstance(x, str) and bool(x.strip()) for x in node.children)
+        texts[node] = texts.get(node, False) or said
+        clean[node] = clean.get(node, False) or said and not below
+        if node.tag in ("article", "main") and not node.suspect and texts[node]:
+            holds.add(node)
+        if node.parent is not None:
+            points[node.parent] = points.get(node.parent, 0.0) + points[node]
+            texts[node.parent] = texts.get(node.parent, False) or texts[node]
+            clean[node.parent] = clean.get(node.parent, False) or clean[node]
+            if node in holds:
+                holds.add(node.parent)
+    rivals = {node for node, _ in order if node.tag in ("article", "main") and not node.suspect and clean[node]}
+    for node, _ in order:
+        if node.suspect and node.tag not in ROOTS:
+            around, above = 0, node.parent
+            while above is not None:
+                around += above in rivals
+                above = above.parent
+            node.skip = around < len(rivals) or not (node in holds or 2 * points[node] > points[root])
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = Tree()
     tree.feed(html)
     tree.close()
+    if tree.suspects:
+        drop_suspects(tree.root)
     scored: list[Node] = []
     named: list[Node] = []
     stack: list[Node] = [tree.root]
@@ -183,8 +241,7 @@ def main_text(html: str | None) -> str:
         stack += [x for x in node.children if isinstance(x, Node)]
         if node.tag in ("article", "main"):
             named.append(node)
-        if node.tag in PARAGRAPH and len(text := own_text(node)) >= 25:
-            points = 1 + text.count(",") + min(len(text) / 100, 3.0)
+        if points := paragraph_points(node):
             above, level = (node.parent, 0) if node.tag in ("p", "pre", "blockquote", "td", "dd", "li") else (node, 0)
             while above is not None:
                 if not above.points:

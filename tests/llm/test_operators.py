@@ -361,6 +361,22 @@ def test_html_text():
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_names_of_wrappers_drop_no_article():
+    body = "".join(f"<p>Sentence {k} of the article, which is long enough, with commas, to give points to it.</p>" for k in range(6))
+    want = " ".join(body.replace("<p>", "").split("</p>")).strip()
+    link = '<p><a href="/">A link to another page of this site, which is no article</a></p>'
+    for name in ('class="content has-sidebar"', 'id="message-body"', 'class="post comments-open"', 'class="sidebar"'):
+        for inside in (body, f"<article>{body}</article>", f"<main><div>{body}</div></main>"):
+            assert html_text.main_text(f"<body><div>{link}</div><div {name}>{inside}</div></body>") == want, (name, inside[:9])
+    assert html_text.main_text(f'<body><main><div id="message">{body}</div></main></body>') == want
+    comments = "<p>A comment on it that is long, longer than the text, with commas, and with more words in it.</p>" * 9
+    for tag in ("div", "article"):
+        rest = f'<div id="comments"><ol class="comment-list"><li><{tag} class="comment-body">{comments}</{tag}></li></ol></div>'
+        assert html_text.main_text(f"<body><article>{body}</article>{rest}</body>") == want
+        assert html_text.main_text(f"<body><main><article>{body}</article>{rest}</main></body>") == want
+    assert html_text.main_text(f'<body><div>{body}<div class="ad-slot">Buy this now, it is cheap, it is good, it is new.</div></div></body>') == want
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract(pages).collect()
