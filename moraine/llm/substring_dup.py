@@ -1,23 +1,29 @@
-"""Substring dedup: exact stretches of words, and paragraphs by MinHash banding.
+"""Substring dedup: windows of words and paragraphs by MinHash, verified exactly.
 
-Stretches. Every run of `least_run` words that occurs at two places is found, wherever it lies and however its lines are
-broken; what lies side by side at both places is one stretch, so a stretch ends where the words differ. Runs
-aren't compared all with all: each has an anchor, the shorter run of words inside it with the least hash, so equal runs have equal anchors.
-About a seventh of all places are anchors; they are sorted by hash and place, each with the digests of the runs it stands for, and
-the first of equal runs is the keeper. Words are compared with A-Z lower-cased.
+Windows. Every run of `least_run` words that occurs at two places is found, wherever it lies and however its lines are
+broken; what lies side by side at both places is one stretch, so a stretch ends where the words differ. Windows
+aren't compared all with all: a window's anchor is the MinHash (the smallest hash) of the ANCHOR-word shingles in it, a band of
+one row, so equal windows always collide. About an eighth of all places are anchors; each stands for the few windows in a row of which it is the
+least, and its context is a digest of all their words. Anchors that occur once go at once. Equal contexts are a class, however
+many places have them (a passage in a third of all documents is a few classes), with the first place as keeper; only classes
+that share an anchor and differ in context are compared window by window, by one member each. Of equal windows the first place
+is kept. Words are compared with A-Z lower-cased.
 
 Paragraphs (lines of 8 words or more) of equal content are found by a 128-bit digest. Paragraphs of unequal content become
-candidates by MinHash: each of `bands` keys is the smallest of its permuted 5-word shingle hashes; with one row in a band, 4
-bands find a pair of similarity 0.8 with a probability of 0.998. Candidates are confirmed by exact Jaccard similarity of their
+candidates by MinHash: each of `bands` keys is made of ROWS smallest permuted 5-word shingle hashes; 7 bands of 2 rows
+find a pair of similarity 0.8 with a probability of 0.999. Candidates are confirmed by exact Jaccard similarity of their
 shingles, and linked paragraphs are clustered by connected components. Of the paragraphs of a cluster the first (smallest
 doc_id, then place) is kept, the others are removed.
 
 Only passages count: repeated units (stretches and paragraphs) of a document that follow each other, with at most five words
-between two, make a run, and runs of fewer than `least_run` words (a heading, a common line) are left alone.
-
-Null and empty texts have no units. Rows with a null id are not compared and stay as they are. Rows with equal ids are one
-document; a unit is only removed from the text that it was found in. Repeats inside one document count too; where a stretch
-overlaps its own first place (a word over and over), the first `least_run` words stay.
+between two, make a run, and runs of fewer than `least_run` words (a heading, a common line) are left alone: the one
+least length of a passage, for stretches at their true ends.
+
+Null and empty texts have no units; an empty table gives an empty result. Rows with a null id are not compared and stay as
+they are. Rows with equal ids are one document; a unit is only removed from the text that it was found in. Repeats inside one
+document count too; where a stretch overlaps its own first place (a word over and over), the first `least_run` words stay. Of
+equal places by doc_id the smaller word place comes first. A very long text is one batch: about 100 bytes of
+memory for each of its words. Columns other than doc_id, text and n_chars are carried, never read.
 """
 
 from __future__ import annotations
@@ -39,8 +45,14 @@ BETWEEN = 5
 #: MinHash values that are compared before sets are.
 SIGNATURE = 128
 UNITS = "doc_id long, whole long, start int, n int, h1 long, h2 long"
-ANCHORS = "doc_id long, whole long, start int, anchor long, runs array<long>"
-STRETCHES = "doc_id long, whole long, start int, m int, keeper_doc_id long, keeper_start int, kept boolean"
+#: Words of the shingles whose least hash is a window's anchor.
+ANCHOR = 8
+#: Classes of an anchor up to which they are compared in one stream; those of more are compared by shuffling windows.
+IN_ONE_STREAM = 100_000
+LINES = f"{UNITS}, size long, keys array<long>"
+PLACES = "anchor long, context long, doc_id long, whole long, start int, m int"
+ANCHORS = "doc_id long, whole long, start int, anchor long, context long, lead boolean, runs array<long>"
+STRETCHES = "doc_id long, whole long, start int, m int, keeper_doc_id long, keeper_start int, kept boolean, anchor long, context long, lead boolean, at int"
 
 
 def tuned_bands(similarity: float, recall: float, rows: int = 1) -> int:
@@ -48,7 +60,8 @@ def tuned_bands(similarity: float, recall: float, rows: int = 1) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows) - 1e-9))
 
 
-BANDS = tuned_bands(0.8, 0.998)
+ROWS = 2
+BANDS = tuned_bands(0.8, 0.998, ROWS)
 
 
 class Cut:
@@ -82,55 +95,96 @@ def run_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray, seed: int
     return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(U))
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """The paragraphs: UNITS."""
+def lines(docs: DataFrame, bands: int) -> DataFrame:
+    """The paragraphs, with the number of their shingles and their band keys: LINES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             c = Cut(batch.column("text"))
+            n = len(c.first)
+            if not n:
+                continue
+            values, at, _ = _paragraph_sets(c)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(signed(np.stack(band_keys(values, at, bands, ROWS), axis=1).ravel())))
             ids = batch.column("doc_id").take(pa.array(c.doc, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(signed(c.whole[c.doc])), pa.array(c.first - c.begin[c.doc], pa.int32()), pa.array(c.last - c.first, pa.int32()), pa.array(signed(c.h1)), pa.array(signed(c.h2))],
-                names=["doc_id", "whole", "start", "n", "h1", "h2"],
-            )
+            whole, h1, h2 = (pa.array(signed(x)) for x in (c.whole[c.doc], c.h1, c.h2))
+            start, length = pa.array(c.first - c.begin[c.doc], pa.int32()), pa.array(c.last - c.first, pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, whole, start, length, h1, h2, pa.array(np.diff(at), pa.int64()), keys], names=[x.split()[0] for x in LINES.split(", ")])
+
+    return docs.mapInArrow(run, LINES)
+
 
-    return docs.mapInArrow(run, UNITS)
+class Anchored:
+    """The anchors of a run of texts.
+
+    group: places of the first windows; m: how many windows in a row an anchor stands for; of: their anchors, as hashes;
+    context: a digest of all words of the windows; windows: the windows' digests, m of them for each anchor.
+    """
+
+    def __init__(self, column: pa.Array, least: int):
+        self.texts = texts = Texts(column)
+        self.words = words = texts.word_hashes(lower=True)
+        self.least, short = least, min(ANCHOR, least)
+        n = max(0, len(words) - least + 1)
+        self.begin = np.cumsum(texts.per_doc) - texts.per_doc
+        self.whole = run_hashes(words, self.begin, self.begin + texts.per_doc, 3)
+        at = np.arange(max(0, len(words) - short + 1))
+        hashes = run_hashes(words, at, at + short, 1)
+        smallest, place = hashes[:n].copy(), at[:n].copy()
+        for k in range(1, least - short + 1):
+            smaller = hashes[k : k + n] < smallest
+            np.copyto(smallest, hashes[k : k + n], where=smaller)
+            np.copyto(place, at[k : k + n], where=smaller)
+        self.windows = first = np.flatnonzero(texts.doc[:n] == texts.doc[least - 1 :]) if n else at[:0]
+        new = np.ones(len(first), bool)
+        new[1:] = (place[first[1:]] != place[first[:-1]]) | (first[1:] != first[:-1] + 1)
+        self.at = np.flatnonzero(new)
+        self.m = np.diff(np.r_[self.at, len(first)])
+        self.group = first[self.at]
+        self.of = smallest[self.group]
+        self.context = run_hashes(words, self.group, self.group + self.m + least - 1, 7)
+        self.doc = texts.doc[self.group]
+
+    def columns(self, batch: pa.RecordBatch, some: np.ndarray) -> dict[str, pa.Array]:
+        doc = self.doc[some]
+        out = {"anchor": pa.array(signed(self.of[some])), "context": pa.array(signed(self.context[some])), "doc_id": batch.column("doc_id").take(pa.array(doc, pa.int64()))}
+        return out | {"whole": pa.array(signed(self.whole[doc])), "start": pa.array(self.group[some] - self.begin[doc], pa.int32()), "m": pa.array(self.m[some], pa.int32())}
+
+
+def places(docs: DataFrame, least: int) -> DataFrame:
+    """Where the anchors of all windows of least words are: PLACES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            a = Anchored(batch.column("text"), least)
+            if len(a.group):
+                yield pa.RecordBatch.from_pydict(a.columns(batch, np.arange(len(a.group))))
+
+    return docs.mapInArrow(run, PLACES)
 
 
 def anchors(docs: DataFrame, least: int) -> DataFrame:
-    """Every run of least words, by anchor: start (place of the first run), anchor (its hash), runs (hashes of runs at start, start + 1 ...)."""
-    short = (least + 1) // 2
+    """Every window of least words, by anchor: ANCHORS, with runs, the digests of the windows at start, start + 1 ...
+
+    If docs has a column `asked`, only anchors of the contexts in it are given.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            texts = Texts(batch.column("text"))
-            words = texts.word_hashes(lower=True)
-            if len(words) < least:
-                continue
-            begin = np.cumsum(texts.per_doc) - texts.per_doc
-            whole = run_hashes(words, begin, begin + texts.per_doc, 3)
-            at = np.arange(len(words) - short + 1)
-            hashes = run_hashes(words, at, at + short, 1)
-            n = len(words) - least + 1
-            smallest, place = hashes[:n].copy(), at[:n].copy()
-            for k in range(1, least - short + 1):
-                smaller = hashes[k : k + n] < smallest
-                np.copyto(smallest, hashes[k : k + n], where=smaller)
-                np.copyto(place, at[k : k + n], where=smaller)
-            first = np.flatnonzero(texts.doc[:n] == texts.doc[least - 1 :])
-            if not len(first):
+            a = Anchored(batch.column("text"), least)
+            some = np.arange(len(a.group))
+            if "asked" in batch.schema.names:
+                some = np.flatnonzero(np.isin(signed(a.context), batch.column("asked").flatten().to_numpy()))
+            if not len(some):
                 continue
-            runs = run_hashes(words, first, first + least, 2)
-            new = np.ones(len(first), bool)
-            new[1:] = (place[first[1:]] != place[first[:-1]]) | (first[1:] != first[:-1] + 1)
-            group = np.flatnonzero(new)
-            start = first[group]
-            doc = texts.doc[start]
-            ids = batch.column("doc_id").take(pa.array(doc, pa.int64()))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[group, len(first)], pa.int32()), pa.array(signed(runs)))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(signed(whole[doc])), pa.array(start - begin[doc], pa.int32()), pa.array(signed(smallest[start])), lists], names=["doc_id", "whole", "start", "anchor", "runs"]
-            )
+            windows = run_hashes(a.words, a.windows, a.windows + least, 2)
+            m = a.m[some]
+            stop = np.cumsum(m)
+            inner = np.arange(stop[-1]) - np.repeat(stop - m, m)
+            columns = a.columns(batch, some) | {"lead": pa.array(np.ones(len(some), bool))}
+            columns["runs"] = pa.ListArray.from_arrays(pa.array(np.r_[0, stop], pa.int32()), pa.array(signed(windows[np.repeat(a.at[some], m) + inner])))
+            names = [x.split()[0] for x in ANCHORS.split(", ")]
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     return docs.mapInArrow(run, ANCHORS)
 
@@ -140,12 +194,12 @@ def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     Of an anchor that goes on in the next batch, only the first places of its runs are held.
     """
-    columns = ("anchor", "doc_id", "whole", "start")
-    held, held_run, held_told, before = [np.zeros(0, np.int64)] * 4, np.zeros(0, np.int64), np.zeros(0, bool), None
+    columns = ("anchor", "doc_id", "whole", "start", "context", "lead", "start")
+    held, held_run, held_told, before = [np.zeros(0, np.int64)] * 7, np.zeros(0, np.int64), np.zeros(0, bool), None
     for batch in batches:
         if not batch.num_rows:
             continue
-        row = [batch.column(c).to_numpy().astype(np.int64) for c in columns]
+        row = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
         anchor, lists = row[0], batch.column("runs")
         # Rows that occur twice, and anchors that occur once.
         keep = np.ones(len(anchor), bool)
@@ -161,7 +215,7 @@ def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
         row = [np.r_[h, x[owner]] for h, x in zip(held, row)]
         row[3][len(held_run) :] += inner
-        anchors_, doc, whole, start = row
+        anchors_, doc, whole, start, context, lead, at = row
         run = np.r_[held_run, lists.flatten().to_numpy()]
         told = np.r_[held_told, np.zeros(len(owner), bool)]
         if not len(run):
@@ -178,22 +232,74 @@ def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         held, held_run, held_told = [x[goes_on] for x in row], run[goes_on], told[goes_on]
         if not len(out):
             continue
-        ends = [doc[out], whole[out], start[out], doc[keeper[out]], start[keeper[out]], kept[out]]
+        ends = [doc[out], whole[out], start[out], doc[keeper[out]], start[keeper[out]], kept[out], anchors_[out], context[out], lead[out], at[out]]
         new = np.ones(len(out), bool)
-        new[1:] = np.any([np.diff(x.astype(np.int64)) != step for x, step in zip(ends, (0, 0, 1, 0, 1, 0))], axis=0)
+        new[1:] = np.any([np.diff(x.astype(np.int64)) != step for x, step in zip(ends, (0, 0, 1, 0, 1, 0, 0, 0, 0, 0))], axis=0)
         begin = np.flatnonzero(new)
-        d, w, s, kd, ks, k = (x[begin] for x in ends)
+        d, w, s, kd, ks, k, a, c, first_of, row_start = (x[begin] for x in ends)
         m = np.diff(np.r_[begin, len(out)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(d), pa.array(w), pa.array(s, pa.int32()), pa.array(m, pa.int32()), pa.array(kd), pa.array(ks, pa.int32()), pa.array(k)],
-            names=["doc_id", "whole", "start", "m", "keeper_doc_id", "keeper_start", "kept"],
+            [pa.array(d), pa.array(w), pa.array(s, pa.int32()), pa.array(m, pa.int32()), pa.array(kd), pa.array(ks, pa.int32()), pa.array(k), pa.array(a), pa.array(c), pa.array(first_of > 0), pa.array(row_start, pa.int32())],
+            names=[x.split()[0] for x in STRETCHES.split(", ")],
         )
 
 
-def stretches(docs: DataFrame, least: int) -> DataFrame:
+def windows_by_shuffle(rows: DataFrame) -> DataFrame:
+    """What repeated_runs gives, for anchors with more classes than one stream should take: one row a window, pre-aggregated by window."""
+    each = rows.select("doc_id", "whole", F.col("start").alias("at"), "anchor", "context", "lead", F.posexplode("runs").alias("_j", "run")).withColumn("start", F.col("at") + F.col("_j"))
+    place = F.struct("doc_id", "start", "whole")
+    ends = each.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
+    out = each.join(ends, "run").withColumns({"m": F.lit(1), "keeper_doc_id": F.col("first.doc_id"), "keeper_start": F.col("first.start"), "kept": kept})
+    return out.select(*(x.split()[0] for x in STRETCHES.split(", ")))
+
+
+def repeated_windows(docs: DataFrame, least: int, in_one_stream: int = IN_ONE_STREAM) -> DataFrame:
+    """Windows that occur at two places, m in a row: doc_id, whole, start, m, keeper_doc_id, keeper_start, kept."""
+    every = stored(places(docs, least), "places")
+    again = stored(every.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    members = stored(every.join(again, "anchor"), "anchored")
+    discard(every, again)
+    place = F.struct("doc_id", "start", "whole")
+    classes = members.groupBy("anchor", "context", "m").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    classes = stored(classes, "classes")
+    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"))
+    classes_n = stored(classes.join(several, "anchor").where("classes > 1 or first != last"), "classes")
+    discard(classes)
+    # One context: all its places repeat the first.
+    alone, mixed = classes_n.where("classes = 1"), classes_n.where("classes > 1")
+    keeper = {"keeper_doc_id": F.col("first.doc_id"), "keeper_start": F.col("first.start")}
+    result = ["doc_id", "whole", "start", "m", "keeper_doc_id", "keeper_start", "kept"]
+    leads = alone.withColumns(keeper | {"doc_id": F.col("first.doc_id"), "whole": F.col("first.whole"), "start": F.col("first.start"), "kept": F.lit(True)}).select(*result)
+    same = alone.withColumns(keeper | {"kept": F.lit(False), "j": F.lit(0)}).select("anchor", "context", "first", "j", F.col("m").alias("m2"), "keeper_doc_id", "keeper_start", "kept")
+    # Several contexts: their windows are compared, for the first and the last place of each.
+    asked = stored(mixed.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("context").alias("asked")), "asked")
+    lists = semi_join(docs, asked.select("doc_id"), "doc_id").join(asked, "doc_id")
+    lists = anchors(lists, least).select("anchor", "context", "runs").dropDuplicates(["anchor", "context"])
+    ends = F.explode(F.array_distinct(F.array("first", "last"))).alias("_place")
+    rows = mixed.select("anchor", "context", "classes", "first", ends).withColumn("lead", F.col("_place") == F.col("first")).join(lists, ["anchor", "context"])
+    rows = stored(rows.select("_place.*", "anchor", "context", "classes", "lead", "runs"), "windows")
+    stream = rows.where(F.col("classes") <= in_one_stream).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start", "whole")
+    found = stream.mapInArrow(repeated_runs, STRETCHES)
+    if rows.where(F.col("classes") > in_one_stream).limit(1).count():
+        found = found.union(windows_by_shuffle(rows.where(F.col("classes") > in_one_stream)))
+    found = stored(found, "windows")
+    discard(rows, asked)
+    like_last = found.where("not lead").select("anchor", "context", (F.col("start") - F.col("at")).alias("j"), F.col("m").alias("m2"), "keeper_doc_id", "keeper_start", "kept")
+    like_last = like_last.join(mixed.select("anchor", "context", "first"), ["anchor", "context"]).select(*same.columns)
+    others = members.drop("m").join(same.union(like_last), ["anchor", "context"]).where(place != F.col("first"))
+    others = others.withColumn("start", F.col("start") + F.col("j")).withColumnRenamed("m2", "m").select(*result)
+    out = stored(others.union(leads).union(found.where("lead").select(*result)), "repeated")
+    discard(members, classes_n, found)
+    return out
+
+
+def stretches(docs: DataFrame, least: int, in_one_stream: int = IN_ONE_STREAM) -> DataFrame:
     """Every stretch of least words or more that occurs before, and (kept) every first one: doc_id, whole, start, n, keeper_doc_id, keeper_start, kept."""
-    parts = anchors(docs, least).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start", "whole").mapInArrow(repeated_runs, STRETCHES)
+    parts = repeated_windows(docs, least, in_one_stream)
     order = Window.partitionBy("doc_id", "whole").orderBy("start")
+    # Rows that occur twice give each place twice.
+    parts = parts.withColumn("_twice", F.lag("start").over(order).eqNullSafe(F.col("start"))).where("not _twice").drop("_twice")
     before = F.lag(F.struct(F.col("start") + F.col("m"), "keeper_doc_id", F.col("keeper_start") + F.col("m"), "kept")).over(order)
     same = before == F.struct("start", "keeper_doc_id", "keeper_start", "kept")
     parts = parts.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
@@ -218,25 +324,15 @@ def _paragraph_sets(c: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, at, c.h1
 
 
-def band_keys(values: np.ndarray, at: np.ndarray, bands: int) -> list[np.ndarray]:
-    """For every band, the keys of sets that lie one after the other: the smallest of their permuted elements."""
-    return [mix(np.minimum.reduceat(mix(values ^ U(977 * (b + 1))), at[:-1]) + U(b)) for b in range(bands)]
-
-
-def paragraph_keys(docs: DataFrame, bands: int) -> DataFrame:
-    """key, id (content hash), size for every paragraph and band."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            values, at, ids = _paragraph_sets(Cut(batch.column("text")))
-            if not len(ids):
-                continue
-            keys = band_keys(values, at, bands)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(np.concatenate(keys))), pa.array(np.tile(signed(ids), bands)), pa.array(np.tile(np.diff(at), bands), pa.int64())], names=["key", "id", "size"]
-            )
-
-    return docs.mapInArrow(run, "key long, id long, size long")
+def band_keys(values: np.ndarray, at: np.ndarray, bands: int, rows: int = 1) -> list[np.ndarray]:
+    """For every band, the keys of sets that lie one after the other, from the smallest of their permuted elements, rows of them."""
+    out = []
+    for b in range(bands):
+        key = np.full(len(at) - 1, U(b))
+        for r in range(b * rows, (b + 1) * rows):
+            key = mix(key * U(3) + np.minimum.reduceat(mix(values ^ U(977 * (r + 1))), at[:-1]))
+        out.append(key)
+    return out
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -260,13 +356,13 @@ def in_long_runs(members: DataFrame, least: int) -> DataFrame:
 def clusters(docs: DataFrame, percent: int = 80, bands: int = BANDS, least_run: int = LEAST_RUN) -> DataFrame:
     """Every unit that repeats: doc_id, start (word place), n (words), paragraph, whole (a hash of its text), keeper_doc_id, keeper_start, kept."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    keys = paragraph_keys(docs, bands)
+    every = stored(lines(docs, bands), "lines")
+    keys = every.select(F.explode("keys").alias("key"), F.col("h1").alias("id"), "size")
     shared = stored(keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("key"), "shared-keys")
     buckets = stored(keys.join(shared, "key").distinct(), "buckets")
 
     def sets(wanted: DataFrame) -> DataFrame:
-        every = units(docs).select(F.col("h1").alias("id"), "doc_id")
-        where = stored(semi_join(every, wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "contents")
+        where = stored(semi_join(every.select(F.col("h1").alias("id"), "doc_id"), wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "contents")
         ids = stored(where.select("doc_id").distinct(), "ids")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +392,6 @@ def clusters(docs: DataFrame, percent: int = 80, bands: int = BANDS, least_run:
     # Six standard deviations of the signatures' share under the threshold.
     share = percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / SIGNATURE)
     near = connect(buckets, verify, signed_sets, percent, by_region=False, share=share)
-    every = units(docs)
     place = F.struct("doc_id", "start", "n")
     ends = [F.min(place).alias("keeper"), F.max(place).alias("other")]
     repeated = every.groupBy("h1").agg(*ends).where("keeper != other").select("h1")
@@ -305,6 +400,7 @@ def clusters(docs: DataFrame, percent: int = 80, bands: int = BANDS, least_run:
     discard(shared, buckets)
     members = every.join(named, "h1").withColumn("cluster2", F.when(F.col("near"), F.lit(0)).otherwise(F.col("h2")))
     members = stored(members.select("doc_id", "whole", "start", "n", "cluster", "cluster2", "near"), "repeats")
+    discard(every, named)
     # What is at one place only, as in rows with equal ids, must not lengthen a run.
     single = members.where("near").groupBy("cluster").agg(*ends).where("keeper = other").select("cluster", F.lit(True).alias("near"))
     members = members.join(single, ["cluster", "near"], "left_anti")

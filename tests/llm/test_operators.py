@@ -597,3 +597,18 @@ def test_pipeline_stages_take_empty_tables(spark, sf):
     none = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf).count() == 0, name
+
+
+def test_many_classes_of_an_anchor_are_compared_alike(spark):
+    """The windows of an anchor in one stream, and by shuffling them: copies, edges, words over and over, rows that occur twice."""
+    r = random.Random(41)
+    passages = [prose(f"hot {k}", r.choice([24, 40, 60]), 5000) for k in range(4)] + ["the " * 50]
+    rows = [(k, f"{prose(f'l {k}', r.randrange(0, 30), 5000)} {r.choice(passages)} {prose(f'r {k}', r.randrange(0, 30), 5000)}") for k in range(50)]
+    rows += [(100 + k, rows[7][1]) for k in range(5)] + rows[:6]
+    frame = docs(spark, [(i, t, None, None) for i, t in rows])
+    one, two = ({tuple(x) for x in substring_dup.stretches(frame, 24, n).collect()} for n in (10**6, 0))
+    assert one == two and len(one) > 50
+    left = {i: t.split() for i, t in rows}
+    for x in substring_dup.stretches(frame, 24).where("not kept").collect():
+        left[x.doc_id][x.start : x.start + x.n] = [None] * x.n
+    assert {i: [x for x in w if x] for i, w in left.items()} == without_repeats_by_brute_force(dict(rows).items())
