@@ -59,11 +59,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_substring_dup, op3_fingerprints, op4_katz, op6_topk, op9_near_dup, op5_language_id, op7_quality, op8_html_text, op10_packing)}
 #: The other operators learn, sketch, hash or tokenize in ways that SQL doesn't have.
 ORACLES: dict[str, str] = {
-    "op6_topk": """WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+    "op6_topk": """WITH r AS (SELECT vec_id, embedding, row_number() OVER () AS n FROM embeddings),
+v AS (
+  SELECT vec_id, n, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM r
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.n, q.vec_id AS query_id, v.vec_id, CASE WHEN len(q.x) = 0 THEN 0 ELSE list_dot_product(q.x, v.x) END::BIGINT AS score
+  FROM v q JOIN v ON len(q.x) = len(v.x) AND q.n <> v.n WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
     "op9_near_dup": r"""WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]

@@ -321,25 +321,68 @@ def test_classifiers_of_awkward_rows(spark, awkward):
     assert langid.train(awkward.limit(0)) is None
 
 
-def test_topk_equals_brute_force(spark):
+def topk_by_brute_force(rows, k=5, scale=256):
+    """(query_id, ((score, vec_id), ...)) for every row whose id is divisible by 50; each row is its own candidate for no one but itself."""
+    whole = [(i, None if v is None or any(c is None or not math.isfinite(c) for c in v) else [math.floor(scale * c) for c in v]) for i, v in rows]
+    out = []
+    for n, (q, x) in enumerate(whole):
+        if q is not None and q % 50 == 0 and x is not None:
+            scored = [(-sum(a * b for a, b in zip(x, y)), i is None, i or 0, i) for m, (i, y) in enumerate(whole) if m != n and y is not None and len(x) == len(y)]
+            out.append((q, tuple((-s, i) for s, _, _, i in sorted(scored, key=lambda t: t[:3])[:k])))
+    return sorted(out, key=str)
+
+
+def topk_rows(found):
+    """The same from results: lists of equal query ids are told apart by nothing, so they are compared rank by rank."""
+    got = defaultdict(list)
+    for x in found:
+        got[x.query_id, x.rank].append((x.score, x.vec_id))
+    return {key: sorted(v, key=str) for key, v in got.items()}
+
+
+def by_rank(lists):
+    got = defaultdict(list)
+    for q, best in lists:
+        for n, x in enumerate(best):
+            got[q, n + 1].append(x)
+    return {key: sorted(v, key=str) for key, v in got.items()}
+
+
+@pytest.mark.parametrize("block_rows", [100, 10**6])
+def test_topk_equals_brute_force(spark, block_rows):
+    """Ties, repeated ids of queries and of others, null ids, several lengths, empty vectors, and vectors that take no part."""
     r = np.random.default_rng(3)
     x = np.round(r.normal(size=(600, 8)), 1)  # many ties
     x[10:60] = x[10]
-    rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)] + [(2000, None), (2050, [1.0, None] + [0.0] * 6), (2100, [float("nan")] * 8), (2150, [float("inf")] * 8), (2200, [0.0] * 8), (None, [1.0] * 8), (3, [2.0])]
+    rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)] + [(2000, None), (2050, [1.0, None] + [0.0] * 6), (2100, [float("nan")] * 8), (2150, [float("inf")] * 8), (2200, [0.0] * 8)]
+    rows += [(None, [1.0] * 8), (None, [-1.0] * 8), (50, rows[50][1]), (100, [0.3] * 8), (7, [9.0] * 8), (0, [2.0]), (3, [2.0]), (4, [-2.0]), (2250, [1.0, 2.0, 3.0]), (2300, []), (2350, []), (11, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
-    got = defaultdict(list)
-    for q in topk.search(frame, F.col("vec_id") % 50 == 0, block_rows=100, query_rows=5).orderBy("query_id", "rank").collect():
-        got[q.query_id].append((q.rank, q.score, q.vec_id))
-    ids = [*range(600), 2200]
-    whole = np.vstack([np.floor(x * 256), np.zeros(8)]).astype(int)
-    assert sorted(got) == [i for i in ids if i % 50 == 0]
-    for q in got:
-        own = whole[ids.index(q)]
-        best = sorted((-int(v @ own), i) for i, v in zip(ids, whole) if i != q)[:5]
-        assert got[q] == [(n + 1, -s, i) for n, (s, i) in enumerate(best)]
+    got = topk.search(frame, F.col("vec_id") % 50 == 0, block_rows=block_rows, query_rows=5).collect()
+    want = topk_by_brute_force(rows)
+    assert topk_rows(got) == by_rank(want) and {q for q, best in want if not best} == {2250}
     assert topk.search(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_keeps_links_of_rows_with_one_id(spark):
+    frame = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (1, [3.0])], "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.search(frame, F.col("vec_id") % 50 == 0).collect())
+    assert got == [(0, 1, 1, 3 * 65536), (0, 1, 1, 6 * 65536), (0, 2, 0, 2 * 65536), (0, 2, 0, 2 * 65536)]
+
+
+def test_threshold_stops_early_and_is_exact():
+    """Where a few vectors stand out, reading stops; large numbers are scored as integers."""
+    r = np.random.default_rng(8)
+    x = r.integers(-50, 50, (5000, 6))
+    x[:20] += r.integers(900, 1000, (20, 6))
+    q = r.integers(1, 50, (4, 6))
+    q[3] <<= 40
+    rows = np.arange(5000)
+    for at, best, score in topk.threshold_search(q, np.full(4, -1), np.full(4, -(2**62)), x, rows, rows, 5):
+        exact = x @ q[at]
+        order = np.lexsort((rows, -exact))[:5]
+        assert list(best) == list(order) and list(score) == list(exact[order])
+
+
 PAGE = """<!doctype html><html><head><title>T</title><script>var a = "<p>no</p>";</script><style>p{}</style></head><body>
 <header><p>Site name, with commas, and more commas, in a header</p></header><nav><ul><li><a href=x>Menu</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies, as everybody does, so please agree to them</p></div><div class="content"><div class=post>
