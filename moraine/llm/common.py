@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir; where that is unset, a temporary one if all run on one machine."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="moraine-"))
         known = sc.getCheckpointDir()
     return known.rstrip("/")
@@ -55,21 +57,30 @@ def id_remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
-def bounded_sample(labelled: DataFrame, key: str, label: str, per_label: int, max_labels: int = 1000) -> DataFrame:
-    """About per_label rows (key, label) of every label, by hash of the key: at most 1.2 * per_label * max_labels + noise.
+def bounded_sample(labelled: DataFrame, key: str, label: str, per_label: int, total: int = 24_000) -> DataFrame:
+    """At most per_label rows (key, label) of every label, by hash of the key; fewer of each where that would pass total rows.
 
-    Only the count of every label comes to the driver. Labels beyond the max_labels most frequent ones are not learned.
-    Rows without a key or label are left out.
+    No label is left out: each has one row at least. Only the number of labels comes to the driver, and tasks pass on no more
+    than per_label rows of a label. Rows without a key or label are left out.
     """
-    rows = labelled.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
-    if not counts:
-        return rows.select(key, label).limit(0)
-    unit = F.pmod(F.xxhash64(F.lit("bounded sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col(label) == F.lit(r[label]), F.lit(min(1.0, 1.2 * per_label / r["count"]))).otherwise(rate)
-    return rows.where(unit < rate).select(key, label)
+    rows = labelled.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    labels = rows.select(label).distinct().count()
+    most = max(1, min(per_label, total // max(1, labels)))
+    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit("bounded sample"), F.col(key)), key)
+    return rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most).drop("_place")
+
+
+def bounded_texts(rows: DataFrame, label: str, most_bytes: int = 200_000_000) -> list:
+    """rows (doc_id, text and a label) for the driver: of each label, by hash of doc_id, those whose texts together fit its share of most_bytes.
+
+    Texts over a hundredth of that share come last; of every label one row is taken, whatever its size.
+    """
+    share = most_bytes // max(1, rows.select(label).distinct().count())
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    order = Window.partitionBy(label).orderBy(size * 100 > share, F.xxhash64("doc_id"), "doc_id", "text")
+    rows = rows.withColumn("_so_far", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_place", F.row_number().over(order))
+    kept = rows.where((F.col("_so_far") <= share) | (F.col("_place") == 1)).drop("_so_far", "_place").collect()
+    return sorted(kept, key=lambda r: (r["doc_id"], str(r[label]), r["text"] or ""))
 
 
 def widened(df: DataFrame, more: str) -> StructType:

@@ -1,12 +1,15 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are hashed byte n-grams (1 to 4 bytes, so 1 to 4 letters of Latin text, with one space for any white space and
-A-Z lower-cased), weighted by term frequency (share of the text's n-grams) times inverse document frequency of the
+Features are hashed n-grams of 1 to 4 characters (code points, with one space for any white space, in lower case),
+weighted by term frequency (share of the text's n-grams) times inverse document frequency of the
 training rows. Training is follow-the-regularised-leader with L1 and L2 penalties; a tenth of the training rows is kept
 aside to fit one temperature, which makes the score of the predicted class a calibrated probability.
 
-Training reads at most about `per_label` rows of each language: that bound is the only sample. A null text, and one
-without a letter, is `und` with score 0. Without training rows every text is `und`. Ties go to the language that sorts first.
+Training reads at most `per_label` rows of each language, 24,000 of all (no language is left out), and 200 MB of their texts:
+those bounds are the only sample. Every row is predicted from its whole text; a very long text is one batch, about 60 bytes of memory
+for each of its characters. A null text, and one without a letter, is `und` with score 0. Without training rows, or from an
+empty table, every text is `und`. Ties go to the language that sorts first. Repeated rows are predicted alike; of rows
+with one id and several languages the sample takes all. Input columns named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -18,31 +21,56 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, id_remainder, widened
+from .common import bounded_sample, bounded_texts, discard, id_remainder, stored, widened
 from .ftrl import Ftrl, temperature
-from .words import BASE, LOWER, SPACE, U, Texts, chunks
+from .words import BASE, U, Texts, chunks
 
 BITS, SCALE, LENGTHS = 16, 60.0, (1, 2, 3, 4)
 LETTER = re.compile(r"[^\W\d_]")
-FOLD = np.where(SPACE, 0x20, LOWER).astype(np.uint64)
+
+
+def _folded(code: int) -> int:
+    """The code of a character in lower case, if that is one character; of white space, that of a space."""
+    x = chr(code)
+    return 0x20 if x.isspace() else ord(x.lower()) if not 0xD800 <= code < 0xE000 and len(x.lower()) == 1 else code
+
+
+FOLD = np.array([_folded(c) for c in range(1 << 16)], np.uint32)
+
+
+def characters(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The folded code points of all texts, and where each text's begin (texts.n + 1 places)."""
+    data = texts.data
+    if not (data & 0x80).any():
+        return FOLD[data], texts.at
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    more = np.diff(np.r_[start, len(data)]) - 1
+    lead = data[start].astype(np.uint32)
+    code = np.where(more == 0, lead, lead & (0x3F >> more))
+    for k in range(1, 4):
+        some = np.flatnonzero(more >= k)
+        code[some] = (code[some] << 6) | (data[start[some] + k] & 0x3F)
+    small = code < 1 << 16
+    code[small] = FOLD[code[small]]
+    return code, np.searchsorted(start, texts.at)
 
 
 def grams(texts: Texts, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray]:
-    """For every n-gram length, the place of the n-gram that ends at each byte; and the text of each byte.
+    """For every n-gram length, the place of the n-gram that ends at each character; and where each text's begin.
 
-    An n-gram that would begin in the text before reads its first byte there as a space.
+    An n-gram that would begin in the text before reads its first character there as a space.
     """
-    folded = FOLD[texts.data]
-    owner = np.repeat(np.arange(texts.n), np.diff(texts.at))
+    folded, at = characters(texts)
+    folded = folded.astype(U)
     key, places = np.zeros(len(folded), U), []
-    since = np.arange(len(folded)) - texts.at[owner] if len(folded) else np.zeros(0, np.int64)
+    since = np.arange(len(folded)) - np.repeat(at[:-1], np.diff(at))
     for n in LENGTHS:
         earlier = np.full(len(folded), U(0x20))
         earlier[n - 1 :] = folded[: len(folded) - n + 1]
         earlier[since < n - 1] = U(0x20)
-        key = key * U(257) + earlier + U(1)
+        key = key * U(0x110001) + earlier + U(1)
         places.append((((key + U(n)) * U(BASE)) >> U(64 - bits)).astype(np.int64))
-    return places, owner
+    return places, at
 
 
 def has_letter(text: str | None) -> bool:
@@ -55,17 +83,17 @@ class Model:
         self.names, self.table, self.bias, self.heat = names, table, bias, heat
 
     def logits(self, texts: Texts) -> np.ndarray:
-        places, _ = grams(texts)
+        places, at = grams(texts)
         total = np.zeros((texts.n, len(self.names)))
-        filled = np.flatnonzero(np.diff(texts.at))
+        filled = np.flatnonzero(np.diff(at))
         if len(filled):
             for k in range(len(self.names)):
                 column = self.table[k]
                 value = column[places[0]]
                 for p in places[1:]:
                     value = value + column[p]
-                total[filled, k] = np.add.reduceat(value, texts.at[filled], dtype=np.float64)
-        count = np.maximum(1, len(LENGTHS) * np.diff(texts.at))[:, None]
+                total[filled, k] = np.add.reduceat(value, at[filled], dtype=np.float64)
+        count = np.maximum(1, len(LENGTHS) * np.diff(at))[:, None]
         return (total * SCALE / count + self.bias) / self.heat
 
 
@@ -99,13 +127,11 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, seed: int = 5) -> Model |
 
 def train(docs: DataFrame, per_label: int = 800) -> Model | None:
     """Fit on rows with a language whose crc32(doc_id) mod 4 is not 2."""
-    known = docs.where((id_remainder("doc_id", 4) != 2) & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    sample = bounded_sample(known.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id", "lang", per_label).toPandas()
-    if not len(sample):
-        return None
-    picked = docs.sparkSession.createDataFrame(sample[["doc_id"]])
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull()).join(F.broadcast(picked), "doc_id").collect()
-    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"] or ""))])
+    known = docs.where((id_remainder("doc_id", 4) != 2) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    picked = stored(bounded_sample(known.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id", "lang", per_label), "sample")  # 24,000 rows, or one a language
+    rows = bounded_texts(known.join(F.broadcast(picked.select("doc_id")), "doc_id"), "lang")
+    discard(picked)
+    return fit([(r["text"], r["lang"]) for r in rows])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -4,9 +4,11 @@ Every word gives two tokens: itself, and its form (which kinds of characters it
 before). Unigrams, bigrams and trigrams of both are hashed into 2**bits weights. A row's value for a feature is the feature's share of the text's words, times a scale; a score is the sparse dot
 product of those shares and the weights, through the logistic function.
 
-Training reads at most about `per_label` rows of each label (chosen by hash of doc_id): that bound is the only sample.
-Null and empty texts have only the bias, and get a score from it. Repeated rows are scored alike. Without training rows,
-every score is 0.5.
+Training reads at most `per_label` rows of each label (chosen by hash of doc_id) and 200 MB of their texts: those bounds are the
+only sample. Every row is scored by its whole text; a very long text is one batch, about 150 bytes of memory a word. Null and
+empty texts have only the bias, and get a score from it. Repeated rows, and ties, are scored alike: a score depends on the
+text alone. Null ids are scored and never learned. Without training rows every score is 0.5; empty tables give empty results.
+Input columns named score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, id_remainder, widened
+from .common import bounded_sample, bounded_texts, discard, id_remainder, stored, widened
 from .ftrl import Ftrl
 from .words import U, Texts, chunks, mix
 
@@ -96,12 +98,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> np.ndarr
     """Fit on labelled rows with crc32(doc_id) mod 5 other than 0. Of several labels for an id, the highest counts."""
     known = labels.where(id_remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1))
-    sample = bounded_sample(known, "doc_id", "quality", per_label).toPandas()
-    if not len(sample):
-        return fit([])
-    picked = docs.sparkSession.createDataFrame(sample[["doc_id", "quality"]])
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
-    return fit([(r["text"], r["quality"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))])
+    picked = stored(bounded_sample(known, "doc_id", "quality", per_label), "sample")  # at most 2 * per_label rows
+    rows = bounded_texts(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "quality")
+    discard(picked)
+    return fit([(r["text"], r["quality"]) for r in rows])
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from moraine.llm import components, fingerprints, html_text, katz, langid, linking, mixing, near_dup, packing, quality, setsketch, substring_dup, topk, words
+from moraine.llm import common, components, fingerprints, html_text, katz, langid, linking, mixing, near_dup, packing, quality, setsketch, substring_dup, topk, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -275,6 +275,51 @@ def test_language_id(spark):
     assert {x.lang_pred for x in langid.predict(frame, None).collect()} == {"und"}
 
 
+def test_language_grams_are_of_characters():
+    """Every n-gram of code points has one place, whatever bytes it takes; upper case and kinds of space are one."""
+    text = "ÀB \t漢字é😀"
+    t = words.Texts(pa.array(["x", text, None, "ΑΒ"]))
+    code, at = langid.characters(t)
+    assert list(code) == [ord(c) for c in "x" + "àb  漢字é😀" + "αβ"] and list(at) == [0, 1, 9, 9, 11]
+    places, _ = langid.grams(t)
+    same, _ = langid.grams(words.Texts(pa.array(["q àb\n\n漢字é😀"])))
+    assert [list(p[5:9]) for p in places[:3]] == [list(p[6:10]) for p in same[:3]]
+
+
+def held_out(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def test_language_id_is_right_on_rows_it_did_not_learn_from(spark, sf):
+    frame = held_out(spark, sf, "documents").select("doc_id", "text", "lang")
+    got = langid.predict(frame, langid.train(frame)).where((langid.id_remainder("doc_id", 4) == 2) & F.col("lang").isNotNull()).collect()
+    got = [x for x in got if langid.has_letter(x.text)]
+    assert len(got) > 10 and np.mean([x.lang == x.lang_pred for x in got]) >= 0.97
+
+
+def test_quality_is_right_on_rows_it_did_not_learn_from(spark, sf):
+    labels = held_out(spark, sf, "labels")
+    got = quality.classify(held_out(spark, sf, "documents").select("doc_id", "text"), labels)
+    got = got.join(labels.select("doc_id", "quality"), "doc_id").where((quality.id_remainder("doc_id", 5) == 0) & F.col("quality").isNotNull()).collect()
+    good, bad = ([x.score for x in got if x.quality == y] for y in (1, 0))
+    assert good and bad and np.mean([[g > b for b in bad] for g in good]) >= 0.95 and np.mean([x.predicted == x.quality for x in got]) >= 0.9
+
+
+def test_samples_leave_no_label_out(spark):
+    """Rare labels among many, more labels than rows allow for, and texts beyond the bound."""
+    frame = spark.createDataFrame([(k, f"l{k % 7}" if k < 700 else "rare", "x" * (100 + k)) for k in range(701)], "doc_id long, lang string, text string")
+    count = lambda f: Counter(x.lang for x in f.collect())
+    assert count(common.bounded_sample(frame, "doc_id", "lang", 20)) == {**{f"l{k}": 20 for k in range(7)}, "rare": 1}
+    assert count(common.bounded_sample(frame, "doc_id", "lang", 20, total=16)) == {**{f"l{k}": 2 for k in range(7)}, "rare": 1}
+    assert set(count(common.bounded_sample(frame, "doc_id", "lang", 20, total=3)).values()) == {1}
+    some = common.bounded_texts(frame, "lang", most_bytes=80_000)
+    size = Counter()
+    for x in some:
+        size[x.lang] += len(x.text)
+    assert len(size) == 8 and all(5_000 < n <= 10_000 for g, n in size.items() if g != "rare")
+    assert len(common.bounded_texts(frame, "lang", most_bytes=10)) == 8
+
+
 def test_temperature_calibrates():
     r = np.random.default_rng(0)
     logits = r.normal(size=(4000, 3)) * 2
