@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import discard, stored
 from .components import components
 
 #: Items in a block of a cell, about.
@@ -41,8 +41,9 @@ def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
 
 
-def _cell(left: pa.Table, right: pa.Table, percent: int, share: float) -> pa.Table:
-    """Links between items of two tables (id, component, hashes, keys) of other components, more than a share of whose keys are equal.
+def _cells(left: pa.Table, right: pa.Table, percent: int, share: float) -> pa.Table:
+    """Links between items of two tables (region, o, m, id, component, hashes, keys), of one cell (region, o, m) and of
+    other components, more than a share of whose keys are equal.
 
     Of all links only enough are given to join what they join: items joined by a link found before aren't compared again.
     """
@@ -52,21 +53,34 @@ def _cell(left: pa.Table, right: pa.Table, percent: int, share: float) -> pa.Tab
         keys = [_lists(t, "keys")[0].reshape(t.num_rows, -1) for t in (left, right)]
         ids, groups = ([t.column(c).to_numpy().copy() for t in (left, right)] for c in ("id", "component"))
         size = [np.diff(x) for x in at]
-        for k in range(left.num_rows):
-            n, m = size[0][k], size[1]
-            may = (groups[1] != groups[0][k]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
-            may[may] = (keys[1][may] == keys[0][k]).mean(axis=1) > share
-            x = values[0][at[0][k] : at[0][k + 1]]
-            for j in np.flatnonzero(may):
-                if groups[1][j] == groups[0][k]:
-                    continue
-                y = values[1][at[1][j] : at[1][j + 1]]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    found.append((ids[0][k], ids[1][j]))
-                    joined = groups[1][j]
-                    for g in groups:
-                        g[g == joined] = groups[0][k]
+        cells = [np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("region", "o", "m")], axis=1) for t in (left, right)]
+        _, number = np.unique(np.concatenate(cells), axis=0, return_inverse=True)
+        number = number.ravel()
+        number = [number[: left.num_rows], number[left.num_rows :]]
+        order = [np.argsort(x, kind="stable") for x in number]
+        bounds = [np.searchsorted(x[o], np.arange(max(map(np.max, number)) + 2)) for x, o in zip(number, order)]
+        for c in range(len(bounds[0]) - 1):
+            here, there = (o[b[c] : b[c + 1]] for o, b in zip(order, bounds))
+            if not len(here) or not len(there):
+                continue
+            own = [groups[0][here], groups[1][there]]
+            n, m = size[0][here], size[1][there]
+            for start in range(0, len(here), max(1, 4096 // len(there))):
+                part = slice(start, start + max(1, 4096 // len(there)))
+                may = np.minimum(n[part, None], m) * 100 >= np.maximum(n[part, None], m) * percent
+                may &= own[0][part, None] != own[1]
+                i, j = np.nonzero(may)
+                near = (keys[0][here[part][i]] == keys[1][there[j]]).mean(axis=1) > share
+                for k, j in zip(i[near] + start, j[near]):
+                    if own[0][k] == own[1][j]:
+                        continue
+                    x, y = (v[p[r] : p[r + 1]] for v, p, r in zip(values, at, (here[k], there[j])))
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        found.append((ids[0][here[k]], ids[1][there[j]]))
+                        joined = own[1][j]
+                        for g in own:
+                            g[g == joined] = own[0][k]
     a, b = zip(*found) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -81,17 +95,22 @@ def _settled(rest: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: i
     sizes = items.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("region").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.select("region", F.col("top.component").alias("main"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("top.n")).alias("out"))
-    full = items.join(sizes.where("out > 0"), "region").join(sets(stored(items.select("id").distinct(), "ids")), "id")
-    full = stored(full, "sets")
+    sizes = sizes.select("region", F.col("top.component").alias("main"), "n", blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("top.n")).alias("out"))
+    sizes = stored(sizes.where("out > 0"), "regions")
+    ids = stored(items.select("id").distinct(), "ids")
+    full = stored(items.join(sizes, "region").join(sets(ids), "id"), "sets")
+    # Regions of one block share tasks' groups: about BLOCK items of many regions are one group, which keeps them apart.
+    few = sizes.where(F.col("all") == 1).agg(F.ceil(F.sum("n") / BLOCK)).first()[0] or 1
     block = lambda n: F.pmod(F.xxhash64(F.lit(9), "id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    carry = ["region", "id", "component", "hashes", "keys"]
+    carry = ["region", "id", "component", "hashes", "keys", "all"]
     outside = full.where("component != main").select(*carry, block(F.col("out")).alias("o"), every(F.col("all")).alias("m"))
     inside = full.select(*carry, block(F.col("all")).alias("m"), every(F.col("out")).alias("o"))
-    cell = ["region", "o", "m"]
-    found = outside.groupBy(*cell).cogroup(inside.groupBy(*cell)).applyInArrow(lambda x, y: _cell(x, y, percent, share), "a long, b long")
-    return stored(found, "links")
+    group = F.when(F.col("all") == 1, F.pmod(F.xxhash64(F.lit(3), "region"), F.lit(few))).otherwise(F.xxhash64("region", "o", "m"))
+    dealt = lambda rows: rows.withColumn("cell", group).drop("all").groupBy("cell")
+    found = stored(dealt(outside).cogroup(dealt(inside)).applyInArrow(lambda x, y: _cells(x, y, percent, share), "a long, b long"), "links")
+    discard(sizes, ids, full, items)
+    return found
 
 
 def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, by_region: bool = True, share: float = 0.0) -> DataFrame:

@@ -325,12 +325,15 @@ def _paragraph_sets(c: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def band_keys(values: np.ndarray, at: np.ndarray, bands: int, rows: int = 1) -> list[np.ndarray]:
-    """For every band, the keys of sets that lie one after the other, from the smallest of their permuted elements, rows of them."""
-    out = []
+    """For every band, the keys of sets that lie one after the other, from the smallest of their permuted elements, rows of them.
+
+    The elements are hashes, so an odd multiplier modulo 2**64 permutes them well enough.
+    """
+    out, odd = [], mix(np.arange(1, bands * rows + 1, dtype=U)) | U(1)
     for b in range(bands):
         key = np.full(len(at) - 1, U(b))
         for r in range(b * rows, (b + 1) * rows):
-            key = mix(key * U(3) + np.minimum.reduceat(mix(values ^ U(977 * (r + 1))), at[:-1]))
+            key = mix(key * U(3) + np.minimum.reduceat(values * odd[r], at[:-1]))
         out.append(key)
     return out
 

@@ -575,6 +575,21 @@ def pasted(seeds, length=51):
     return out
 
 
+def test_bands_find_similar_paragraphs():
+    """The share of paragraph pairs that meet in a band: as tuned at similarity 0.8, and as the formula says below."""
+    r = np.random.default_rng(5)
+
+    def met(common, own, pairs=3000):
+        pool = r.integers(0, 2**63, (pairs, common + 2 * own)).astype(np.uint64)
+        sets = np.concatenate([pool[:, : common + own].ravel(), np.hstack([pool[:, :common], pool[:, common + own :]]).ravel()])
+        keys = np.stack(substring_dup.band_keys(sets, np.arange(2 * pairs + 1) * (common + own), substring_dup.BANDS, substring_dup.ROWS), axis=1)
+        return (keys[:pairs] == keys[pairs:]).any(axis=1).mean()
+
+    assert substring_dup.BANDS == 7 and met(40, 5) >= 0.995
+    for common, own in ((80, 20), (40, 30)):
+        assert met(common, own) == pytest.approx(1 - (1 - (common / (common + 2 * own)) ** 2) ** 7, abs=0.03)
+
+
 def test_passages_in_the_middle_of_lines_are_found(spark):
     rows = pasted(range(400))
     found = {x.doc_id for x in substring_dup.clusters(docs(spark, rows)).collect()}
