@@ -3,22 +3,25 @@
 A page becomes a tree (unclosed paragraphs, list items and cells end where the next block begins). Parts that are never
 article text go: scripts, styles, forms, navigation, page headers and footers, asides, hidden parts, and elements whose role
 says menu, banner, dialog and the like. An element whose class or id says advert, notice, sidebar, comments and so on goes
-too, unless it holds most of the page's paragraph points, or an <article> or <main> that is not so named, and there is no other
+too (an <article> only if it is named a comment and lies in another one), unless it holds most of the page's paragraph points, or an <article> or <main> that is not so named, and there is no other
 <article> or <main> with text. Names that tell a state (has-sidebar, comments-open) don't count. Each remaining paragraph gives points for
-its length and commas to its ancestors: all to the parent, half to the next, a third of a half to the one above, and so on;
+its length and commas to its nearest LEVELS ancestors: all to the parent, half to the next, a third of a half to the one above, and so on;
 a container's points are then discounted by the share of its text that lies in links. The container with most points is
-the article, or the <article>/<main> element around it if there is one; without such an element its siblings with a
-fair share of the points, and long sibling paragraphs with few links, are kept too. A page on which nothing scores gives
+the article, or the <article>/<main> element around it if there is one. Siblings with a fair share of the points are kept too: of an
+<article> its sibling articles, without such an element all siblings, and long sibling paragraphs with few links. A page on which nothing scores gives
 its <article>, <main> or <body>.
 
 Null and empty pages give an empty text. Text is never cut: white space in a block becomes one space, blocks are joined
-in page order by one space. Repeated rows give equal rows; all other input columns pass through, except `text` and
+in page order by one space. Time and memory grow in proportion to a page's length, however deep its elements nest (about 1 kB an
+element). Of containers with equal points the first in a depth-first walk from the end is taken. Repeated rows give equal rows; an
+empty table gives an empty result. All other input columns pass through, except `text` and
 `n_chars`, which are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -48,6 +51,9 @@ UNWANTED = frozenset(
     sidebar sidebars signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar tracking
     warning widget widgets""".split()
 )
+COMMENT = frozenset("comment comments commentlist disqus replies reply respond responses".split())
+#: Ancestors that a paragraph gives points to.
+LEVELS = 12
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Names that tell a state of the element, not what it is.
 STATE = re.compile(r"(has|is|no|not|with|without|show|hide)[-_].*|.*[-_](open|closed|enabled|disabled|on|off|allowed)", re.I)
@@ -55,12 +61,12 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "suspect", "points")
+    __slots__ = ("tag", "parent", "children", "skip", "suspect", "comment", "points", "size", "linked")
 
     def __init__(self, tag: str, parent: "Node | None", skip: bool):
-        self.tag, self.parent, self.skip, self.suspect = tag, parent, skip, False
+        self.tag, self.parent, self.skip, self.suspect, self.comment = tag, parent, skip, False, False
         self.children: list[Node | str] = []
-        self.points = 0.0
+        self.points, self.size, self.linked = 0.0, 0, 0
 
 
 def unwanted(tag: str, attributes: list[tuple[str, str | None]], within_article: bool) -> bool:
@@ -74,10 +80,10 @@ def unwanted(tag: str, attributes: list[tuple[str, str | None]], within_article:
     return a.get("role", "").lower() in UNWANTED_ROLE
 
 
-def named_unwanted(attributes: list[tuple[str, str | None]]) -> bool:
+def named_unwanted(attributes: list[tuple[str, str | None]], unwanted: frozenset[str] = UNWANTED) -> bool:
     """Whether the class or id says that this is no article text. Only what the element holds decides whether it goes."""
     names = " ".join(v or "" for k, v in attributes if k in ("class", "id")).split()
-    return any(x.lower() in UNWANTED for name in names if not STATE.fullmatch(name) for x in PART.findall(name))
+    return any(x.lower() in unwanted for name in names if not STATE.fullmatch(name) for x in PART.findall(name))
 
 
 class Tree(HTMLParser):
@@ -86,10 +92,13 @@ class Tree(HTMLParser):
         self.root = self.at = Node("html", None, False)
         self.body = self.root
         self.articles = 0
+        self.open: Counter[str] = Counter()
         self.suspects = False
 
     def climb(self, tags: set[str] | frozenset[str], scope: frozenset[str]) -> Node | None:
         """The nearest open element among tags, if no element of scope lies between."""
+        if not any(self.open[t] for t in tags):
+            return None
         node = self.at
         while node is not self.root:
             if node.tag in tags:
@@ -100,11 +109,10 @@ class Tree(HTMLParser):
         return None
 
     def close_to(self, node: Node) -> None:
-        while self.at is not node:
+        while self.at is not node.parent:
             self.articles -= self.at.tag == "article"
+            self.open[self.at.tag] -= 1
             self.at = self.at.parent
-        self.articles -= node.tag == "article"
-        self.at = node.parent
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
@@ -118,11 +126,13 @@ class Tree(HTMLParser):
         node = Node(tag, self.at, self.at.skip or unwanted(tag, attrs, self.articles > 0))
         if not node.skip and tag not in ("html", "body") and named_unwanted(attrs):
             node.suspect = self.suspects = True
+            node.comment = tag == "article" and named_unwanted(attrs, COMMENT)
         self.at.children.append(node)
         if tag == "body" and self.body is self.root:
             self.body = node
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
             self.articles += tag == "article"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -139,30 +149,34 @@ class Tree(HTMLParser):
         self.at.children.append(data)
 
 
-def walk(top: Node, pieces: list[str], linked: list[int]) -> None:
-    """Append the text below top, with a space at the edges of blocks; linked[0] counts the characters inside links."""
-    stack: list[tuple[Node | str, bool]] = [(top, False)]
+def text_of(top: Node) -> str:
+    """The text below top, with a space at the edges of blocks."""
+    pieces: list[str] = []
+    stack: list[Node | str] = [top]
     while stack:
-        item, link = stack.pop()
+        item = stack.pop()
         if isinstance(item, str):
             pieces.append(item)
-            linked[0] += len("".join(item.split())) * link
         elif not item.skip:
-            link = link or item.tag == "a"
-            edge = [] if item.tag in INLINE else [(" ", False)]
-            stack += [*edge, *((x, link) for x in reversed(item.children)), *edge]
+            edge = [] if item.tag in INLINE else [" "]
+            stack += [*edge, *reversed(item.children), *edge]
+    return " ".join("".join(pieces).split())
 
 
-def text_of(node: Node) -> str:
-    pieces: list[str] = []
-    walk(node, pieces, [0])
-    return " ".join("".join(pieces).split())
+def measure(order: list[Node]) -> None:
+    """Give every node of a tree (parents first) its characters that are not white space, and those that lie in links."""
+    for node in reversed(order):
+        own = sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
+        node.size += own
+        if node.tag == "a":
+            node.linked = node.size
+        if node.parent is not None:
+            node.parent.size += node.size
+            node.parent.linked += node.linked
 
 
 def link_density(node: Node) -> float:
-    pieces, linked = [], [0]
-    walk(node, pieces, linked)
-    return min(1.0, linked[0] / max(1, len("".join("".join(pieces).split()))))
+    return node.linked / max(1, node.size)
 
 
 def own_text(node: Node) -> str:
@@ -192,7 +206,7 @@ def drop_suspects(root: Node) -> None:
         node, below = stack.pop()
         if node.skip:
             continue
-        # An <article> or <main> is never dropped for its own name.
+        # An <article> or <main> is not dropped for its own name, unless it is a comment within another.
         below = below or node.suspect and node.tag not in ROOTS
         order.append((node, below))
         stack += [(x, below) for x in node.children if isinstance(x, Node)]
@@ -214,13 +228,14 @@ def drop_suspects(root: Node) -> None:
             if node in holds:
                 holds.add(node.parent)
     rivals = {node for node, _ in order if node.tag in ("article", "main") and not node.suspect and clean[node]}
+    around: dict[Node | None, int] = {None: 0}  # rivals around a node, and itself
     for node, _ in order:
-        if node.suspect and node.tag not in ROOTS:
-            around, above = 0, node.parent
-            while above is not None:
-                around += above in rivals
-                above = above.parent
-            node.skip = around < len(rivals) or not (node in holds or 2 * points[node] > points[root])
+        above = around.get(node.parent, 0)
+        around[node] = above + (node in rivals)
+        if node.comment:
+            node.skip = above > 0
+        elif node.suspect and node.tag not in ROOTS:
+            node.skip = above < len(rivals) or not (node in holds or 2 * points[node] > points[root])
 
 
 def main_text(html: str | None) -> str:
@@ -231,26 +246,27 @@ def main_text(html: str | None) -> str:
     tree.close()
     if tree.suspects:
         drop_suspects(tree.root)
-    scored: list[Node] = []
-    named: list[Node] = []
+    order: list[Node] = []
     stack: list[Node] = [tree.root]
     while stack:
         node = stack.pop()
-        if node.skip:
-            continue
-        stack += [x for x in node.children if isinstance(x, Node)]
-        if node.tag in ("article", "main"):
-            named.append(node)
+        if not node.skip:
+            order.append(node)
+            stack += [x for x in node.children if isinstance(x, Node)]
+    measure(order)
+    scored: list[Node] = []
+    for node in order:
         if points := paragraph_points(node):
-            above, level = (node.parent, 0) if node.tag in ("p", "pre", "blockquote", "td", "dd", "li") else (node, 0)
-            while above is not None:
+            above = node.parent if node.tag in ("p", "pre", "blockquote", "td", "dd", "li") else node
+            for level in range(LEVELS):
+                if above is None:
+                    break
                 if not above.points:
                     scored.append(above)
                 above.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                above, level = above.parent, level + 1
+                above = above.parent
     if not scored:
-        best = max(named, key=lambda x: len(text_of(x)), default=tree.body)
-        return text_of(best)
+        return text_of(max((x for x in order if x.tag in ("article", "main")), key=lambda x: x.size, default=tree.body))
     for node in scored:
         node.points *= 1 - link_density(node)
     best = max(scored, key=lambda x: x.points)
@@ -259,13 +275,17 @@ def main_text(html: str | None) -> str:
         if node.tag == "article" or node.tag == "main" and around is None:
             around = node
         node = node.parent
-    if around is not None or best.parent is None:
+    if best.parent is None or around is not None and (around.tag == "main" or around.parent is None):
         return text_of(around or best)
-    least = max(10.0, best.points * 0.2)
+    top = around or best
+    least = max(10.0, top.points * 0.2) if around is None else top.points * 0.2
     kept = []
-    for x in best.parent.children:
-        if x is best or isinstance(x, Node) and not x.skip and (x.points >= least or x.tag == "p" and len(text_of(x)) > 80 and link_density(x) < 0.25):
+    for x in top.parent.children:
+        if x is top:
             kept.append(text_of(x))
+        elif isinstance(x, Node) and not x.skip and (around is None or x.tag == "article" and not x.suspect):
+            if x.points >= least or around is None and x.tag == "p" and link_density(x) < 0.25 and len(text_of(x)) > 80:
+                kept.append(text_of(x))
     return " ".join(x for x in kept if x)
 
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -465,6 +466,23 @@ def test_names_of_wrappers_drop_no_article():
     assert html_text.main_text(f'<body><div>{body}<div class="ad-slot">Buy this now, it is cheap, it is good, it is new.</div></div></body>') == want
 
 
+def test_comments_and_several_articles():
+    body = "".join(f"<p>Sentence {k} of the article, which is long enough, with commas, to give points to it.</p>" for k in range(6))
+    want = " ".join(body.replace("<p>", "").split("</p>")).strip()
+    comment = "".join(f"<article class='comment'><p>Reader {k} says, at length, with commas, and more commas, that it is wrong, wrong, and wrong again.</p></article>" for k in range(20))
+    assert html_text.main_text(f"<body><article>{body}{comment}</article></body>") == want
+    assert html_text.main_text(f"<body><article>{body}<section>{comment}</section></article></body>") == want
+    assert html_text.main_text(f"<body><article class='comment'>{body}</article></body>") == want
+    assert html_text.main_text(f"<body><main><article>{body}</article><article>{body}</article></main></body>") == f"{want} {want}"
+
+
+@pytest.mark.parametrize("part", ["<div><p>some text, with a comma, that is long enough</p>", "<div class=ad>some text, with a comma, that is long enough", "<div></section></b>", "<article><a>x"])
+def test_deep_pages_take_time_in_proportion(part):
+    start = time.monotonic()
+    text = html_text.main_text(part * 20_000 + "end")
+    assert time.monotonic() - start < 5 and (text.endswith("end") or "ad" in part)
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract(pages).collect()
