@@ -59,6 +59,14 @@ def formatted_bytes(n: Column | str) -> Column:
     return F.when(x >= 1 << 20, scaled(float(1 << 20), "MiB")).when(x >= 1 << 10, scaled(1024.0, "KiB")).otherwise(F.concat(x.cast("string"), F.lit(" B")))
 
 
+def bytes_text(n: int) -> str:
+    """The same of one number."""
+    for unit, name in ((1 << 20, "MiB"), (1 << 10, "KiB")):
+        if n >= unit:
+            return f"{n / unit:.1f} {name}"
+    return f"{n} B"
+
+
 def dedup_ratio(unique_bytes: Column | str, total_bytes: Column | str) -> Column:
     """1 - unique / total; 0 without bytes. Negative where structural payloads outweigh what is shared."""
     u, t = _c(unique_bytes), _c(total_bytes)

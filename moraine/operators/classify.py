@@ -59,6 +59,13 @@ def misses(slots: DataFrame) -> DataFrame:
     return slots.groupBy("container").agg(F.count_if(miss).alias("misses"))
 
 
+def codec_totals(slots: DataFrame) -> DataFrame:
+    """Of each container: its slots, and the deflated files with and without a codec."""
+    deflated = ~F.col("is_dir") & (F.col("method_code") == 8)
+    known = F.col("cdata_codec").isNotNull()
+    return slots.groupBy("container").agg(F.count(F.lit(1)).alias("slots"), F.count_if(deflated & known).alias("hits"), F.count_if(deflated & ~known).alias("misses"))
+
+
 def listing(containers: DataFrame, slots: DataFrame, nested: DataFrame) -> DataFrame:
     """One row for each container: entries, signed, size, backend, misses."""
     outer = slots.where("nested_ord is null")

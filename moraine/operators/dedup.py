@@ -58,10 +58,10 @@ def order_digest(rows: DataFrame, order: list[str], by: list[str], key: str = "h
     """SHA-256 of the keys of each group, one after the other in order.
 
     A hash chain has an order, so a group is one stream; it is read batch by batch and never held. Without groups, the
-    digest of all rows is one stream through one task.
+    digest of all rows is one stream through one task; what comes before, such as an aggregation, is not in that task.
     """
     source = rows.select(*by, *order, key)
-    dealt = (source.repartition(*by) if by else source.coalesce(1)).sortWithinPartitions(*by, *order).select(*by, key)
+    dealt = (source.repartition(*by) if by else source.repartition(1)).sortWithinPartitions(*by, *order).select(*by, key)
     types = [f"{f.name} {f.dataType.simpleString()}" for f in source.select(*by).schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +101,12 @@ def shared(slots: DataFrame, least: int = 2) -> DataFrame:
     return pairs.groupBy("h").agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("refs")).where(F.col("containers") >= least)
 
 
+def content_only(slots: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Number and bytes of the blobs that are slots' payloads; directories, headers and pads of containers don't count."""
+    used = slots.where("blob is not null").select(F.col("blob").alias("h")).distinct()
+    return blobs.join(used, "h", "left_semi").agg(F.count(F.lit(1)).alias("content_blobs"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("content_bytes"))
+
+
 def input_dedupe(rows: DataFrame, keys: list[str], order: Column | str, name: str) -> DataFrame:
     """The first row of equal inputs: keys and the smallest order."""
     return rows.groupBy(*keys).agg(F.min(order).alias(name))

@@ -35,7 +35,7 @@ def frames(records: DataFrame, order: list[str], length: str, limit: int = FRAME
     record lies alone, and a frame may hold exactly limit. The rule has a state, so a pack (one file) is one stream, read batch
     by batch; packs go side by side.
     """
-    dealt = (records.repartition(*by) if by else records.coalesce(1)).sortWithinPartitions(*by, *order)
+    dealt = (records.repartition(*by) if by else records.repartition(1)).sortWithinPartitions(*by, *order)
     from pyspark.sql.types import LongType, StructField, StructType
 
     schema = StructType([*dealt.schema.fields, StructField("frame_id", LongType()), StructField("rec_off", LongType())])
@@ -61,4 +61,9 @@ def frames(records: DataFrame, order: list[str], length: str, limit: int = FRAME
 def frame_summary(framed: DataFrame, length: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """blob_count, record_bytes and the offset of each frame."""
     out = framed.groupBy(*by, "frame_id").agg(F.count(F.lit(1)).alias("blob_count"), F.sum(length).alias("record_bytes"))
-    return out.withColumn("frame_off", running_offset("record_bytes", by or ["_all"], ["frame_id"])) if by else out
+    return with_frame_offsets(out, "record_bytes", by)
+
+
+def with_frame_offsets(frames: DataFrame, length: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """frames with frame_off, the length of the frames before. There is a row for each frame (4 MiB of a pack), and a pack's go through one task."""
+    return frames.withColumn("frame_off", running_offset(length, by or [F.lit(0)], ["frame_id"]))

@@ -6,27 +6,21 @@ import hashlib
 import json
 import os
 import time
-import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from moraine.functions import codecs, scalar
+from moraine.functions import scalar
 from moraine.functions.blake3 import blake3, digest as blake3_digest
 from moraine.operators import classify, dedup, folds, inputs as I, verify as V
-from moraine.sources import containers as C, pack_format as P
+from moraine.sources import cas, containers as C, pack_format as P, zip_writers as Z
+from moraine.sources.containers import PARTS
 
 from .storage import written
 
-NAMED = ("blob", "cdata_blob", "local_header_blob", "pad_blob")
-SLOT_COLUMNS = ["name", "is_dir", "blob", "sha256", "crc32", "method", "method_code", "uncompressed_size", "compressed_size", "dos_date", "dos_time", "unix_mode", "utf8_flag", "name_raw_hex", "cdata_blob", "cdata_codec", "local_header_offset", "local_header_hex", "local_header_blob", "data_descriptor_hex", "pad_zeros", "pad_blob", "zip_index"]
-#: Present even if null; others are left out of the catalog's JSON where null.
-REQUIRED = {"blob", "sha256", "unix_mode"}
-BLOB_KINDS = ("prefix", "leading_pad", "tail", "raw_zip")
-
-
 @dataclass
 class PackOptions:
     inputs: list[str]
@@ -43,6 +37,27 @@ class PackOptions:
     key: str = "blake3"
     frame_limit: int = P.FRAME_LIMIT
     restore_paths: bool = False
+    version: int = 2
+    progress: Callable[[str, int], None] | None = None
+    """Called with the name of a phase that is done, and how many rows it has."""
+    dialect: P.Dialect = P.MORAINE
+
+
+@dataclass
+class RestoreOptions:
+    """restore_paths: write each container to where it was packed from, with its mode and owner; folder isn't used then.
+
+    clean: an existing file is removed first; overwrite: it is replaced. store_all, level: for containers that are written anew.
+    """
+
+    folder: str = "."
+    only: list[str] | None = None
+    overwrite: bool = False
+    clean: bool = False
+    restore_paths: bool = False
+    store_all: bool = False
+    level: int = 6
+    warn: Callable[[str], None] = lambda text: None
     dialect: P.Dialect = P.MORAINE
 
 
@@ -73,26 +88,34 @@ def pack(spark: SparkSession, options: PackOptions) -> PackSummary:
                 raise FileNotFoundError(p)
             warnings.append(f"skipped {p}")
     paths = [p for p in paths if os.path.isfile(p)]
+    say = options.progress or (lambda phase, done: None)
     rows = written(C.scan_files(C.read_files(spark, paths, I.unique_names(paths)), expand=options.expand_nested), "scan")
     if fault := rows.where("kind = 'fault'").select("source_path", "fault").first():
         raise P.PackError(f"{fault[0]}: {fault[1]}")
+    for r in rows.where("kind = 'warning'").select("source_path", "fault").orderBy("container_ord").toLocalIterator():
+        if options.strict:
+            raise P.PackError(f"{r[0]}: {r[1]}")
+        warnings.append(f"{r[0]}: {r[1]}")
+    say("scan", len(paths))
 
-    payloads = rows.where("kind = 'payload'").select("container_ord", "nested_ord", "slot_ord", "role", "place", "bytes", F.octet_length("bytes").cast("long").alias("size"))
+    payloads = rows.where("kind = 'payload'").select("container_ord", "nested_ord", "slot_ord", "role", "place", "bytes", "again", F.octet_length("bytes").cast("long").alias("size"))
     payloads = written(payloads.withColumn("h", content_hash("bytes", options.key)).withColumn("sha256", F.sha2("bytes", 256)), "payloads")
     order = ["container_ord", "place"]
-    blobs = dedup.catalog(payloads.select("h", "size", *order), order)
+    blobs = dedup.catalog(payloads.where("not again").select("h", "size", *order), order)
     first = payloads.select("h", "sha256", *order).join(blobs, ["h", *order])
     first = written(first.withColumn("length", scalar.blob_record_length("size")), "blobs")
     framed = written(folds.frames(first, ["first_seen_ord"], "length", options.frame_limit), "frames")
+    say("dedup", blob_count := framed.count())
 
-    catalog, stats = _catalog(rows, payloads, framed, options)
-    signed = [c["name"] for c in catalog["jars"] if c["signed"]]
+    jars = _jars(rows, payloads, options.restore_paths)
+    stats = _stats(jars, framed)
+    signed = [r["name"] for r in jars.where("signed").select("container_ord", "name").orderBy("container_ord").collect()]
     warnings += [f"signed container {n}" for n in signed]
     if signed and options.fail_on_signed:
         raise ValueError(f"signed container {signed[0]}")
-    body = json.dumps(catalog, separators=(",", ":"), ensure_ascii=False).encode()
     if options.dry_run:
         return PackSummary(stats, warnings, 0)
+    body, chain = _document(jars, framed, stats, options)
 
     tags, level = options.dialect, options.level
 
@@ -104,13 +127,19 @@ def pack(spark: SparkSession, options: PackOptions) -> PackSummary:
 
     # A frame holds at most the frame limit, or one payload; frames are compressed side by side and come to the writer in order.
     data = framed.join(payloads.select("bytes", *order), order)
-    frames = data.groupBy("frame_id").applyInPandas(compressed, "frame_id long, data binary, places string").orderBy("frame_id")
-    chain = b"".join(bytes.fromhex(b["blake3"]) for b in catalog["blobs"])
     partial = options.output + ".tmp"
+    created = 0 if options.sort_inputs else int(time.time())
     with open(partial, "wb") as out:
-        made = ((bytes(r["data"]), [(bytes.fromhex(h), o, s) for h, o, s in json.loads(r["places"])]) for r in frames.toLocalIterator())
-        created = 0 if options.sort_inputs else int(time.time())
-        P.write_pack(out, made, lambda: body, _key_of(chain, options.key), len(catalog["jars"]), options.level, created, options.dialect)
+        end = _key_of(chain, options.key)
+        if options.version == 1:
+            made = ((bytes.fromhex(r["h"]), bytes(r["bytes"])) for r in data.select("first_seen_ord", "h", "bytes").orderBy("first_seen_ord").toLocalIterator())
+            layout = P.write_pack_v1(out, made, body, end, stats["jar_count"], level, created, tags)
+        else:
+            frames = data.groupBy("frame_id").applyInPandas(compressed, "frame_id long, data binary, places string").orderBy("frame_id")
+            made = ((bytes(r["data"]), [(bytes.fromhex(h), o, s) for h, o, s in json.loads(r["places"])]) for r in frames.toLocalIterator())
+            layout = P.write_pack(out, made, lambda: body, end, stats["jar_count"], level, created, tags)
+    P.check_finished(partial, layout, tags)
+    say("write", blob_count)
     os.replace(partial, options.output)
     if options.sidecar:
         with open(options.sidecar + ".tmp", "wb") as out:
@@ -119,49 +148,44 @@ def pack(spark: SparkSession, options: PackOptions) -> PackSummary:
     return PackSummary(stats, warnings, os.path.getsize(options.output))
 
 
-def _catalog(rows: DataFrame, payloads: DataFrame, framed: DataFrame, options: PackOptions) -> tuple[dict, dict]:
-    """The catalog document. It is one JSON text in the pack, so the driver, which writes the pack, gathers it."""
-    names: dict[tuple, dict] = {}
-    for r in payloads.select("container_ord", "nested_ord", "slot_ord", "role", "h", "sha256", "size").toLocalIterator():
-        names.setdefault((r["container_ord"], r["nested_ord"], r["slot_ord"]), {})[r["role"]] = (r["h"], r["sha256"], r["size"])
-    jars: dict[int, dict] = {}
-    for r in rows.where("kind = 'container'").select("container_ord", "container", "source_path", "source_size", "source_sha256", "comment").orderBy("container_ord").toLocalIterator():
-        own = names.get((r["container_ord"], None, None), {})
-        jar = {"name": r["container"], "source_path": r["source_path"].removeprefix("file:"), "source_size": r["source_size"], "source_sha256": r["source_sha256"], "comment": r["comment"], "signed": False}
-        if options.restore_paths:
+def _jars(rows: DataFrame, payloads: DataFrame, attributes: bool) -> DataFrame:
+    """A row for each container, made by executors: container_ord, name, its catalog document as JSON, and what statistics need."""
+    fields = [f.name for f in rows.schema.fields if f.name not in ("place", "bytes", "again", "fault")]
+    named = payloads.select("container_ord", "nested_ord", "slot_ord", "role", "h", "sha256", "size", F.lit("payload").alias("kind"))
+    every = rows.where("kind in ('slot', 'nested', 'container')").select(*fields).unionByName(named, allowMissingColumns=True)
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        jar = C.document_of(group.to_pylist())
+        if attributes:
             jar |= restore_attributes(jar["source_path"])
-        jars[r["container_ord"]] = jar | _parts(own) | {"nestedindexes": [], "entries": []}
-    for r in rows.where("kind = 'nested'").select("container_ord", "nested_ord").orderBy("container_ord", "nested_ord").toLocalIterator():
-        jars[r["container_ord"]]["nestedindexes"].append(_parts(names.get((r["container_ord"], r["nested_ord"], None), {})) | {"entries": []})
-    slots = rows.where("kind = 'slot'").withColumn("method", scalar.method_label("method_code")).withColumn("_signed", scalar.signature_marker("name"))
-    for r in slots.orderBy("container_ord", "nested_ord", "slot_ord").toLocalIterator():
-        own = names.get((r["container_ord"], r["nested_ord"], r["slot_ord"]), {})
-        values = r.asDict() | {k: own[k][0] if k in own else None for k in NAMED}
-        values["sha256"] = own["blob"][1] if "blob" in own else None
-        slot = {k: values[k] for k in SLOT_COLUMNS if values[k] is not None or k in REQUIRED}
-        jar = jars[r["container_ord"]]
-        (jar if r["nested_ord"] is None else jar["nestedindexes"][r["nested_ord"]])["entries"].append(slot)
-        jar["signed"] |= r["nested_ord"] is None and r["_signed"]
-    blobs = [{"blake3": r["h"], "sha256": r["sha256"], "size": r["size"], "ref_count": r["ref_count"]} for r in framed.select("first_seen_ord", "h", "sha256", "size", "ref_count").orderBy("first_seen_ord").toLocalIterator()]
-    done = [jars[k] for k in sorted(jars)]
-    for jar in done:
-        if not jar["nestedindexes"]:
-            del jar["nestedindexes"]
-    entries = [e for j in done for e in j["entries"]]
-    unique, total = sum(b["size"] for b in blobs), sum(e["uncompressed_size"] for e in entries if not e["is_dir"])
-    stats = {
-        "jar_count": len(done), "entry_count": len(entries), "file_entry_count": sum(not e["is_dir"] for e in entries), "unique_blob_count": len(blobs), "bytes_in_jars": sum(j["source_size"] for j in done),
-        "bytes_uncompressed_entries": total, "bytes_unique_blobs": unique, "dedup_ratio": 1 - unique / total if total else 0.0,
-    }
-    return {"format": options.dialect.catalog_format, "version": 1, "hash_algo": options.key, "mode": "content", "jars": done, "blobs": blobs, "stats": stats}, stats
-
-
-def _parts(own: dict) -> dict:
-    out = {}
-    for k in BLOB_KINDS:
-        if f"{k}_blob" in own:
-            out |= {f"{k}_blob": own[f"{k}_blob"][0], f"{k}_size": own[f"{k}_blob"][2]}
-    return out
+        files = [e for e in jar["entries"] if not e["is_dir"]]
+        values = {"container_ord": key[0].as_py(), "name": jar["name"], "signed": jar["signed"], "entries": len(jar["entries"]), "files": len(files)}
+        values |= {"bytes": sum(e["uncompressed_size"] for e in files), "source_size": jar["source_size"], "document": json.dumps(jar, separators=(",", ":"), ensure_ascii=False)}
+        return pa.table({k: [v] for k, v in values.items()}, schema=schema)
+
+    schema = pa.schema([("container_ord", pa.int32()), ("name", pa.string()), ("signed", pa.bool_()), *((c, pa.int64()) for c in ("entries", "files", "bytes", "source_size")), ("document", pa.string())])
+    return written(every.groupBy("container_ord").applyInArrow(run, "container_ord int, name string, signed boolean, entries long, files long, bytes long, source_size long, document string"), "jars")
+
+
+def _stats(jars: DataFrame, blobs: DataFrame) -> dict:
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    a = jars.agg(F.count(F.lit(1)), total("entries"), total("files"), total("source_size"), total("bytes")).first()
+    b = blobs.agg(F.count(F.lit(1)), total("size")).first()
+    stats = {"jar_count": a[0], "entry_count": a[1], "file_entry_count": a[2], "unique_blob_count": b[0], "bytes_in_jars": a[3], "bytes_uncompressed_entries": a[4], "bytes_unique_blobs": b[1]}
+    return stats | {"dedup_ratio": 1 - b[1] / a[4] if a[4] else 0.0}
+
+
+def _document(jars: DataFrame, framed: DataFrame, stats: dict, options: PackOptions) -> tuple[bytes, bytes]:
+    """The catalog document and all keys in order. It is one record of the pack, so the driver, which writes that, puts its parts together."""
+    keys, blobs = [], []
+    for r in framed.select("first_seen_ord", "h", "sha256", "size", "ref_count").orderBy("first_seen_ord").toLocalIterator():
+        keys.append(bytes.fromhex(r["h"]))
+        blobs.append(json.dumps({"blake3": r["h"], "sha256": r["sha256"], "size": r["size"], "ref_count": r["ref_count"]}, separators=(",", ":")))
+    parts = (r["document"] for r in jars.select("container_ord", "document").orderBy("container_ord").toLocalIterator())
+    head = {"format": options.dialect.catalog_format, "version": 1, "hash_algo": options.key, "mode": "content"}
+    text = lambda x: json.dumps(x, separators=(",", ":"))
+    whole = f'{text(head)[:-1]},"jars":[{",".join(parts)}],"blobs":[{",".join(blobs)}],"stats":{text(stats)}}}'
+    return whole.encode(), b"".join(keys)
 
 
 def restore_attributes(path: str) -> dict:
@@ -176,7 +200,7 @@ SLOT_SCHEMA = """container string, nested_ord long, slot_ord int, name string, i
 method_code int, uncompressed_size long, compressed_size long, dos_date int, dos_time int, unix_mode long, utf8_flag boolean, name_raw_hex string,
 cdata_blob string, cdata_codec string, local_header_offset long, local_header_hex string, local_header_blob string, data_descriptor_hex string,
 pad_zeros long, pad_blob string, zip_index long"""
-PARTS_SCHEMA = ", ".join(f"{k}_blob string, {k}_size long" for k in BLOB_KINDS)
+PARTS_SCHEMA = ", ".join(f"{k}_blob string, {k}_size long" for k in PARTS)
 CONTAINER_SCHEMA = f"container string, container_ord int, source_path string, source_size long, source_sha256 string, comment string, signed boolean, restore_path string, restore_mode long, restore_uid long, restore_gid long, {PARTS_SCHEMA}"
 
 
@@ -240,8 +264,7 @@ def verify(spark: SparkSession, path: str, dialect: P.Dialect = P.MORAINE) -> Da
     listed = spark.createDataFrame([(n, b["blake3"].lower()) for n, b in enumerate(found["blobs"])], "ord long, h string")
     differences = V.violation(V.sequence_differences(data, listed), 17, "sequence", None, None, F.concat_ws(" ", "side", F.col("ord").cast("string"), "h"))
     with open(path, "rb") as f:
-        _, records = P.read_all(f, dialect)
-        end = next(d for tag, _, d in records if tag == dialect.tags[2])
+        _, _, end = P.read_last(f, dialect)
     chain = _key_of(b"".join(bytes.fromhex(b["blake3"]) for b in found["blobs"]), key)
     ends = spark.createDataFrame([] if chain == end else [(chain.hex(),)], "d string")
     return out.unionByName(differences).unionByName(V.violation(ends, 18, "end_digest", None, None, F.col("d")))
@@ -252,86 +275,135 @@ def listing(spark: SparkSession, path: str, dialect: P.Dialect = P.MORAINE) -> D
     return classify.listing(t["container"], t["slot"], t["nested"])
 
 
-def restore(spark: SparkSession, path: str, folder: str, only: Iterable[str] | None = None, overwrite: bool = False, dialect: P.Dialect = P.MORAINE, level: int = 6) -> list[tuple[str, str]]:
-    """Write containers to folder, which executors share; returns (name, backend), in catalog order.
+def backends(spark: SparkSession, found: dict) -> dict[str, str]:
+    """The writer that restores each container of a catalog document."""
+    t = tables(spark, found)
+    return {r["container"]: r["backend"] for r in classify.backend(t["container"], t["slot"], t["nested"]).select("container", "backend").collect()}
+
+
+def container_bytes(jar: dict, held: dict[str, bytes], backend: str, level: int = 6, store_all: bool = False, warn: Callable[[str], None] = lambda text: None) -> bytes:
+    """A container by one of the writers. An exact one is checked against its recorded hash."""
+    if backend == classify.EXACT:
+        return Z.checked(jar, Z.exact_bytes(jar, held))
+    if backend == classify.REBUILD:
+        return Z.rebuilt_bytes(jar, held, level)
+    if backend == classify.SEEK:
+        return Z.seek_bytes(jar, held)
+    if backend == classify.CONCAT:
+        return Z.concat_bytes(jar, held, level)
+    return Z.plain_bytes(jar, held, level, store_all, warn)
+
 
-    Containers whose slices are all known come back byte for byte and are checked against their recorded hash; others are written
-    anew from their payloads. Names that the pack doesn't have are left out. Payloads of other containers are not read.
+def restore(spark: SparkSession, path: str, folder: str = ".", only: Iterable[str] | None = None, overwrite: bool = False, dialect: P.Dialect = P.MORAINE, level: int = 6, **more) -> list[tuple[str, str]]:
+    """Write containers to folder, which executors share; returns (name, backend), in catalog order. More: see RestoreOptions.
+
+    Containers whose slices are all known come back byte for byte and are checked against their recorded hash; others are put
+    together again by the writer that loses least. Every payload is hashed again before it is used; payloads of other containers are
+    not read. Names that the pack doesn't have give a warning.
     """
+    o = RestoreOptions(folder, None if only is None else list(only), overwrite, level=level, dialect=dialect, **more)
     found = document(path, dialect)
-    t = tables(spark, found)
-    backends = {r["container"]: r["backend"] for r in classify.backend(t["container"], t["slot"], t["nested"]).select("container", "backend").collect()}
-    chosen = [j for j in found["jars"] if only is None or j["name"] in set(only)]
-    os.makedirs(folder, exist_ok=True)
+    known = {j["name"] for j in found["jars"]}
+    for name in o.only or []:
+        if name not in known:
+            o.warn(f"the pack has no container {name}")
+    chosen = [j for j in found["jars"] if o.only is None or j["name"] in set(o.only)]
+    targets = _targets(found, chosen, o)
+    writer = backends(spark, found)
+    key, level, store_all = found["hash_algo"], o.level, o.store_all
+    refs = V.blob_references(tables(spark, found)).join(spark.createDataFrame([(j["name"],) for j in chosen], "container string"), "container", "left_semi")
+    data = payloads(spark, path, dialect).select("h", "bytes").join(refs.select("container", "h").distinct(), "h")
+    data = data.withColumn("sound", content_hash("bytes", key) == F.col("h"))
+    rows = [(j["name"], json.dumps(j), writer[j["name"]], targets[j["name"]]) for j in chosen]
+    named = spark.createDataFrame(rows, "container string, document string, backend string, target string")
+
+    def write(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        said: list[str] = []
+        for r in left.to_pylist():
+            jar = json.loads(r["document"])
+            if bad := [h for h, sound in zip(right.column("h").to_pylist(), right.column("sound").to_pylist()) if not sound]:
+                raise P.PackError(f"{jar['name']}: payload {bad[0]} has another hash")
+            held = dict(zip(right.column("h").to_pylist(), right.column("bytes").to_pylist()))
+            content = container_bytes(jar, held, r["backend"], level, store_all, said.append)
+            partial = f"{r['target']}.{os.getpid()}.tmp"
+            with open(partial, "wb") as out:
+                out.write(content)
+            os.replace(partial, r["target"])
+        return pa.table({"container": [key[0].as_py()], "said": pa.array([said], pa.list_(pa.string()))})
+
+    for r in named.groupBy("container").cogroup(data.groupBy("container")).applyInArrow(write, "container string, said array<string>").orderBy("container").collect():
+        for text in r["said"]:
+            o.warn(text)
+    for jar in chosen:
+        apply_attributes(jar, targets[jar["name"]], o)
+    return [(j["name"], writer[j["name"]]) for j in chosen]
+
+
+def _targets(found: dict, chosen: list[dict], o: RestoreOptions) -> dict[str, str]:
+    """Where each container goes; refuses unsafe names and files that are there, before anything is written."""
+    out = {}
+    if o.restore_paths:
+        for jar in found["jars"]:
+            if not jar.get("restore_path"):
+                raise ValueError(f"{jar['name']}: the pack doesn't say where it came from")
+    else:
+        os.makedirs(o.folder, exist_ok=True)
     for jar in chosen:
         name = jar["name"]
-        if name in ("", ".", "..") or any(c in name for c in "/\\\0"):
-            raise ValueError(f"unsafe name {name!r}")
-        if os.path.exists(os.path.join(folder, name)) and not overwrite:
-            raise FileExistsError(os.path.join(folder, name))
-    refs = V.blob_references(t).join(spark.createDataFrame([(j["name"],) for j in chosen], "container string"), "container", "left_semi")
-    data = payloads(spark, path, dialect).select("h", "bytes").join(refs.select("container", "h").distinct(), "h")
-    documents = {j["name"]: json.dumps(j) for j in chosen}
-    named = spark.createDataFrame([(k, v, backends[k]) for k, v in documents.items()], "container string, document string, backend string")
-
-    def write(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        for doc, backend in zip(left["document"], left["backend"]):
-            jar = json.loads(doc)
-            held = {h: bytes(b) for h, b in zip(right["h"], right["bytes"])}
-            target = os.path.join(folder, jar["name"])
-            partial = f"{target}.{os.getpid()}.tmp"
-            if backend == classify.EXACT:
-                content = exact_bytes(jar, held)
-                if len(content) != jar["source_size"] or hashlib.sha256(content).hexdigest() != jar["source_sha256"]:
-                    raise P.PackError(f"{jar['name']}: the restored bytes differ from the recorded hash")
-                with open(partial, "wb") as out:
-                    out.write(content)
-            else:
-                plain_container(jar, held, partial, level)
-            os.replace(partial, target)
-        return pd.DataFrame({"container": [key[0]]})
-
-    named.groupBy("container").cogroup(data.groupBy("container")).applyInPandas(write, "container string").collect()
-    return [(j["name"], backends[j["name"]]) for j in chosen]
-
-
-def slot_bytes(e: dict, held: dict[str, bytes], nested: list[dict]) -> bytes:
-    """The compressed data of a slot as it was."""
-    if e.get("cdata_blob"):
-        return held[e["cdata_blob"]]
-    if e.get("zip_index") is not None:
-        return exact_bytes(nested[e["zip_index"]], held)
-    if e.get("cdata_codec"):
-        return codecs.encode(e["cdata_codec"], held[e["blob"]] if e["blob"] else b"")
-    return b"" if e["is_dir"] else held[e["blob"]]
-
-
-def exact_bytes(jar: dict, held: dict[str, bytes]) -> bytes:
-    """A container from its slices, slots in the order of their offsets."""
-    parts = [held[jar[f"{k}_blob"]] for k in ("prefix", "leading_pad") if jar.get(f"{k}_blob")]
-    for e in sorted(jar["entries"], key=lambda e: e["local_header_offset"]):
-        parts.append(bytes.fromhex(e["local_header_hex"]) if e.get("local_header_hex") else held[e["local_header_blob"]])
-        parts.append(slot_bytes(e, held, jar.get("nestedindexes", [])))
-        parts.append(bytes.fromhex(e.get("data_descriptor_hex", "")))
-        parts.append(held[e["pad_blob"]] if e.get("pad_blob") else bytes(e.get("pad_zeros", 0)))
-    return b"".join([*parts, held[jar["tail_blob"]]])
-
-
-def plain_container(jar: dict, held: dict[str, bytes], target: str, level: int) -> None:
-    """A new container with the slots' payloads, names, times and modes; names with .. are left out."""
-    with open(target, "wb") as out:
-        if jar.get("prefix_blob"):
-            out.write(held[jar["prefix_blob"]])
-        with zipfile.ZipFile(out, "a" if jar.get("prefix_blob") else "w") as z:
-            z.comment = jar["comment"].encode()
-            for e in jar["entries"]:
-                if ".." in e["name"].replace("\\", "/").split("/"):
-                    continue
-                d, t = e["dos_date"], e["dos_time"]
-                when = ((d >> 9) + 1980, (d >> 5) & 15, d & 31, t >> 11, (t >> 5) & 63, (t & 31) * 2)
-                info = zipfile.ZipInfo(e["name"], when if 1 <= when[1] <= 12 and when[2] else (1980, 1, 1, 0, 0, 0))
-                info.compress_type = zipfile.ZIP_STORED if e["method_code"] == 0 or e["is_dir"] else zipfile.ZIP_DEFLATED
-                if e.get("unix_mode"):
-                    info.external_attr, info.create_system = e["unix_mode"] << 16, 3
-                data = b"" if e["is_dir"] else exact_bytes(jar["nestedindexes"][e["zip_index"]], held) if e.get("zip_index") is not None else held[e["blob"]]
-                z.writestr(info, data, compresslevel=level)
+        if o.restore_paths:
+            target = jar["restore_path"]
+            if "\0" in target or not os.path.isabs(target):
+                raise ValueError(f"{name}: unsafe path {target!r}")
+            if os.path.isdir(target) and not os.path.islink(target):
+                raise ValueError(f"{target} is a folder")
+        else:
+            if name in ("", ".", "..") or any(c in name for c in "/\\\0"):
+                raise ValueError(f"unsafe name {name!r}")
+            target = os.path.join(o.folder, name)
+            if os.path.lexists(target) and not (o.overwrite or o.clean):
+                raise FileExistsError(target)
+        out[name] = target
+    for target in out.values():
+        if o.restore_paths:
+            make_parents(target)
+        elif o.clean and os.path.lexists(target):
+            os.remove(target)
+    return out
+
+
+def make_parents(path: str) -> None:
+    """The folders above path that are missing, with mode 0755 whatever the umask is."""
+    missing, above = [], os.path.dirname(path)
+    while above and not os.path.lexists(above):
+        missing.append(above)
+        above = os.path.dirname(above)
+    for folder in reversed(missing):
+        os.mkdir(folder)
+        os.chmod(folder, 0o755)
+
+
+def apply_attributes(jar: dict, target: str, o: RestoreOptions) -> None:
+    """Mode and owner as recorded, if paths are restored; else, and without a recorded mode, a container with a launcher is executable."""
+    mode = jar.get("restore_mode") if o.restore_paths else None
+    if mode is not None:
+        os.chmod(target, mode)
+    elif jar.get("prefix_size"):
+        os.chmod(target, 0o755)
+    if o.restore_paths and jar.get("restore_uid") is not None and jar.get("restore_gid") is not None:
+        try:
+            os.chown(target, jar["restore_uid"], jar["restore_gid"])
+        except PermissionError as e:
+            o.warn(f"the owner of {target} stays: {e}")
+
+
+def spill(spark: SparkSession, path: str, folder: str, dialect: P.Dialect = P.MORAINE) -> int:
+    """Put all payloads of a pack into a content-addressed folder; returns how many were new. A payload of another hash, or a wrong end record, is an error."""
+    found = document(path, dialect)
+    with open(path, "rb") as f:
+        _, _, end = P.read_last(f, dialect)
+    if _key_of(b"".join(bytes.fromhex(b["blake3"]) for b in found["blobs"]), found["hash_algo"]) != end:
+        raise P.PackError("the end record differs from the listed payloads")
+    data = written(payloads(spark, path, dialect).select("h", "bytes", (content_hash("bytes", found["hash_algo"]) == F.col("h")).alias("sound")), "spill")
+    if bad := data.where("not sound").select("h").first():
+        raise P.PackError(f"payload {bad[0]} has another hash")
+    return cas.put(data, folder).where("written").count()

@@ -92,7 +92,12 @@ def frame_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{FRAMES} SELECT frame_id, count(*) AS blob_count, sum(rec.len)::BIGINT AS record_bytes FROM fold JOIN rec USING (ord) GROUP BY frame_id")
 def frame_summary(spark: SparkSession, d: str) -> DataFrame:
-    return folds.frame_summary(_framed(spark, d), "len")
+    return folds.frame_summary(_framed(spark, d), "len").drop("frame_off")
+
+
+@query(f"{FRAMES} SELECT frame_id, coalesce(sum(sum(rec.len)) OVER (ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS frame_off FROM fold JOIN rec USING (ord) GROUP BY frame_id")
+def frame_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return folds.frame_summary(_framed(spark, d), "len").select("frame_id", "frame_off")
 
 
 @query(f"WITH {CHATS} SELECT conv_id, turn, coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM chats")
@@ -168,7 +173,10 @@ def verify_missing_blob(spark: SparkSession, d: str) -> DataFrame:
     return verify.missing(rows, kept).select("doc_id", "h")
 
 
-@query(f"WITH {DOCS} SELECT doc_id, size + 1 AS expected, size AS actual FROM docs WHERE doc_id % 7 = 0")
+@query(
+    f"""WITH {DOCS}, {BLOBS}, refs AS (SELECT doc_id, h, size + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS expected FROM docs)
+SELECT doc_id, expected, b.size AS actual FROM refs JOIN blobs b USING (h) WHERE expected <> b.size"""
+)
 def verify_size_mismatch(spark: SparkSession, d: str) -> DataFrame:
     rows = A.docs(spark, d, "doc_id").withColumn("expected", F.col("size") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0))
     return verify.wrong_sizes(rows, dedup.blobs(rows, ["slot_ord"])).select("doc_id", "expected", "actual")
@@ -179,7 +187,11 @@ def verify_label_refs(spark: SparkSession, d: str) -> DataFrame:
     return verify.missing(A.table(spark, d, "documents").select("doc_id"), A.table(spark, d, "labels"), "doc_id")
 
 
-@query(f"WITH {DOCS}, {BLOBS} SELECT h, ref_count + 1 AS recorded, ref_count AS recomputed FROM blobs WHERE first_id % 9 = 0")
+@query(
+    f"""WITH {DOCS}, {BLOBS}, recorded AS (SELECT h, ref_count + CASE WHEN first_id % 9 = 0 THEN 1 ELSE 0 END AS n FROM blobs),
+refs AS (SELECT h, count(*) AS n FROM docs WHERE h IS NOT NULL GROUP BY h)
+SELECT h, coalesce(r.n, 0) AS recorded, coalesce(c.n, 0) AS recomputed FROM recorded r FULL JOIN refs c USING (h) WHERE coalesce(r.n, 0) <> coalesce(c.n, 0)"""
+)
 def verify_refcount(spark: SparkSession, d: str) -> DataFrame:
     rows = A.docs(spark, d)
     recorded = dedup.blobs(rows, ["slot_ord"]).withColumn("ref_count", F.col("ref_count") + F.when(F.col("first.slot_ord") % 9 == 0, 1).otherwise(0))
@@ -295,11 +307,23 @@ def codec_labels(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "events").select("event_id", codec.alias("codec"), scalar.valid_codec(codec).alias("valid"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE t(i, k, v) AS (SELECT i, 0, i::UBIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384::UBIGINT, v >> 1) ELSE v >> 1 END FROM t WHERE k < 8),
+l AS (SELECT list(v ORDER BY i) AS v FROM t WHERE k = 8),
+b AS (SELECT event_id, hex(encode(props)) AS h FROM events WHERE props IS NOT NULL)
+SELECT event_id, xor(4294967295::UBIGINT, list_reduce(list_transform(range(0, len(h) // 2), lambda k: ('0x' || substr(h, (2 * k + 1)::INT, 2))::UBIGINT),
+  lambda c, x: xor(list_extract(l.v, (xor(c, x) & 255)::BIGINT + 1), c >> 8), 4294967295::UBIGINT))::BIGINT AS crc32 FROM b, l"""
+)
 def crc_column(spark: SparkSession, d: str) -> DataFrame:
-    return A.table(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
+    return A.table(spark, d, "events").where("props is not null").select("event_id", F.crc32(F.col("props").cast("binary")).alias("crc32"))
 
 
 @query()
 def blake3_column(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "documents").select("doc_id", blake3("text").alias("blake3"))
+
+
+from . import archives  # noqa: E402  (which registers its queries in its own tables)
+
+QUERIES |= archives.QUERIES
+ORACLES |= archives.ORACLES

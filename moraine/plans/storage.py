@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which the driver and all executors see; a temporary folder where that is unset."""
+    """spark.checkpoint.dir, which the driver and all executors see; where that is unset, a temporary folder if all run on one machine."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="moraine-"))
         known = sc.getCheckpointDir()
     return known.rstrip("/")

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from moraine.functions.scalar import METHODS
 
-from .zip_layout import Container, ContainerError, Slot, joined, scan
+from .zip_layout import Container, ContainerError, Slot, joined, prefix_length, scan
 
 #: Local headers up to this length are kept as hex, longer ones as payloads.
 HEADER_HEX, NESTED_CAP = 512, 65_535
+SIGNATURE = re.compile(r"meta-inf/[^/]*\.(sf|rsa|dsa|ec)")
 SLOT_FIELDS = """name string, is_dir boolean, crc32 long, method_code int, uncompressed_size long, compressed_size long, dos_date int,
 dos_time int, unix_mode long, utf8_flag boolean, name_raw_hex string, local_header_offset long, local_header_hex string,
 data_descriptor_hex string, pad_zeros long, cdata_codec string, zip_index long"""
-#: kind: slot, container, nested, payload or fault. A payload's role says which column of its row names it; place orders payloads.
+#: kind: slot, container, nested, payload, warning or fault. A payload's role says which column of its row names it; place orders payloads;
+#: again: the expanded container that it lies in held the same payload before, so it counts as no further reference.
 SCHEMA = f"""kind string, container_ord int, container string, nested_ord long, slot_ord int, {SLOT_FIELDS},
-source_path string, source_size long, source_sha256 string, comment string, whole boolean, role string, place array<long>, bytes binary, fault string"""
+source_path string, source_size long, source_sha256 string, comment string, whole boolean, role string, place array<long>, bytes binary, again boolean, fault string"""
 
 
 def _slot_row(s: Slot, **more) -> dict:
@@ -41,7 +45,7 @@ def _expanded(s: Slot) -> Container | None:
         child = scan(s.payload)
     except ContainerError:
         return None
-    if not child.slots or len(child.slots) > NESTED_CAP or not _reproducible(child) or joined(child) != s.payload:
+    if not child.slots or len(child.slots) > NESTED_CAP or any(t.fault for t in child.slots) or not _reproducible(child) or joined(child) != s.payload:
         return None
     return child
 
@@ -55,8 +59,15 @@ def rows_of(data: bytes, path: str, name: str, number: int, payloads: bool = Tru
         yield {**base, "kind": "fault", "source_path": path, "fault": str(e)}
         return
 
+    met: set[bytes] = set()
+
     def payload(role: str, data: bytes, place: list[int], **where) -> dict:
-        return {**base, "kind": "payload", "role": role, "place": place, "bytes": data, **where}
+        again = False
+        if "nested_ord" in where:
+            digest = hashlib.sha256(data).digest()
+            again = digest in met
+            met.add(digest)
+        return {**base, "kind": "payload", "role": role, "place": place, "bytes": data, "again": again, **where}
 
     def header_and_pad(s: Slot, row: dict, place: list[int], **where) -> Iterator[dict]:
         if len(s.header) <= HEADER_HEX:
@@ -73,7 +84,10 @@ def rows_of(data: bytes, path: str, name: str, number: int, payloads: bool = Tru
         where = {"slot_ord": k}
         row = _slot_row(s, **base, **where)
         child = _expanded(s) if payloads and expand else None
+        if s.fault:
+            yield {**base, "kind": "warning", "source_path": path, "fault": s.fault}
         if child is not None:
+            met.clear()
             row["zip_index"] = nested
             for j, t in enumerate(child.slots):
                 inner = {"slot_ord": j, "nested_ord": nested}
@@ -125,6 +139,62 @@ def scan_files(files: DataFrame, payloads: bool = True, expand: bool = True) ->
     return files.select("path", "content", "container", "container_ord").mapInArrow(run, SCHEMA)
 
 
+def map_slots(files: DataFrame, each: Callable[[str, dict, bytes], Iterable[dict]], schema: str) -> DataFrame:
+    """Rows of a schema that each(container, slot, payload) gives for every slot of files; directories have no bytes. Runs on executors."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                for k, s in enumerate(scan(f["content"], trials=False).slots):
+                    rows = list(each(f["container"], _slot_row(s, container=f["container"], slot_ord=k), s.payload or b""))
+                    if rows:
+                        yield pa.RecordBatch.from_pylist(rows, target)
+
+    return files.select("path", "content", "container", "container_ord").mapInArrow(run, schema)
+
+
+#: Columns of a slot that name payloads, those of a catalog's slot, and those that it has even if null.
+NAMED = ("blob", "cdata_blob", "local_header_blob", "pad_blob")
+SLOT_COLUMNS = ["name", "is_dir", "blob", "sha256", "crc32", "method", "method_code", "uncompressed_size", "compressed_size", "dos_date", "dos_time", "unix_mode", "utf8_flag", "name_raw_hex", "cdata_blob", "cdata_codec", "local_header_offset", "local_header_hex", "local_header_blob", "data_descriptor_hex", "pad_zeros", "pad_blob", "zip_index"]
+REQUIRED = {"blob", "sha256", "unix_mode"}
+PARTS = ("prefix", "leading_pad", "tail", "raw_zip")
+
+
+def document_of(rows: Iterable[dict]) -> dict:
+    """The catalog document of one container from its rows; payload rows give h, sha256 and size in place of bytes."""
+    names: dict[tuple, dict] = {}
+    slots, nested, jar = [], 0, {}
+    for r in rows:
+        if r["kind"] == "payload":
+            names.setdefault((r["nested_ord"], r["slot_ord"]), {})[r["role"]] = (r["h"], r["sha256"], r["size"])
+        elif r["kind"] == "slot":
+            slots.append(r)
+        elif r["kind"] == "nested":
+            nested += 1
+        elif r["kind"] == "container":
+            jar = {"name": r["container"], "source_path": r["source_path"].removeprefix("file:"), **{c: r[c] for c in ("source_size", "source_sha256", "comment")}, "signed": False}
+
+    def parts(own: dict) -> dict:
+        return {f"{k}_{what}": own[f"{k}_blob"][n] for k in PARTS if f"{k}_blob" in own for what, n in (("blob", 0), ("size", 2))}
+
+    jar |= parts(names.get((None, None), {}))
+    jar["nestedindexes"] = [parts(names.get((k, None), {})) | {"entries": []} for k in range(nested)]
+    jar["entries"] = []
+    for r in sorted(slots, key=lambda r: (r["nested_ord"] is not None, r["nested_ord"] or 0, r["slot_ord"])):
+        own = names.get((r["nested_ord"], r["slot_ord"]), {})
+        label = METHODS.get(r["method_code"], "other")
+        values = r | {k: own[k][0] if k in own else None for k in NAMED} | {"method": label, "sha256": own["blob"][1] if "blob" in own else None}
+        (jar if r["nested_ord"] is None else jar["nestedindexes"][r["nested_ord"]])["entries"].append({k: values[k] for k in SLOT_COLUMNS if values.get(k) is not None or k in REQUIRED})
+        jar["signed"] |= r["nested_ord"] is None and SIGNATURE.fullmatch(r["name"].replace("\\", "/").lower()) is not None
+    if not nested:
+        del jar["nestedindexes"]
+    return jar
+
+
 def read_files(spark: SparkSession, paths: list[str], names: list[str]) -> DataFrame:
     """path, content, container, container_ord of the files."""
     if not paths:
@@ -141,3 +211,14 @@ def list_slots(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     rows = scan_files(read_files(spark, paths, unique_names(paths)), payloads=False).where("kind = 'slot'")
     return rows.select("container", "slot_ord", *(f.split()[0] for f in SLOT_FIELDS.replace("\n", " ").split(", ")[:11]))
+
+
+def prefix_lengths(files: DataFrame) -> DataFrame:
+    """container, prefix_length of files: how long the launcher before a container is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [prefix_length(x.as_py()) for x in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([batch.column("container"), pa.array(found, pa.int64())], names=["container", "prefix_length"])
+
+    return files.select("container", "content").mapInArrow(run, "container string, prefix_length long")

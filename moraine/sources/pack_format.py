@@ -183,8 +183,8 @@ def read_all(f: BinaryIO, dialect: Dialect = MORAINE) -> tuple[Layout, Iterator[
     return layout, records(zstandard.ZstdDecompressor().stream_reader(whole, read_across_frames=layout.version == 2), dialect)
 
 
-def read_catalog(f: BinaryIO, dialect: Dialect = MORAINE) -> tuple[Layout, dict]:
-    """The catalog, of version 2 from the last frame alone."""
+def read_last(f: BinaryIO, dialect: Dialect = MORAINE) -> tuple[Layout, bytes, bytes]:
+    """Layout, catalog and end digest, of version 2 from the last frame alone."""
     layout = open_layout(f, dialect)
     if layout.version == 1:
         _, rows = read_all(f, dialect)
@@ -192,7 +192,25 @@ def read_catalog(f: BinaryIO, dialect: Dialect = MORAINE) -> tuple[Layout, dict]
         toc = toc_of(f, layout, dialect)
         f.seek(layout.header_total + toc.catalog_offset)
         rows = records(io.BytesIO(zstandard.ZstdDecompressor().decompressobj().decompress(f.read(toc.catalog_length))), dialect)
-    return layout, json.loads(next(data for tag, _, data in rows if tag == dialect.tags[1]))
+    last = {tag: data for tag, _, data in rows if tag != dialect.tags[0]}
+    return layout, last[dialect.tags[1]], last[dialect.tags[2]]
+
+
+def read_catalog(f: BinaryIO, dialect: Dialect = MORAINE) -> tuple[Layout, dict]:
+    layout, catalog, _ = read_last(f, dialect)
+    return layout, json.loads(catalog)
+
+
+def check_finished(path: str, layout: Layout, dialect: Dialect = MORAINE) -> None:
+    """Whether a file that was just written is as long as its parts, and ends with a trailer."""
+    expected = layout.header_total + layout.payload_bytes + layout.toc_length + TRAILER
+    with open(path, "rb") as f:
+        size = f.seek(0, io.SEEK_END)
+        if size != expected:
+            raise PackError(f"{size} bytes were written instead of {expected}")
+        f.seek(size - TRAILER)
+        if f.read(8) != dialect.trailer_magic:
+            raise PackError("no trailer at the end of what was written")
 
 
 def write_pack(out: BinaryIO, frames: Iterable[tuple[bytes, list[tuple[bytes, int, int]]]], catalog: Callable[[], bytes], digest: bytes, containers: int, level: int = 6, created: int = 0, dialect: Dialect = MORAINE) -> Layout:
@@ -214,11 +232,18 @@ def write_pack(out: BinaryIO, frames: Iterable[tuple[bytes, list[tuple[bytes, in
     return Layout({}, 12 + header_length, 2, payload, len(body), count, total, containers, len(table))
 
 
-def write_pack_v1(out: BinaryIO, rows: list[tuple[bytes, bytes]], catalog: bytes, digest: bytes, containers: int, level: int = 6, created: int = 0, dialect: Dialect = MORAINE) -> None:
+def write_pack_v1(out: BinaryIO, rows: Iterable[tuple[bytes, bytes]], catalog: bytes, digest: bytes, containers: int, level: int = 6, created: int = 0, dialect: Dialect = MORAINE) -> Layout:
+    """Write a pack of version 1: one frame, which takes the payloads (key, bytes) one by one, and no table of contents."""
     header_length = write_header(out, dialect, 1, level, created)
-    body = compress(b"".join(blob_record(dialect, k, d) for k, d in rows) + last_records(dialect, catalog, digest), level)
-    out.write(body)
-    out.write(dialect.trailer_magic + struct.pack("<QQQQQIIQ", len(body), len(catalog), len(rows), sum(len(d) for _, d in rows), containers, header_length, 1, 0))
+    start, count, total = out.tell(), 0, 0
+    with zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False).stream_writer(out, closefd=False) as frame:
+        for key, data in rows:
+            frame.write(blob_record(dialect, key, data))
+            count, total = count + 1, total + len(data)
+        frame.write(last_records(dialect, catalog, digest))
+    size = out.tell() - start
+    out.write(dialect.trailer_magic + struct.pack("<QQQQQIIQ", size, len(catalog), count, total, containers, header_length, 1, 0))
+    return Layout({}, 12 + header_length, 1, size, len(catalog), count, total, containers, 0)
 
 
 def record_length(size: int) -> int:

@@ -43,6 +43,8 @@ class Slot:
     pad: bytes = b""
     payload: bytes | None = None
     codec: str | None = None
+    fault: str | None = None
+    """What is wrong with the slot, if it can be read all the same: a payload of another crc32."""
 
 
 @dataclass
@@ -135,19 +137,58 @@ def layout(data: bytes) -> tuple[int, int, list[Slot], int]:
         raise ContainerError(f"the directory has {len(slots)} rows and says {count}")
     if not slots:
         return start, start - recorded, slots, start
-    first = min(s.local_offset for s in slots)
+    first = min(slots, key=lambda s: s.local_offset)
     for shift in dict.fromkeys((start - recorded, 0)):
-        prefix = first + shift
-        if 0 <= prefix <= MAX_PREFIX and data[prefix : prefix + 4] == LOCAL:
-            if data[:4] == LOCAL:
-                prefix = 0
-            return prefix, shift, slots, start
+        prefix = first.local_offset + shift
+        if accepted(data, slots, shift, prefix):
+            return (0 if data[:4] == LOCAL else prefix), shift, slots, start
+    # Neither way of recording offsets holds: look for the first slot by its name.
+    found = find_local(data, first.raw_name)
+    if found is not None and accepted(data, slots, found - first.local_offset, found):
+        return found, found - first.local_offset, slots, start
     raise ContainerError("the first slot isn't where the directory says")
 
 
+def accepted(data: bytes, slots: list[Slot], shift: int, prefix: int) -> bool:
+    """Whether offsets moved by shift lead to the slots' own local headers, the first of them right behind the prefix.
+
+    Names are compared as well: the header of a slot in a stored container inside this one, which a wrong shift may meet, is refused.
+    """
+    if not 0 <= prefix <= MAX_PREFIX or data[prefix : prefix + 4] != LOCAL:
+        return False
+    return all(local_name(data, s.local_offset + shift) == s.raw_name for s in slots)
+
+
+def local_name(data: bytes, at: int) -> bytes | None:
+    """The name in the local header at a place; None if there is none."""
+    if at < 0 or data[at : at + 4] != LOCAL or at + 30 > len(data):
+        return None
+    return data[at + 30 : at + 30 + struct.unpack_from("<H", data, at + 26)[0]]
+
+
+def find_local(data: bytes, name: bytes, most: int = MAX_PREFIX) -> int | None:
+    """The first place behind the beginning, and not beyond `most`, of a local header with this name."""
+    at = data.find(LOCAL, 1, most + 4)
+    while at >= 0:
+        if local_name(data, at) == name:
+            return at
+        at = data.find(LOCAL, at + 1, most + 4)
+    return None
+
+
+def prefix_length(data: bytes) -> int:
+    """The length of the launcher prefix; 0 if there is none, or the bytes are no container."""
+    try:
+        return layout(data)[0]
+    except ContainerError:
+        return 0
+
+
 def split_descriptor(rest: bytes, slot: Slot) -> int:
-    """How many of the bytes behind a slot's data are its descriptor."""
-    for size in (16, 12, 24, 20):
+    """How many of the bytes behind a slot's data are its descriptor; forms of 64 bits come first where the header has 64-bit sizes."""
+    n, m = struct.unpack_from("<HH", slot.header, 26) if len(slot.header) >= 30 else (0, 0)
+    wide = extra_field(slot.header[30 + n : 30 + n + m], 1) is not None
+    for size in (24, 20, 16, 12) if wide else (16, 12, 24, 20):
         signed = size in (16, 24)
         if len(rest) < size or signed != (rest[:4] == b"PK\x07\x08"):
             continue
@@ -159,7 +200,7 @@ def split_descriptor(rest: bytes, slot: Slot) -> int:
 def scan(data: bytes, payloads: bool = True, max_entry: int = MAX_ENTRY, trials: bool = True) -> Container:
     """The slots of a container with their slices and, unless payloads is false, inflated bytes.
 
-    Without payloads nothing is inflated. A slot that inflates to another size than it says is an error.
+    Without payloads nothing is inflated. A slot that inflates to another size than it says is an error; one with another crc32 has a fault.
     """
     prefix, shift, slots, start = layout(data)
     offsets = sorted({s.local_offset + shift for s in slots})
@@ -201,7 +242,7 @@ def scan(data: bytes, payloads: bool = True, max_entry: int = MAX_ENTRY, trials:
         if len(s.payload) != s.uncompressed_size:
             raise ContainerError(f"{s.name}: {len(s.payload)} bytes instead of {s.uncompressed_size}")
         if zlib.crc32(s.payload) != s.crc32:
-            raise ContainerError(f"{s.name}: crc32 differs")
+            s.fault = f"{s.name}: crc32 {s.crc32:#x} is recorded, {zlib.crc32(s.payload):#x} computed"
     return out
 
 
