@@ -3,8 +3,9 @@
 Sizes are words. Targets: the sources' weights share a total; no source takes more than `repeats` times its size, and what
 it can't take is shared among the others by weight until none is above. The total is then dealt out in blocks of equal
 size: each next block goes to the source with the highest quotient target / (2 * blocks so far + 1), up to what it holds.
-A source is split into shards by hash of the document (so a source with a third of all rows is many shards), and its
-blocks are apportioned to its shards in the same way, which gives every shard an integer quota. In a shard, documents lie
+A source is split into shards by hash of the document's id and text (so a source with a third of all rows is many shards, however
+large it is), the shards lie in groups, about as many as a group has shards, and its blocks are apportioned to its groups and then to their shards
+in the same way, which gives every shard an integer quota; so no task orders more than the root of a source's shards. In a shard, documents lie
 in a seeded order, and the quota is a run of blocks that starts at a seeded place and goes round, up to `repeats` times:
 `taken` is how many words of a document lie in that run.
 
@@ -13,7 +14,8 @@ rounded quotients can't exceed the total gives all but a few blocks at once, and
 source or shard).
 
 Null text is empty; null source is a source of its own, after all others; null and repeated ids are rows like others
-(rows with equal id and text share a place in the order). Empty tables give empty results. Other columns are not carried.
+(rows with equal id and text share a place in the order). Texts are counted whole, however long. Empty tables give empty results. Other columns are not
+carried. Sources go through one task, a row each: their number is taken to be bounded.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from .common import WORD, stored
 #: Words in a block at most; fewer where the smallest source is small, so that each has 64 blocks at least.
 BLOCK = 64
 SHARD_WORDS = 1 << 16
-MAX_SHARDS = 4096
 
 
 def words(text: str) -> Column:
@@ -42,7 +43,8 @@ def with_level(rows: DataFrame, name: str, total: Column, cap: Column, weight: C
     # If all rows before this one are capped, and this one isn't, the level is what is left over the weights that are left.
     rest = F.sum("_weight").over(group) - before("_weight")
     rows = rows.withColumn("_level", F.when(rest > 0, (total - before("_cap")) / rest))
-    reached = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", "_level"))).over(group)["_level"]
+    # The first such row in the order; rows of equal ratio have levels of their own.
+    reached = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", *tie, "_level"))).over(group)["_level"]
     return rows.withColumn(name, F.coalesce(reached, F.lit(float("inf")))).drop("_weight", "_cap", "_ratio", "_level")
 
 
@@ -83,11 +85,13 @@ def mix(docs: DataFrame, weights: list[int] | None = None, repeats: int = 3, see
     weights repeat over the sources in code-point order. The sum of all sizes is what the mix takes.
     """
     weights = weights or [5, 2, 1]
-    own = [F.struct(*docs.columns).alias("row")] if carry else []
-    sized = docs.select("doc_id", "source", words("text").alias("size"), F.xxhash64("text").alias("tie"), *own)
-    sized = sized.withColumn("source_key", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")))
-    sized = sized.withColumn("place", F.xxhash64(F.lit(seed), "doc_id"))
+    def with_size(*more: Column) -> DataFrame:
+        out = docs.select("doc_id", "source", words("text").alias("size"), F.xxhash64("text").alias("tie"), *more)
+        out = out.withColumn("source_key", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")))
+        return out.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "tie"))
 
+    # Words are counted once; all that follows reads these thin rows.
+    sized = stored(with_size(), "mix-sizes")
     place = F.row_number().over(Window.orderBy("source_key"))
     sources = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(place - 1, F.lit(len(weights))) + 1).cast("long"))
@@ -95,17 +99,23 @@ def mix(docs: DataFrame, weights: list[int] | None = None, repeats: int = 3, see
     every = Window.partitionBy("all")
     least = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(every)
     sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(least / 64))).cast("long"))
-    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / shard_words))).cast("int"))
+    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
     sources = sources.withColumn("blocks", F.round(F.sum("source_size").over(every) / F.col("block")).cast("long"))
     sources = apportion(sources, F.col("target"), F.col("blocks"), F.floor(F.col("most") / F.col("block")), ["all"], ["source_key"])
     # A row for each source; written, its size is known, so that the joins below are broadcast only if it is small.
     sources = stored(sources.select("source_key", "source_size", "target", "block", "shards", F.col("quota").alias("source_quota")), "mix-sources")
 
-    rows = sized.join(sources, "source_key").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")).cast("int"))
-    by = ["source_key", "shard"]
-    shards = rows.groupBy(*by, "block", "source_quota").agg(F.sum("size").alias("length"))
-    shards = apportion(shards, F.col("length"), F.col("source_quota"), F.floor(F.col("length") * repeats / F.col("block")), ["source_key"], by)
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "tie"), F.col("shards"))
+    by, group = ["source_key", "shard"], F.pmod(F.col("shard"), F.ceil(F.sqrt("shards"))).alias("group")
+    shards = sized.join(sources, "source_key").withColumn("shard", shard)
+    shards = shards.groupBy(*by, "block", "source_quota", "shards").agg(F.sum("size").alias("length"))
+    shards = stored(shards.select("*", group, F.floor(F.col("length") * repeats / F.col("block")).alias("room")), "mix-shards")
+    groups = shards.groupBy("source_key", "group", "source_quota").agg(F.sum("length").alias("length"), F.sum("room").alias("room"))
+    groups = apportion(groups, F.col("length"), F.col("source_quota"), F.col("room"), ["source_key"], ["source_key", "group"])
+    groups = groups.select("source_key", "group", F.col("quota").alias("group_quota"))
+    shards = apportion(shards.join(groups, ["source_key", "group"]), F.col("length"), F.col("group_quota"), F.col("room"), ["source_key", "group"], ["source_key", "group", "shard"])
     shards = shards.select(*by, "quota", "length")
+    rows = (with_size(F.struct(*docs.columns).alias("row")) if carry else sized).join(sources, "source_key").withColumn("shard", shard)
 
     order = Window.partitionBy(*by).orderBy("place", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("begin", F.coalesce(F.sum("size").over(order), F.lit(0))).join(shards, by)

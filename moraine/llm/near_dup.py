@@ -106,18 +106,19 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80) -> Data
             for batch in chunks(batches):
                 hashes, at = _sets(batch, length)
                 sketch = setsketch.registers(hashes, at)
-                keys = np.ascontiguousarray(setsketch.band_keys(sketch)).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signed(hashes), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "hashes", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(list(sketch.view(np.int16)), pa.list_(pa.int16()))], names=["id", "hashes", "sketch", "keys"])
 
         wanted = semi_join(docs.select(F.col("doc_id").cast("long"), "text"), ids.withColumnRenamed("id", "doc_id"), "doc_id")
-        return wanted.mapInArrow(run, "id long, hashes array<long>, sketch binary, keys array<long>")
+        return wanted.mapInArrow(run, "id long, hashes array<long>, sketch binary, keys array<short>")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         return confirm(pairs, sets(ids).drop("keys"), percent)
 
-    labels = connect(bands(classes), verify, lambda ids: sets(ids).drop("sketch"), percent)
+    # Registers are equal with about the similarity as probability.
+    share = percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / setsketch.M)
+    labels = stored(connect(bands(classes), verify, lambda ids: sets(ids).drop("sketch"), percent, share=share), "labels")
     named = classes.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))

@@ -6,6 +6,7 @@ Texts come as Arrow string arrays; the UTF-8 bytes are worked on directly. Words
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return freed memory to the system: a worker process lives on, and so would what one task has used for a moment."""
+    pa.default_memory_pool().release_unused()
+    if trim is not None:
+        trim(0)
+
+
+try:
+    trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    trim = None
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The batches in runs of rows of about limit bytes of text; a longer text stays whole, alone in its run."""
     for batch in batches:
         n, start = batch.num_rows, 0
@@ -58,6 +72,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(lengths, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 class Texts:

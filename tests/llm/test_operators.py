@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from moraine.llm import common, components, fingerprints, html_text, katz, langid, linking, mixing, near_dup, packing, quality, setsketch, substring_dup, topk, words
 
@@ -169,6 +169,8 @@ def test_mixing(spark):
 def test_apportionment_is_highest_quotients(spark):
     r = random.Random(4)
     rows = [(g, k, float(r.randrange(0, 500)), r.randrange(0, 40)) for g in range(6) for k in range(r.randrange(1, 12))]
+    # A group whose rows reach their room at one level.
+    rows = [x for x in rows if x[0] != 5] + [(5, k, 10.0 * (k + 1), 15 * (k + 1)) for k in range(4)]
     frame = spark.createDataFrame(rows, "g int, k int, votes double, room long")
     got = {(x.g, x.k): x.quota for x in mixing.apportion(frame, F.col("votes"), F.lit(60).cast("long"), F.col("room"), ["g"], ["k"]).collect()}
     for g in range(6):
@@ -182,8 +184,36 @@ def test_apportionment_is_highest_quotients(spark):
         assert {k: got[g, k] for k, _, _ in own} == {k: quota[k] for k, _, _ in own}
 
 
+def test_words_taken_are_a_run_of_blocks(spark):
+    """A source of one shard: the mix takes the run that a simulation word by word takes."""
+    rows = [(k, prose(k, (k * 7) % 23), None, s) for k, s in enumerate(["a"] * 60 + ["b"] * 5)]
+    frame = docs(spark, rows)
+    got = {x.doc_id: x for x in mixing.mix(frame, shard_words=10**6).collect()}
+    order = frame.select("doc_id", F.xxhash64(F.lit(17), "doc_id", F.xxhash64("text")).alias("place")).collect()
+    place = {x.doc_id: x.place for x in order}
+    size = {s: sum(got[i].size for i, _, _, g in rows if g == s) for s in "ab"}
+    block = max(1, min(64, min(size.values()) // 64))
+    # b can take three times its size, a the rest; blocks by highest quotients.
+    target, quota = {s: got[next(i for i, _, _, g in rows if g == s)].target for s in "ab"}, Counter()
+    for _ in range(round(sum(size.values()) / block)):
+        free = [(target[s] / (2 * quota[s] + 1), -ord(s), s) for s in "ab" if quota[s] < 3 * size[s] // block]
+        quota[max(free)[2]] += 1
+    for s in "ab":
+        owner = [i for i in sorted((i for i, _, _, g in rows if g == s), key=lambda i: (place[i], i)) for _ in range(got[i].size)]
+        first = spark.range(1).select(F.pmod(F.xxhash64(F.lit(19), F.lit("0" + s), F.lit(0).cast("long")), F.lit(len(owner)).cast("long"))).first()[0]
+        taken = Counter(owner[(first + k) % len(owner)] for k in range(quota[s] * block))
+        assert {i: got[i].taken for i, _, _, g in rows if g == s} == {i: taken[i] for i, _, _, g in rows if g == s}
+
+
 def test_mixing_of_awkward_rows(awkward):
-    assert mixing.mix(awkward).count() == 13
+    got = mixing.mix(awkward).collect()
+    count = lambda t: len((t or "").split())
+    want = Counter((x.doc_id, x.source, count(x.text)) for x in awkward.collect())
+    assert Counter((x.doc_id, x.source, x.size) for x in got) == want and all(0 <= x.taken <= 3 * x.size for x in got)
+    total = Counter()
+    for (_, s, n), k in want.items():
+        total[s] += n * k
+    assert all(x.source_size == total[x.source] for x in got) and sum({x.source: x.target for x in got}.values()) == pytest.approx(sum(total.values()))
     assert mixing.repeated(awkward).columns == awkward.columns
     assert mixing.mix(awkward.limit(0)).count() == 0
 
@@ -215,52 +245,123 @@ def test_sketches_merge_and_count(spark):
     assert got.same and abs(got.n / 2996 - 1) < 0.35 and got.c > 0.7 and abs(got.j - 0.5) < 0.15
 
 
+def test_sketches_are_the_least_hashes(spark):
+    """Against shingles as rows: hash each, keep the distinct ones, sort, take the first k."""
+    texts = [prose(1, 700, 900), prose(2, 130), "a b c d", "", " x\t\ny ", prose(3, 40) + " " + prose(3, 40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    word = frame.select("id", F.posexplode(F.split("text", fingerprints.SPACES)).alias("at", "w")).where("w != ''").withColumn("h", F.xxhash64("w"))
+    order = Window.partitionBy("id").orderBy("at")
+    row = word.select("id", F.count("*").over(Window.partitionBy("id")).alias("n"), *(F.lead("h", j).over(order).alias(f"h{j}") for j in range(5)), F.row_number().over(order).alias("place"))
+    long = row.where("n >= 5 and h4 is not null").select("id", F.xxhash64(*(f"h{j}" for j in range(5))).alias("s"))
+    want = defaultdict(set)
+    for x in long.collect():
+        want[x.id].add((x.s & (2**64 - 1)) >> (64 - fingerprints.HASH_BITS))
+    for x in frame.select("id", fingerprints.sketch(F.col("text")).alias("s"), fingerprints.distinct_shingles(fingerprints.sketch(F.col("text"))).alias("n")).collect():
+        words_of = texts[x.id].split()
+        if len(words_of) >= 5:
+            assert x.s == sorted(want[x.id])[: fingerprints.K] and (len(want[x.id]) >= fingerprints.K or x.n == len(want[x.id]))
+        else:
+            assert len(x.s) == min(1, len(words_of))
+
+
 def test_fingerprints_of_awkward_rows(awkward):
     got = fingerprints.fingerprints(awkward).collect()
     assert len(got) == 13 and len({x.fingerprint for x in got if x.doc_id == 1}) == 1
+    assert sorted(x.n_chars for x in got) == sorted(len(x.text or "") for x in awkward.collect())
+    base = next(x.fingerprint for x in got if x.doc_id == 1)
+    assert {x.fingerprint for x in got if x.doc_id in (1, 2)} == {base} and {x.fingerprint for x in got if x.doc_id in (3, 4, 5)} == {""}
+    assert all(x.near_edited == 1.0 for x in got if not x.n_chars) and all(0 <= x.near_next <= 1 for x in got)
     assert fingerprints.fingerprints(awkward.limit(0)).count() == 0
 
 
-def test_katz_equals_brute_force(spark):
-    rows = [(k, prose(k % 17, 5 + k % 40, 60), None, None) for k in range(120)] + [(500, None, None, None), (501, "", None, None), (None, "w1 W2", None, None)]
-    got = {x.doc_id: x for x in katz.scores(docs(spark, rows)).collect()}
+def katz_by_brute_force(tokens, trained, order, least):
+    """P(w | words before) by the definition, from {id: tokens} and the ids that it learns from; and the histories of the highest order."""
+    count = [None] + [Counter() for _ in range(order)]
+    for i in trained:
+        padded = ["<s>"] * (order - 1) + tokens[i]
+        for at in range(order - 1, len(padded)):
+            for n in range(1, order + 1):
+                count[n][tuple(padded[at - n + 1 : at + 1])] += 1
+    history = [None] + [Counter() for _ in range(order)]
+    for n in range(1, order + 1):
+        for gram, c in count[n].items():
+            history[n][gram[:-1]] += c
+    follow = [None] + [defaultdict(list) for _ in range(order)]
+    for n in range(1, order + 1):
+        for gram, c in count[n].items():
+            if c >= least[n - 1]:
+                follow[n][gram[:-1]].append(gram[-1])
+    d = [None] + [katz.discounts([sum(x == r for x in c.values()) for r in range(1, 7)]) for c in count[1:]]
+    less = lambda n, c: float(katz.discounted(np.array([c]), d[n])[0])
+    total = sum(count[1].values())
+    unknown = 1 - sum(less(1, c) for c in count[1].values()) / total
+
+    def p(w, h):
+        n = len(h) + 1
+        c = count[n][(*h, w)]
+        if n == 1:
+            return less(1, c) / total if c else unknown
+        if c >= least[n - 1]:
+            return less(n, c) / history[n][h]
+        own = follow[n][h]
+        if not own:
+            return p(w, h[1:])
+        taken = sum(less(n, count[n][(*h, x)]) for x in own) / history[n][h]
+        return (1 - taken) / (1 - sum(p(x, h[1:]) for x in own)) * p(w, h[1:])
+
+    return p, count, list(follow[order])
+
+
+@pytest.mark.parametrize("order,least", [(3, (1, 1, 2)), (3, (1, 1, 1)), (2, (1, 1)), (4, (1, 1, 2, 2)), (1, (1,))])
+def test_katz_equals_brute_force(spark, tmp_path, order, least):
+    rows = [(k, prose(k % 17, 5 + k % 40, 60), None, None) for k in range(120)] + [(500, None, None, None), (501, "", None, None), (None, "w1 W2", None, None), (502, prose(3, 30, 60) + " never seen w1 w2 w3", None, None)]
+    frame = docs(spark, rows)
+    found = katz.scores(frame, order, least, tables=str(tmp_path)).collect()
+    got = {x.doc_id: x for x in found}
     tokens = {i: (t or "").lower().split() + ["</s>"] for i, t, _, _ in rows}
     held = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i in tokens}
-    one, two = Counter(), defaultdict(Counter)
-    for i, t in tokens.items():
-        if not held[i]:
-            one.update(t)
-            for h, w in zip(["<s>", *t], t):
-                two[h][w] += 1
+    p, count, histories = katz_by_brute_force(tokens, [i for i in tokens if not held[i]], order, least)
+    one = Counter({w: c for (w,), c in count[1].items()})
     n, v = sum(one.values()), len(one)
-    counts = lambda c: [sum(x == r for x in c) for r in range(1, 7)]
-    d1, d2 = katz.discounts(counts(one.values())), katz.discounts(counts([x for c in two.values() for x in c.values()]))
-    less = lambda c, d: float(katz.discounted(np.array([c]), d)[0])
-    p1 = {w: less(c, d1) / n for w, c in one.items()}
-    unknown = 1 - sum(p1.values())
-    assert unknown > 0
-
-    def p2(w, h):
-        own = two.get(h)
-        if not own:
-            return p1.get(w, unknown)
-        if w in own:
-            return less(own[w], d2) / sum(own.values())
-        alpha = (1 - sum(less(c, d2) for c in own.values()) / sum(own.values())) / (1 - sum(p1[x] for x in own))
-        return alpha * p1.get(w, unknown)
-
-    for h in list(two)[:20]:
-        assert sum(p2(w, h) for w in [*one, "?"]) == pytest.approx(1)
+    for h in histories[:20]:
+        assert sum(p(w, h) for w in [*one, "?"]) == pytest.approx(1)
     for i, t in tokens.items():
         x = got[i]
         assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held[i], len(t), sum(one[w] > 0 for w in t), n)
         assert x.base_score == pytest.approx(sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t))
-        assert x.score == pytest.approx(sum(math.log10(p2(w, h)) for h, w in zip(["<s>", *t], t)))
+        padded = ["<s>"] * (order - 1) + t
+        assert x.score == pytest.approx(sum(math.log10(p(padded[k], tuple(padded[k - order + 1 : k]))) for k in range(order - 1, len(padded)))), i
+    # The tables give the same scores to texts that the model didn't see before.
+    again = katz.scores_from(frame.withColumn("doc_id", F.col("doc_id") + 7000), str(tmp_path)).collect()
+    key = lambda x, shift: (-1 if x.doc_id is None else x.doc_id + shift, x.n_tokens, x.n_known, round(x.base_score, 6), round(x.score, 6))
+    assert sorted(key(x, 0) for x in again) == sorted(key(x, 7000) for x in found)
+
+
+def test_katz_counts_do_not_depend_on_chunks_and_buckets(spark, monkeypatch):
+    rows = [(k, prose(k % 17, 5 + k % 40, 60), None, None) for k in range(120)]
+    frame = docs(spark, rows).repartition(3)
+    want = sorted((x.doc_id, round(x.score, 8)) for x in katz.scores(frame).collect())
+    exchange = katz.Exchange(frame, None, 3, (1, 1, 2))
+    exchange.facts.bits = 6
+    for kinds in katz._steps(3):
+        exchange.count(kinds, learn=True)
+    exchange.weigh(learn=True)
+    assert sorted((x.doc_id, round(x.score, 8)) for x in exchange.score().collect()) == want
+    exchange.close()
 
 
 def test_katz_of_awkward_rows(awkward):
-    assert katz.scores(awkward).count() == 13
+    got = katz.scores(awkward).collect()
+    assert len(got) == 13 and len({x.train_tokens for x in got}) == 1
+    words_of = lambda t: len((t or "").split()) + 1
+    assert sorted(x.n_tokens for x in got) == sorted(words_of(x.text) for x in awkward.collect())
+    one = {(x.n_tokens, x.base_score, x.score) for x in got if x.doc_id == 1}
+    assert len(one) == 1 and {x.held_out for x in got if x.doc_id is None} == {False}
+    empty = [x for x in got if x.doc_id in (3, 4, 5)]
+    assert len({x.score for x in empty}) == 1 and all(x.n_tokens == x.n_known == 1 and x.score < 0 for x in empty)
     assert katz.scores(awkward.limit(0)).count() == 0
+    untrained = katz.scores(awkward.where("doc_id = 6").withColumn("doc_id", F.lit(3))).collect()
+    assert all(katz.in_training(x.doc_id) or x.score == 0 == x.train_tokens for x in untrained)
     assert all(0 < d < 1 for d in katz.discounts([0] * 6)[1:]) and all(0 < d < 1 for d in katz.discounts([9, 1, 7, 0, 2, 5])[1:])
 
 
