@@ -29,7 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: the lineage is cut, and any executor can read it after a loss."""
+    """df written as Parquet to the shared folder and read again: the lineage is cut, and any executor can read it after a loss.
+
+    So operators run most of their jobs when they are called. They delete what nothing reads any more; the tables that a result
+    still reads stay in the folder until whoever owns it clears it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)

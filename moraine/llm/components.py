@@ -60,13 +60,17 @@ def components(links: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
         discard(links)
         links = redrawn
         steps.append(points)
-    label = stored(_joined(links), "labels")
+    joined = _joined(links)
     if not steps:
-        return label.select("id", F.col("to").alias("component"))
+        return stored(joined.select("id", F.col("to").alias("component")), "labels")
+    few = label = stored(joined, "labels")
+    discard(links)
     # Follow the rounds' pointers backwards; then the smallest id of all that end at the same place names the component.
     for points in reversed(steps):
         onward = label.select(F.col("id").alias("to"), F.col("to").alias("end"))
         label = points.join(onward, "to", "left").select("id", F.coalesce("end", "to").alias("to"))
     label = stored(label, "labels")
     names = label.groupBy("to").agg(F.min("id").alias("component"))
-    return stored(label.join(names, "to").select("id", "component"), "components")
+    out = stored(label.join(names, "to").select("id", "component"), "components")
+    discard(few, label, *steps)
+    return out

@@ -127,13 +127,19 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], sets:
     members = stored(buckets.join(pivots, "key"), "members")
     met = members.select("id", "size", F.explode(F.array("low", "any")).alias("p")).where((F.col("id") != F.col("p.id")) & sizes_fit("size", "p.size", percent))
     pairs = stored(met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct(), "pairs")
-    labels = components(stored(verify(pairs), "links"))
+    links = stored(verify(pairs), "links")
+    labels = components(links)
+    discard(pairs, links)
     known = members.select("key", "id", F.col("low.id").alias("low")).join(labels, "id", "left")
     known = known.select("key", "id", "low", F.coalesce("component", "id").alias("component"))
     split = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     rest = stored(known.join(split, "key"), "unsettled")
+    discard(members)
     if not rest.limit(1).count():
+        discard(rest)
         return labels
     more = _settled(rest, sets, percent, by_region, share)
     # Old labels are links to their component's smallest id.
-    return components(more.union(labels.where("component != id").select(F.col("component").alias("a"), F.col("id").alias("b"))))
+    out = components(more.union(labels.where("component != id").select(F.col("component").alias("a"), F.col("id").alias("b"))))
+    discard(rest, more, labels)
+    return out

@@ -7,7 +7,8 @@ runs of registers are band keys; classes that share a key are candidates. A pair
 likelihood over the registers lies six standard deviations under the threshold; the others are confirmed on the full sets.
 
 Null text is empty. A row with a null id links with nothing and has a null component. Rows with equal ids are one
-document for the components. Input columns other than doc_id and text are not used. Empty tables give empty results.
+document for the components; repeated rows give equal rows. Of equal sets the smallest id stands for all, so there are no ties. A very long text is one
+batch: about 100 bytes of memory for each of its words. Input columns other than doc_id and text are not used. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import setsketch
-from .common import stored
+from .common import discard, stored
 from .linking import connect, semi_join
 from .words import U, Texts, chunks, distinct, mix, shingles, signed
 
@@ -100,6 +101,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80) -> Data
     filled = rows.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("h1", "h2", F.col("n_shingles").alias("size")).agg(F.min("doc_id").alias("id"), F.any_value("sketch").alias("sketch"))
     classes = stored(classes, "classes")
+    made: list[DataFrame] = []  # tables that are read until the labels are there
 
     def sets(ids: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,12 +116,15 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80) -> Data
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        made.append(ids)
         return confirm(pairs, sets(ids).drop("keys"), percent)
 
     # Registers are equal with about the similarity as probability.
     share = percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / setsketch.M)
-    labels = stored(connect(bands(classes), verify, lambda ids: sets(ids).drop("sketch"), percent, share=share), "labels")
+    labels = connect(bands(classes), verify, lambda ids: sets(ids).drop("sketch"), percent, share=share)
     named = classes.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
+    named = stored(named, "classes")
+    discard(classes, labels, *made)
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))

@@ -364,9 +364,12 @@ def clusters(docs: DataFrame, percent: int = 80, bands: int = BANDS, least_run:
     shared = stored(keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("key"), "shared-keys")
     buckets = stored(keys.join(shared, "key").distinct(), "buckets")
 
+    made: list[DataFrame] = []  # tables that are read until the components are there
+
     def sets(wanted: DataFrame) -> DataFrame:
         where = stored(semi_join(every.select(F.col("h1").alias("id"), "doc_id"), wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "contents")
         ids = stored(where.select("doc_id").distinct(), "ids")
+        made.extend((where, ids))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches):
@@ -390,7 +393,8 @@ def clusters(docs: DataFrame, percent: int = 80, bands: int = BANDS, least_run:
         return sets(wanted).mapInArrow(run, "id long, hashes array<long>, keys array<short>")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return confirm(pairs, sets(stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "contents")), percent)
+        made.append(stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "contents"))
+        return confirm(pairs, sets(made[-1]), percent)
 
     # Six standard deviations of the signatures' share under the threshold.
     share = percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / SIGNATURE)
@@ -400,7 +404,7 @@ def clusters(docs: DataFrame, percent: int = 80, bands: int = BANDS, least_run:
     repeated = every.groupBy("h1").agg(*ends).where("keeper != other").select("h1")
     named = repeated.join(near.withColumnRenamed("id", "h1"), "h1", "full").select("h1", "component")
     named = stored(named.select("h1", F.coalesce("component", "h1").alias("cluster"), F.col("component").isNotNull().alias("near")), "contents")
-    discard(shared, buckets)
+    discard(shared, buckets, near, *made)
     members = every.join(named, "h1").withColumn("cluster2", F.when(F.col("near"), F.lit(0)).otherwise(F.col("h2")))
     members = stored(members.select("doc_id", "whole", "start", "n", "cluster", "cluster2", "near"), "repeats")
     discard(every, named)
