@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, bounded_texts, discard, id_remainder, stored, widened
+from .common import bounded_sample, bounded_texts, discard, id_remainder, widened
 from .ftrl import Ftrl, temperature
 from .words import BASE, U, Texts, chunks
 
@@ -128,7 +128,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, seed: int = 5) -> Model |
 def train(docs: DataFrame, per_label: int = 800) -> Model | None:
     """Fit on rows with a language whose crc32(doc_id) mod 4 is not 2."""
     known = docs.where((id_remainder("doc_id", 4) != 2) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    picked = stored(bounded_sample(known.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id", "lang", per_label), "sample")  # 24,000 rows, or one a language
+    picked = bounded_sample(known.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id", "lang", per_label)  # 24,000 rows, or one a language
     rows = bounded_texts(known.join(F.broadcast(picked.select("doc_id")), "doc_id"), "lang")
     discard(picked)
     return fit([(r["text"], r["lang"]) for r in rows])

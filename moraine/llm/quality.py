@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, bounded_texts, discard, id_remainder, stored, widened
+from .common import bounded_sample, bounded_texts, discard, id_remainder, widened
 from .ftrl import Ftrl
 from .words import U, Texts, chunks, mix
 
@@ -98,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> np.ndarr
     """Fit on labelled rows with crc32(doc_id) mod 5 other than 0. Of several labels for an id, the highest counts."""
     known = labels.where(id_remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1))
-    picked = stored(bounded_sample(known, "doc_id", "quality", per_label), "sample")  # at most 2 * per_label rows
+    picked = bounded_sample(known, "doc_id", "quality", per_label)  # at most 2 * per_label rows
     rows = bounded_texts(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "quality")
     discard(picked)
     return fit([(r["text"], r["quality"]) for r in rows])
