@@ -1,6 +1,6 @@
 """BLAKE3, after its published specification: chunks of 1024 bytes, a binary tree of parents, 32 bytes out.
 
-All full chunks of a value are compressed side by side in numpy, so long values aren't hashed byte by byte in Python.
+The chunks of many values are compressed side by side in numpy, so neither long nor many values are hashed byte by byte in Python.
 """
 
 from __future__ import annotations
@@ -39,45 +39,74 @@ def compress(value: np.ndarray, words: np.ndarray, counter: np.ndarray, length:
     return np.stack([v[k] ^ v[k + 8] for k in range(8)], axis=1)
 
 
-def _parents(left: np.ndarray, right: np.ndarray, root: bool) -> np.ndarray:
+def _parents(left: np.ndarray, right: np.ndarray, root: np.ndarray) -> np.ndarray:
     n = len(left)
     start = np.broadcast_to(IV, (n, 8))
-    return compress(start, np.concatenate((left, right), axis=1), np.zeros(n), np.full(n, 64), np.full(n, PARENT | ROOT * root))
-
-
-def digest(data: bytes) -> bytes:
-    """The 32-byte hash."""
-    size = len(data)
-    chunks = max(1, -(-size // 1024))
-    padded = np.zeros(chunks * 1024, np.uint8)
-    padded[:size] = np.frombuffer(data, np.uint8)
-    words = padded.view("<u4").astype(np.uint32).reshape(chunks, 16, 16)
-    value = np.broadcast_to(IV, (chunks, 8)).astype(np.uint32)
-    last_length = size - (chunks - 1) * 1024
-    blocks = np.full(chunks, 16)
-    blocks[-1] = max(1, -(-last_length // 64))
+    return compress(start, np.concatenate((left, right), axis=1), np.zeros(n), np.full(n, 64), np.where(root, PARENT | ROOT, PARENT))
+
+
+def digests(values: list[bytes]) -> list[bytes]:
+    """The 32-byte hashes of values, whose chunks are all compressed side by side."""
+    if not values:
+        return []
+    sizes = np.array([len(x) for x in values], np.int64)
+    chunks = np.maximum(1, -(-sizes // 1024))
+    first = np.cumsum(chunks) - chunks
+    owner = np.repeat(np.arange(len(values)), chunks)
+    padded = np.zeros(int(chunks.sum()) * 1024, np.uint8)
+    for x, at in zip(values, first * 1024):
+        padded[at : at + len(x)] = np.frombuffer(x, np.uint8)
+    words = padded.view("<u4").reshape(-1, 16, 16)
+    number = np.arange(len(owner)) - first[owner]
+    length = np.where(number == chunks[owner] - 1, sizes[owner] - 1024 * number, 1024)
+    blocks = np.maximum(1, -(-length // 64))
+    value = np.broadcast_to(IV, (len(owner), 8)).astype(np.uint32)
     for b in range(16):
         live = np.flatnonzero(blocks > b)
         if not len(live):
             break
         ending = blocks[live] == b + 1
-        length = np.full(len(live), 64)
-        if ending[-1] and live[-1] == chunks - 1:
-            length[-1] = last_length - 64 * b
-        flags = CHUNK_START * (b == 0) + CHUNK_END * ending + ROOT * (ending & (chunks == 1))
-        value[live] = compress(value[live], words[live, b], live, length, flags)
-    level = value
+        flags = CHUNK_START * (b == 0) + CHUNK_END * ending + ROOT * (ending & (chunks[owner[live]] == 1))
+        value[live] = compress(value[live], words[live, b].astype(np.uint32), number[live], np.where(ending, length[live] - 64 * b, 64), flags)
     # Neighbours pair up; one left over moves up unchanged, which gives the largest power of two to every left subtree.
-    while len(level) > 1:
-        even = len(level) // 2 * 2
-        up = _parents(level[0:even:2], level[1:even:2], root=len(level) == 2)
-        level = np.concatenate((up, level[even:])) if even < len(level) else up
-    return level[0].astype("<u4").tobytes()
+    while (chunks > 1).any():
+        of = chunks[owner]
+        pair = np.flatnonzero((number % 2 == 0) & (number + 1 < of))
+        stay = number % 2 == 0
+        up = value.copy()
+        up[pair] = _parents(value[pair], value[pair + 1], of[pair] == 2)
+        value, owner, number, chunks = up[stay], owner[stay], number[stay] // 2, (chunks + 1) // 2
+    return [x.tobytes() for x in value.astype("<u4")]
+
+
+def digest(data: bytes) -> bytes:
+    """The 32-byte hash of one value."""
+    return digests([data])[0]
+
+
+def hex_digests(values: pd.Series, limit: int = 4 << 20) -> pd.Series:
+    """Hashes as hex, null for null, of runs of about limit bytes at a time."""
+    out, run, size = [None] * len(values), [], 0
+
+    def done() -> None:
+        for (k, _), h in zip(run, digests([x for _, x in run])):
+            out[k] = h.hex()
+        run.clear()
+
+    for k, x in enumerate(values):
+        if x is not None:
+            run.append((k, bytes(x)))
+            size += max(1024, len(run[-1][1]))
+            if size >= limit:
+                done()
+                size = 0
+    done()
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(StringType())
 def _hex(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else digest(bytes(x)).hex())
+    return hex_digests(values)
 
 
 def blake3(payload: Column | str) -> Column:

@@ -312,8 +312,9 @@ def restore(spark: SparkSession, path: str, folder: str = ".", only: Iterable[st
     writer = backends(spark, found)
     key, level, store_all = found["hash_algo"], o.level, o.store_all
     refs = V.blob_references(tables(spark, found)).join(spark.createDataFrame([(j["name"],) for j in chosen], "container string"), "container", "left_semi")
-    data = payloads(spark, path, dialect).select("h", "bytes").join(refs.select("container", "h").distinct(), "h")
-    data = data.withColumn("sound", content_hash("bytes", key) == F.col("h"))
+    # Each payload is hashed once, however many containers it goes to.
+    data = payloads(spark, path, dialect).select("h", "bytes", (content_hash("bytes", key) == F.col("h")).alias("sound"))
+    data = written(data.join(refs.select("h").distinct(), "h", "left_semi"), "restore").join(refs.select("container", "h").distinct(), "h")
     rows = [(j["name"], json.dumps(j), writer[j["name"]], targets[j["name"]]) for j in chosen]
     named = spark.createDataFrame(rows, "container string, document string, backend string, target string")
 

@@ -1,11 +1,12 @@
 import zlib
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from moraine.functions import codecs, scalar
-from moraine.functions.blake3 import digest
+from moraine.functions.blake3 import digest, digests, hex_digests
 from moraine.operators import folds, inputs, verify
 
 # Published vectors: byte k of the input is k mod 251.
@@ -104,3 +105,10 @@ def test_streaming_keeps_each_key_once(spark, tmp_path):
     for _ in range(2):
         ingest.append_to(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted(r.h for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_blake3_of_many_values():
+    sizes = [0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 3000, 5 * 1024 + 1, 8192, 9000]
+    values = [bytes((k * n) % 251 for k in range(n)) for n in sizes]
+    assert digests(values) == [digest(v) for v in values] and digests([]) == []
+    assert list(hex_digests(pd.Series([None, *values, None]), limit=4000)) == [None, *(digest(v).hex() for v in values), None]
