@@ -27,7 +27,6 @@ empty result. A very long text is one chunk of its own: about 150 bytes of memor
 
 from __future__ import annotations
 
-import gc
 import json
 import uuid
 import zlib
@@ -40,7 +39,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import discard, partitions, stored
+from .common import discard, free_shuffles, partitions, stored
 from .words import U, Texts, chunks, mix
 
 CHUNK_BYTES, CHUNK_ROWS = 8_000_000, 1 << 19
@@ -406,10 +405,8 @@ class Exchange:
         dealt = blobs.repartition(self.n, "kind", "bucket").sortWithinPartitions("kind", "bucket", F.asc_nulls_first("chunk"))
         out = stored(dealt.mapInArrow(answer, ANSWERS), label)
         self.answers.append(out)
-        # Spark's cleaner drops the files of a finished shuffle once its plan is collected.
         del blobs, dealt
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        free_shuffles(self.spark)
         return out
 
     def _held(self) -> DataFrame:
