@@ -67,6 +67,15 @@ def unsqueeze(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(kind).ravel()
 
 
+def press(x: np.ndarray) -> bytes:
+    """Doubles, many of which are equal, as compressed bytes."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x, np.float64).tobytes())
+
+
+def unpress(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.float64)
+
+
 def squeeze_sorted(x: np.ndarray) -> bytes:
     return squeeze(np.diff(x, prepend=U(0)))
 
@@ -141,16 +150,18 @@ def sent(kind: int, chunk: int, keys: np.ndarray, a: np.ndarray | None, b: np.nd
     if not len(some):
         return
     cut = lambda x, pack: pa.array([None if x is None else pack(x[at[k] : at[k + 1]]) for k in some], pa.binary())
+    pack = lambda x: squeeze if x is not None and x.dtype == np.uint32 else press
     n = len(some)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([kind] * n, pa.int32()), pa.array(some, pa.int32()), pa.array([chunk] * n, pa.int64()), cut(keys, squeeze_sorted), cut(a, squeeze), cut(b, squeeze)], names=[x.split()[0] for x in SENT.split(", ")]
+        [pa.array([kind] * n, pa.int32()), pa.array(some, pa.int32()), pa.array([chunk] * n, pa.int64()), cut(keys, squeeze_sorted), cut(a, pack(a)), cut(b, pack(b))], names=[x.split()[0] for x in SENT.split(", ")]
     )
 
 
 class Chunk:
     """A row of `chunks`, unpacked, and the answers that it has so far.
 
-    For every order n: keys[n], sorted, of its n-grams that were sent; place[n], where each token's is among them (-1: not sent); total[n], their counts.
+    For every order n: keys[n], sorted, of its n-grams that were sent; place[n], where each token's is among them (-1: not sent); total[n], their counts;
+    owned[n], whether this chunk accounts for them; shared[n], whether other chunks have them too.
     """
 
     def __init__(self, row: dict, answers: list[dict], facts: "Facts", done: int):
@@ -162,7 +173,7 @@ class Chunk:
         self.doc = np.repeat(np.arange(len(lengths)), lengths)
         self.at = np.r_[0, np.cumsum(lengths)]
         self.in_training = self.training[self.doc]
-        self.keys, self.place, self.total, self.owned = {1: self.vocabulary}, {1: self.tokens}, {}, {}
+        self.keys, self.place, self.total, self.owned, self.shared = {1: self.vocabulary}, {1: self.tokens}, {}, {}, {}
         #: The n-gram that ends at each token, whether or not it was sent.
         self.gram = {1: self.vocabulary[self.tokens]}
         self.answers = sorted(answers, key=lambda r: (r["kind"], r["bucket"]))
@@ -174,7 +185,8 @@ class Chunk:
             own = [r for r in self.answers if r["kind"] == n]
             totals = [unsqueeze(r["a"], np.uint32).astype(np.int64) for r in own]
             self.total[n] = np.concatenate([np.zeros(0, np.int64), *totals])
-            self.owned[n] = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(r["b"], np.uint8), count=len(x)) for r, x in zip(own, totals))]).astype(bool)
+            bits = [np.unpackbits(np.frombuffer(r["b"], np.uint8)).reshape(2, -1)[:, : len(x)] for r, x in zip(own, totals)]
+            self.owned[n], self.shared[n] = np.concatenate([np.zeros((2, 0), np.uint8), *bits], axis=1).astype(bool)
 
     def behind(self, values: np.ndarray, first) -> np.ndarray:
         """The value of the token before; first at the beginning of a text."""
@@ -269,7 +281,7 @@ class Scorer:
         for n in range(2, self.f.order + 1):
             out[n] = np.zeros(len(self.c.tokens))
             some = self.backs_off(n)
-            own = [unsqueeze(r["a"], np.float64) for r in self.c.answers if r["kind"] == self.f.order + n]
+            own = [unpress(r["a"]) for r in self.c.answers if r["kind"] == self.f.order + n]
             if some.any() and own:
                 _, place = np.unique(self.c.history(n)[some], return_inverse=True)
                 out[n][some] = np.concatenate(own)[place]
@@ -283,13 +295,25 @@ class Scorer:
             return inside
         return np.where(self.in_model(n), inside, self.weights[n] + self.value(n - 1))
 
-    def masses(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted histories of the n-grams that this chunk accounts for, what those take of their mass, and what they cover of the shorter history's."""
+    def asks(self, n: int) -> np.ndarray:
+        """Sorted histories whose backoff weights the chunk needs."""
+        return np.unique(self.c.history(n)[self.backs_off(n)])
+
+    def masses(self, n: int, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted histories of the n-grams that this chunk accounts for, what those take of their mass, and what they cover of the shorter history's.
+
+        Unless every is set, without those that only this chunk has and doesn't ask for.
+        """
         c = self.c
         first = np.full(len(c.keys[n]), -1)
         held = np.flatnonzero(c.place[n] >= 0)
         first[c.place[n][held[::-1]]] = held[::-1]
         mine = first[c.owned[n] & (c.total[n] >= self.f.least[n - 1])]
+        if not every:
+            held = c.place[n - 1] >= 0
+            among = np.zeros(len(held), bool)
+            among[held] = c.shared[n - 1][c.place[n - 1][held]]
+            mine = mine[c.behind(among, True)[mine] | np.isin(c.history(n)[mine], self.asks(n))]
         histories, place = np.unique(c.history(n)[mine], return_inverse=True)
         add = lambda x: np.bincount(place, x[mine], len(histories))
         return histories, add(self.seen(n)), add(self.seen(n - 1))
@@ -335,13 +359,14 @@ def add_counts(least: tuple[int, ...], keep: bool):
             np.minimum.at(owner, place[own], own)
             owned = np.zeros(len(flat), bool)
             owned[owner[owner < len(flat)]] = True
+            shared = np.bincount(place, minlength=len(distinct))[place] > 1
             seen = sums[sums > 0]
             stats = [*(int((seen == r).sum()) for r in range(1, TOP + 2)), len(seen), int(seen.sum())]
             at = np.r_[0, np.cumsum([len(k) for k in keys])]
             inside = sums >= least[held[0]["kind"] - 1]
             table = (None, squeeze_sorted(distinct[inside]), squeeze(sums[inside].astype(np.uint32)), None, stats) if keep else (None, None, None, None, stats)
             answers = sums[place].astype(np.uint32)
-            yield answered(held, [*((r["chunk"], None, squeeze(answers[x:y]), np.packbits(owned[x:y]).tobytes(), None) for r, x, y in zip(held, at, at[1:]) if r["chunk"] is not None), table])
+            yield answered(held, [*((r["chunk"], None, squeeze(answers[x:y]), np.packbits([owned[x:y], shared[x:y]], axis=1).tobytes(), None) for r, x, y in zip(held, at, at[1:]) if r["chunk"] is not None), table])
 
     return run
 
@@ -354,7 +379,7 @@ def add_masses(keep: bool):
             given = [r for r in held if r["a"] is not None]
             flat = np.concatenate([np.zeros(0, U), *(unsqueeze_sorted(r["keys"]) for r in given)])
             histories, place = np.unique(flat, return_inverse=True)
-            add = lambda c: np.bincount(place, np.concatenate([np.zeros(0), *(unsqueeze(r[c], np.float64) for r in given)]), len(histories))
+            add = lambda c: np.bincount(place, np.concatenate([np.zeros(0), *(unpress(r[c]) for r in given)]), len(histories))
             taken, covered = add("a"), add("b")
             tiny = 1e-300
             weight = np.log10(np.maximum(1 - taken, tiny) / np.maximum(1 - covered, tiny))
@@ -364,9 +389,9 @@ def add_masses(keep: bool):
                     keys = unsqueeze_sorted(r["keys"])
                     at = np.minimum(np.searchsorted(histories, keys), max(0, len(histories) - 1))
                     found = histories[at] == keys if len(histories) else np.zeros(len(keys), bool)
-                    parts.append((r["chunk"], None, squeeze(np.where(found, weight[at] if len(histories) else 0.0, 0.0)), None, None))
+                    parts.append((r["chunk"], None, press(np.where(found, weight[at] if len(histories) else 0.0, 0.0)), None, None))
             if keep and len(histories):
-                parts.append((None, squeeze_sorted(histories), squeeze(taken), squeeze(covered), None))
+                parts.append((None, squeeze_sorted(histories), press(taken), press(covered), None))
             if parts:
                 yield answered(held, parts)
 
@@ -450,14 +475,14 @@ class Exchange:
 
     def weigh(self, learn: bool) -> None:
         """Backoff weights of the histories that chunks back off from. Kinds are order + n."""
-        facts = self.facts
+        facts, every = self.facts, self.keep
 
         def send(c: Chunk) -> Iterator[pa.RecordBatch]:
             s = Scorer(c)
             for n in range(2, facts.order + 1):
                 if learn:
-                    yield from sent(facts.order + n, c.number, *s.masses(n), facts.bits)
-                yield from sent(facts.order + n, c.number, np.unique(c.history(n)[s.backs_off(n)]), None, None, facts.bits)
+                    yield from sent(facts.order + n, c.number, *s.masses(n, every), facts.bits)
+                yield from sent(facts.order + n, c.number, s.asks(n), None, None, facts.bits)
 
         self._ask(list(range(facts.order + 2, 2 * facts.order + 1)), send, add_masses(self.keep), "weights")
 
