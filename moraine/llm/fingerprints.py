@@ -6,12 +6,14 @@ whole (the k smallest of both), and two of them estimate resemblance (the share
 hold), containment and the number of distinct shingles. As text, a fingerprint is its hashes in hex, 10 digits each.
 
 Equal texts have equal fingerprints. Two empty fingerprints resemble each other with 1, an empty and a filled one with 0.
-Null text is empty. In the order by id, null ids come first and rows with equal ids follow their texts' hashes; an only
-document follows itself. Empty tables give empty results.
+Null text is empty. In the order by id, null ids come first and rows with equal ids follow their texts' hashes (an id that
+many rows have, null among them, is dealt to several tasks by that hash); an only document follows itself. Repeated rows give equal fingerprints.
+A very long text is one row: some 50 bytes of memory for each of its words. Empty tables give empty results. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -71,23 +73,35 @@ def as_text(x: Column) -> Column:
     return F.concat_ws("", F.transform(x, lambda h: F.lower(F.lpad(F.hex(h), HASH_BITS // 4, "0"))))
 
 
-def range_buckets(rows: DataFrame, column: str, buckets: int) -> Column:
-    """Which of about `buckets` ranges of equal counts a row's value lies in.
+def range_buckets(rows: DataFrame, column: str, tie: Column, buckets: int) -> Column:
+    """Which of about `buckets` ranges of equal counts a row's (value, tie) lies in, nulls first; tie is a hash as long.
 
-    Only the bounds come to the driver. They are searched in two steps, as many comparisons as twice the root of their number.
+    A value that fills ranges alone (as nulls may) is split by tie. Only bounds come to the driver; they are searched in two
+    steps, as many comparisons as twice the root of their number.
     """
     at = [k / buckets for k in range(1, buckets)]
-    found = rows.select(F.percentile_approx(column, at, 10 * buckets).alias("b")).first()["b"] if at else None
-    bounds = sorted(set(found or []))
+    own = F.percentile_approx(column, at, 10 * buckets) if at else F.lit(None).cast("array<long>")
+    found, nulls, total = rows.agg(own, F.count_if(F.col(column).isNull()), F.count(F.lit(1))).first()
+    times = Counter(found or [])
+    bounds, most = sorted(times), max(times.values(), default=1)
+    split = lambda n: F.least(F.floor((tie / float(1 << 64) + 0.5) * n), n - 1).cast("int")
+    null_parts = max(1, -(-buckets * nulls // max(1, total)))
     if not bounds:
-        return F.lit(0)
+        return F.when(F.col(column).isNull(), split(F.lit(null_parts))).otherwise(null_parts)
     side = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[k : k + side] for k in range(0, len(bounds), side)]
-    value = F.coalesce(F.col(column), F.lit(bounds[0] - 1))
+    value = F.coalesce(F.col(column), F.lit(bounds[0]))
     longs = lambda xs: F.array(*(F.lit(int(x)).cast("long") for x in xs))
     count = lambda xs: F.size(F.filter(xs, lambda b: b <= value))
     group = F.greatest(count(longs([g[0] for g in groups])), F.lit(1))
-    return (group - 1) * side + count(F.element_at(F.array(*map(longs, groups)), group))
+    place = (group - 1) * side + count(F.element_at(F.array(*map(longs, groups)), group))
+    heavy = [b for b in bounds if times[b] > 1]
+    inner = F.lit(most)
+    if heavy:
+        # Of a range, the value that it begins with comes first, in as many parts as ranges begin with it.
+        parts = F.element_at(F.map_from_arrays(longs(heavy), longs(times[b] for b in heavy)), value)
+        inner = F.when(parts.isNotNull(), split(parts)).otherwise(most)
+    return F.when(F.col(column).isNull(), split(F.lit(null_parts))).otherwise(null_parts + place * (most + 1) + inner)
 
 
 def fingerprints(docs: DataFrame, k: int = K, length: int = LENGTH) -> DataFrame:
@@ -98,7 +112,7 @@ def fingerprints(docs: DataFrame, k: int = K, length: int = LENGTH) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     # Documents are dealt by ranges of ids, once with their texts; all but a range's last row find the next one there.
-    docs = docs.withColumn("part", range_buckets(docs, "doc_id", 4 * partitions(docs.sparkSession)))
+    docs = docs.withColumn("part", range_buckets(docs, "doc_id", F.xxhash64("text"), 4 * partitions(docs.sparkSession)))
     key = F.struct("doc_id", F.xxhash64("text").alias("tie"))
     leads = docs.groupBy("part").agg(F.min(key).alias("key"))
     leads = stored(leads.select(F.col("part").alias("lead_part"), "key.*"), "leads")  # a row for each range

@@ -236,6 +236,22 @@ def test_fingerprints(spark):
         assert abs(x.near_edited - jaccard(a, b)) < 0.16 and abs(x.near_next - jaccard(a, c)) < 0.16
 
 
+def test_ids_of_many_rows_are_split(spark):
+    """Half the rows have one id and a quarter have none: the next document is still found, and no range holds most rows."""
+    rows = [(None if k % 4 == 0 else 7 if k % 4 < 3 else k, prose(k, 12, 400), None, None) for k in range(400)]
+    frame = docs(spark, rows)
+    hashes = {x.text: x.h for x in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((i is not None, i or 0, hashes[t]), i, t) for i, t, _, _ in rows)
+    want = Counter()
+    for (_, i, text), (_, _, after) in zip(order, order[1:] + order[:1]):
+        half = len(text) // 2
+        want[i, hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert Counter((x.doc_id, x.edited_sha256) for x in fingerprints.fingerprints(frame).collect()) == want
+    part = fingerprints.range_buckets(frame, "doc_id", F.xxhash64("text"), 16)
+    sizes = [x["n"] for x in frame.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 70 and len(sizes) >= 12
+
+
 def test_sketches_merge_and_count(spark):
     text = prose(8, 3000, 10**6)
     left, right = " ".join(text.split()[:1500]), " ".join(text.split()[1496:])
