@@ -10,7 +10,8 @@ a sequence is full; only the rest of a partition is not a whole sequence, and it
 powers of two, which need no padding. Every id lies in exactly one piece.
 
 Null texts are empty and hold only the end id. Rows with null or repeated ids are packed like others, ties in the order
-of their texts. An empty table gives an empty result. Columns of the input other than doc_id and text are not carried.
+of their texts; rows that are equal in both lie side by side. A very long text is tokenized whole: some 20 bytes of memory for each of its bytes.
+An empty table gives an empty result. Columns of the input other than doc_id and text are not carried.
 """
 
 from __future__ import annotations

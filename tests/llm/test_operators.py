@@ -476,12 +476,22 @@ def test_quality_sees_word_order():
 
 
 def test_classifiers_of_awkward_rows(spark, awkward):
-    labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
-    assert quality.classify(awkward, labels).count() == 13
-    assert quality.accepted(awkward, labels).columns == awkward.columns
-    assert {x.score for x in quality.classify(awkward, labels.limit(0)).collect()} == {0.5}
-    assert langid.predict(awkward, langid.train(awkward)).count() == 13
-    assert langid.train(awkward.limit(0)) is None
+    labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0), (7, 0, 1), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
+    found = quality.classify(awkward, labels).collect()
+    assert len(found) == 13 and len({x.score for x in found if x.doc_id == 1 or x.text == prose(1, 60)}) == 1
+    # Texts without words have the bias alone; what was learned as good is better than what was learned as bad.
+    empty = {x.score for x in found if not (x.text or "").split()}
+    assert len(empty) == 1 and all(x.predicted == int(x.score >= 0.3) for x in found)
+    score = {x.doc_id: x.score for x in found}
+    assert score[1] > score[7]
+    kept = quality.accepted(awkward, labels)
+    assert kept.columns == awkward.columns and kept.count() == sum(x.predicted for x in found) and {x.score for x in kept.collect()} <= {"mine"}
+    assert {x.score for x in quality.classify(awkward, labels.limit(0)).collect()} == {0.5} and quality.classify(awkward.limit(0), labels).count() == 0
+    got = langid.predict(awkward, langid.train(awkward)).collect()
+    assert len(got) == 13 and all((x.lang_pred == "und" and x.score == 0) == (not langid.has_letter(x.text)) for x in got)
+    learned = {x.lang for x in awkward.where((langid.id_remainder("doc_id", 4) != 2) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).collect()}
+    assert {x.lang_pred for x in got} <= learned | {"und"} and len({x.lang_pred for x in got if x.doc_id == 1}) == 1
+    assert langid.train(awkward.limit(0)) is None and langid.predict(awkward.limit(0), None).count() == 0
 
 
 def topk_by_brute_force(rows, k=5, scale=256):
@@ -601,9 +611,13 @@ def test_deep_pages_take_time_in_proportion(part):
 
 
 def test_html_rows(spark):
-    pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
+    hidden = '<body><div style="display:none"><p>Nothing of this, that is long enough, is seen.</p></div><p>Seen, and long enough to be the text.</p></body>'
+    rows = [(1, "u", PAGE, "x", 5), (1, "u", PAGE, "x", 5), (None, None, None, None, None), (2, "v", "", "x", 5), (3, "w", hidden, "x", 5), (4, "z", "<p>" + "word, " * 100_000, "x", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
     got = html_text.extract(pages).collect()
-    assert [len(x.text) for x in got] == [x.n_chars for x in got] and got[2].text == "" and html_text.extract(pages.limit(0)).count() == 0
+    assert [len(x.text) for x in got] == [x.n_chars for x in got] and got[0] == got[1] and got[2].text == got[3].text == "" and html_text.extract(pages.limit(0)).count() == 0
+    assert got[4].text == "Seen, and long enough to be the text." and got[5].n_chars == 6 * 100_000 - 1
+    assert html_text.extract(pages).columns == ["page_id", "url", "text", "n_chars"]
 
 
 def test_pages_of_the_table(spark, sf):
@@ -659,6 +673,17 @@ def test_fast_tokenizer_gives_the_same_ids():
         assert fast(text) == plain(text), repr(text)
 
 
+def test_fast_tokenizer_on_random_strings():
+    """Ids, and as bytes, of 4000 strings of letters, marks, digits, kinds of space, contractions and characters beyond Latin-1."""
+    P = pytest.importorskip("public_tokenizers")
+    plain, fast = packing.json_encoder(P.path("byte_bpe_50k.json")), packing.default_encoder()
+    r = random.Random(9)
+    parts = [*"abzAZ019", *" \t\n\r\x0b\x0c\x1c\x85\xa0\u2003", *"éÀÿß×÷ªº²½", *"'!|_-.,;()@#", "'s", "'LL", "'re", " the", "The ", "ing", "  ", "\r\n", "<|endoftext|>", "漢", "😀", "ا", "\u0301", "\x00", "\x7f"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(1, 40)))
+        assert fast(text) == plain(text), repr(text)
+
+
 def test_hilbert_neighbours_touch():
     side = np.array(list(itertools.product(range(8), repeat=3)))
     place = packing.hilbert(side, 3)
@@ -803,8 +828,15 @@ def test_lines_that_occur_once_lengthen_no_run(spark):
     assert substring_dup.clusters(docs(spark, rows + rows)).count() == 0
 
 
-def test_substrings_of_awkward_rows(awkward):
-    assert substring_dup.without_repeats(awkward).columns == awkward.columns
+def test_substrings_of_awkward_rows(spark, awkward):
+    left = substring_dup.without_repeats(awkward)
+    assert left.columns == awkward.columns
+    # Copies of document 1 go, but for the row with its own id and what has no id; white space was no words, so it stays.
+    texts = {x.doc_id: x.text for x in awkward.collect() if x.doc_id is not None}
+    assert sorted(((x.doc_id, x.text) for x in left.collect() if x.doc_id is not None), key=str) == sorted(
+        [(1, texts[1]), (1, texts[1]), (3, None), (4, ""), (5, texts[5]), (6, "one"), (6, "two words"), (7, texts[7]), (8, texts[8])], key=str
+    )
+    assert sum(x.doc_id is None for x in left.collect()) == 2
     assert substring_dup.clusters(awkward.limit(0)).count() == 0
     assert substring_dup.tuned_bands(0.8, 0.998) == 4
 
