@@ -127,5 +127,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     return 0
 
 
-if __name__ == "__main__":
+def run() -> None:
+    """What the installed command calls."""
     sys.exit(main())
+
+
+if __name__ == "__main__":
+    run()
