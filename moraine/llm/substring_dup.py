@@ -47,6 +47,8 @@ SIGNATURE = 128
 UNITS = "doc_id long, whole long, start int, n int, h1 long, h2 long"
 #: Words of the shingles whose least hash is a window's anchor.
 ANCHOR = 8
+#: Windows of a row at most.
+MOST_WINDOWS = 256
 #: Classes of an anchor up to which they are compared in one stream; those of more are compared by shuffling windows.
 IN_ONE_STREAM = 100_000
 LINES = f"{UNITS}, size long, keys array<long>"
@@ -136,9 +138,15 @@ class Anchored:
             np.copyto(smallest, hashes[k : k + n], where=smaller)
             np.copyto(place, at[k : k + n], where=smaller)
         self.windows = first = np.flatnonzero(texts.doc[:n] == texts.doc[least - 1 :]) if n else at[:0]
-        new = np.ones(len(first), bool)
-        new[1:] = (place[first[1:]] != place[first[:-1]]) | (first[1:] != first[:-1] + 1)
-        self.at = np.flatnonzero(new)
+        # Windows in a row with one anchor are one row, also where words come over and over and the anchor lies at one place after the other; but
+        # for the windows of its first place, so that such an anchor counts as repeated.
+        new, moved = np.ones(len(first), bool), np.zeros(len(first), bool)
+        new[1:] = (smallest[first[1:]] != smallest[first[:-1]]) | (first[1:] != first[:-1] + 1)
+        moved[1:] = (place[first[1:]] != place[first[:-1]]) & ~new[1:]
+        moves = np.cumsum(moved)
+        new |= moved & (moves - 1 == (moves - moved)[np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))])
+        since = np.arange(len(first)) - np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
+        self.at = np.flatnonzero(new | (since % MOST_WINDOWS == 0))
         self.m = np.diff(np.r_[self.at, len(first)])
         self.group = first[self.at]
         self.of = smallest[self.group]
@@ -271,7 +279,8 @@ def repeated_windows(docs: DataFrame, least: int, in_one_stream: int = IN_ONE_ST
     keeper = {"keeper_doc_id": F.col("first.doc_id"), "keeper_start": F.col("first.start")}
     result = ["doc_id", "whole", "start", "m", "keeper_doc_id", "keeper_start", "kept"]
     leads = alone.withColumns(keeper | {"doc_id": F.col("first.doc_id"), "whole": F.col("first.whole"), "start": F.col("first.start"), "kept": F.lit(True)}).select(*result)
-    same = alone.withColumns(keeper | {"kept": F.lit(False), "j": F.lit(0)}).select("anchor", "context", "first", "j", F.col("m").alias("m2"), "keeper_doc_id", "keeper_start", "kept")
+    part = lambda j, m, doc, start: F.struct(j.cast("int").alias("j"), m.cast("int").alias("m"), doc.alias("keeper_doc_id"), start.cast("int").alias("keeper_start"))
+    same = alone.select("anchor", "context", "first", F.array(part(F.lit(0), F.col("m"), F.col("first.doc_id"), F.col("first.start"))).alias("parts"))
     # Several contexts: their windows are compared, for the first and the last place of each.
     asked = stored(mixed.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("context").alias("asked")), "asked")
     lists = semi_join(docs, asked.select("doc_id"), "doc_id").join(asked, "doc_id")
@@ -285,10 +294,12 @@ def repeated_windows(docs: DataFrame, least: int, in_one_stream: int = IN_ONE_ST
         found = found.union(windows_by_shuffle(rows.where(F.col("classes") > in_one_stream)))
     found = stored(found, "windows")
     discard(rows, asked)
-    like_last = found.where("not lead").select("anchor", "context", (F.col("start") - F.col("at")).alias("j"), F.col("m").alias("m2"), "keeper_doc_id", "keeper_start", "kept")
+    # A row for each class, however its windows repeat; its other places repeat like the last.
+    like_last = found.where("not lead").groupBy("anchor", "context").agg(F.collect_list(part(F.col("start") - F.col("at"), F.col("m"), F.col("keeper_doc_id"), F.col("keeper_start"))).alias("parts"))
     like_last = like_last.join(mixed.select("anchor", "context", "first"), ["anchor", "context"]).select(*same.columns)
     others = members.drop("m").join(same.union(like_last), ["anchor", "context"]).where(place != F.col("first"))
-    others = others.withColumn("start", F.col("start") + F.col("j")).withColumnRenamed("m2", "m").select(*result)
+    others = others.select("doc_id", "whole", "start", F.explode("parts").alias("_part"))
+    others = others.select("doc_id", "whole", (F.col("start") + F.col("_part.j")).alias("start"), "_part.m", "_part.keeper_doc_id", "_part.keeper_start", F.lit(False).alias("kept"))
     out = stored(others.union(leads).union(found.where("lead").select(*result)), "repeated")
     discard(members, classes_n, found)
     return out
