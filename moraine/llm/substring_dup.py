@@ -5,9 +5,9 @@ broken; what lies side by side at both places is one stretch, so a stretch ends
 aren't compared all with all: a window's anchor is the MinHash (the smallest hash) of the ANCHOR-word shingles in it, a band of
 one row, so equal windows always collide. About an eighth of all places are anchors; each stands for the few windows in a row of which it is the
 least, and its context is a digest of all their words. Anchors that occur once go at once. Equal contexts are a class, however
-many places have them (a passage in a third of all documents is a few classes), with the first place as keeper; only classes
-that share an anchor and differ in context are compared window by window, by one member each. Of equal windows the first place
-is kept. Words are compared with A-Z lower-cased.
+many places have them (a passage in a third of all documents is a few classes), whose first place is the keeper of the others; only classes
+that share an anchor and differ in context are compared window by window, by one member each, where the first of equal windows is the keeper. So of
+equal windows the first place is kept, and a keeper is an equal place before. Words are compared with A-Z lower-cased.
 
 Paragraphs (lines of 8 words or more) of equal content are found by a 128-bit digest. Paragraphs of unequal content become
 candidates by MinHash: each of `bands` keys is made of ROWS smallest permuted 5-word shingle hashes; 7 bands of 2 rows
@@ -52,7 +52,7 @@ MOST_WINDOWS = 256
 #: Classes of an anchor up to which they are compared in one stream; those of more are compared by shuffling windows.
 IN_ONE_STREAM = 100_000
 LINES = f"{UNITS}, size long, keys array<long>"
-PLACES = "anchor long, context long, doc_id long, whole long, start int, m int"
+PLACES = "anchor long, context long, doc_id long, whole long, start int, m int, over boolean"
 ANCHORS = "doc_id long, whole long, start int, anchor long, context long, lead boolean, runs array<long>"
 STRETCHES = "doc_id long, whole long, start int, m int, keeper_doc_id long, keeper_start int, kept boolean, anchor long, context long, lead boolean, at int"
 
@@ -120,7 +120,7 @@ class Anchored:
     """The anchors of a run of texts.
 
     group: places of the first windows; m: how many windows in a row an anchor stands for; of: their anchors, as hashes;
-    context: a digest of all words of the windows; windows: the windows' digests, m of them for each anchor.
+    over: whether the anchor lies at several places there, so that windows may be equal; context: a digest of all words of the windows; windows: the windows' digests, m of them for each anchor.
     """
 
     def __init__(self, column: pa.Array, least: int):
@@ -138,15 +138,13 @@ class Anchored:
             np.copyto(smallest, hashes[k : k + n], where=smaller)
             np.copyto(place, at[k : k + n], where=smaller)
         self.windows = first = np.flatnonzero(texts.doc[:n] == texts.doc[least - 1 :]) if n else at[:0]
-        # Windows in a row with one anchor are one row, also where words come over and over and the anchor lies at one place after the other; but
-        # for the windows of its first place, so that such an anchor counts as repeated.
+        # Windows in a row with one anchor are one row, also where words come over and over and the anchor lies at one place after the other.
         new, moved = np.ones(len(first), bool), np.zeros(len(first), bool)
         new[1:] = (smallest[first[1:]] != smallest[first[:-1]]) | (first[1:] != first[:-1] + 1)
         moved[1:] = (place[first[1:]] != place[first[:-1]]) & ~new[1:]
-        moves = np.cumsum(moved)
-        new |= moved & (moves - 1 == (moves - moved)[np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))])
         since = np.arange(len(first)) - np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
-        self.at = np.flatnonzero(new | (since % MOST_WINDOWS == 0))
+        self.at = np.flatnonzero(since % MOST_WINDOWS == 0)
+        self.over = np.add.reduceat(moved, self.at) > 0 if len(self.at) else np.zeros(0, bool)
         self.m = np.diff(np.r_[self.at, len(first)])
         self.group = first[self.at]
         self.of = smallest[self.group]
@@ -156,7 +154,7 @@ class Anchored:
     def columns(self, batch: pa.RecordBatch, some: np.ndarray) -> dict[str, pa.Array]:
         doc = self.doc[some]
         out = {"anchor": pa.array(signed(self.of[some])), "context": pa.array(signed(self.context[some])), "doc_id": batch.column("doc_id").take(pa.array(doc, pa.int64()))}
-        return out | {"whole": pa.array(signed(self.whole[doc])), "start": pa.array(self.group[some] - self.begin[doc], pa.int32()), "m": pa.array(self.m[some], pa.int32())}
+        return out | {"whole": pa.array(signed(self.whole[doc])), "start": pa.array(self.group[some] - self.begin[doc], pa.int32()), "m": pa.array(self.m[some], pa.int32()), "over": pa.array(self.over[some])}
 
 
 def places(docs: DataFrame, least: int) -> DataFrame:
@@ -209,13 +207,11 @@ def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             continue
         row = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
         anchor, lists = row[0], batch.column("runs")
-        # Rows that occur twice, and anchors that occur once.
+        # Rows that occur twice.
         keep = np.ones(len(anchor), bool)
         keep[1:] = np.any([x[1:] != x[:-1] for x in row], axis=0)
         keep[0] = before != tuple(x[0] for x in row)
         before = tuple(x[-1] for x in row)
-        equal = anchor[1:] == anchor[:-1]
-        keep &= np.r_[False, equal] | np.r_[equal, False] | (anchor == anchor[-1]) | (anchor == (held[0][0] if len(held[0]) else anchor[-1]))
         picked = np.flatnonzero(keep)
         lists = lists.take(pa.array(picked))
         length = lists.value_lengths().to_numpy().astype(np.int64)
@@ -265,23 +261,23 @@ def windows_by_shuffle(rows: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, least: int, in_one_stream: int = IN_ONE_STREAM) -> DataFrame:
     """Windows that occur at two places, m in a row: doc_id, whole, start, m, keeper_doc_id, keeper_start, kept."""
     every = stored(places(docs, least), "places")
-    again = stored(every.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    again = stored(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("over").alias("over")).where("n > 1 or over").select("anchor"), "anchors")
     members = stored(every.join(again, "anchor"), "anchored")
     discard(every, again)
     place = F.struct("doc_id", "start", "whole")
-    classes = members.groupBy("anchor", "context", "m").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    classes = members.groupBy("anchor", "context", "m").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("over").alias("over"))
     classes = stored(classes, "classes")
     several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"))
-    classes_n = stored(classes.join(several, "anchor").where("classes > 1 or first != last"), "classes")
+    classes_n = stored(classes.join(several, "anchor").where("classes > 1 or over or first != last"), "classes")
     discard(classes)
-    # One context: all its places repeat the first.
-    alone, mixed = classes_n.where("classes = 1"), classes_n.where("classes > 1")
+    # All places of a context repeat the first.
+    alone, mixed = classes_n.where("classes = 1 and not over"), classes_n.where("classes > 1 or over")
     keeper = {"keeper_doc_id": F.col("first.doc_id"), "keeper_start": F.col("first.start")}
     result = ["doc_id", "whole", "start", "m", "keeper_doc_id", "keeper_start", "kept"]
+    others = members.drop("over").join(classes_n.where("first != last").select("anchor", "context", "first"), ["anchor", "context"]).where(place != F.col("first"))
+    others = others.withColumns(keeper | {"kept": F.lit(False)}).select(*result)
     leads = alone.withColumns(keeper | {"doc_id": F.col("first.doc_id"), "whole": F.col("first.whole"), "start": F.col("first.start"), "kept": F.lit(True)}).select(*result)
-    part = lambda j, m, doc, start: F.struct(j.cast("int").alias("j"), m.cast("int").alias("m"), doc.alias("keeper_doc_id"), start.cast("int").alias("keeper_start"))
-    same = alone.select("anchor", "context", "first", F.array(part(F.lit(0), F.col("m"), F.col("first.doc_id"), F.col("first.start"))).alias("parts"))
-    # Several contexts: their windows are compared, for the first and the last place of each.
+    # Several contexts: the windows of their first places are compared; the last place says that there is another one.
     asked = stored(mixed.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("context").alias("asked")), "asked")
     lists = semi_join(docs, asked.select("doc_id"), "doc_id").join(asked, "doc_id")
     lists = anchors(lists, least).select("anchor", "context", "runs").dropDuplicates(["anchor", "context"])
@@ -294,12 +290,6 @@ def repeated_windows(docs: DataFrame, least: int, in_one_stream: int = IN_ONE_ST
         found = found.union(windows_by_shuffle(rows.where(F.col("classes") > in_one_stream)))
     found = stored(found, "windows")
     discard(rows, asked)
-    # A row for each class, however its windows repeat; its other places repeat like the last.
-    like_last = found.where("not lead").groupBy("anchor", "context").agg(F.collect_list(part(F.col("start") - F.col("at"), F.col("m"), F.col("keeper_doc_id"), F.col("keeper_start"))).alias("parts"))
-    like_last = like_last.join(mixed.select("anchor", "context", "first"), ["anchor", "context"]).select(*same.columns)
-    others = members.drop("m").join(same.union(like_last), ["anchor", "context"]).where(place != F.col("first"))
-    others = others.select("doc_id", "whole", "start", F.explode("parts").alias("_part"))
-    others = others.select("doc_id", "whole", (F.col("start") + F.col("_part.j")).alias("start"), "_part.m", "_part.keeper_doc_id", "_part.keeper_start", F.lit(False).alias("kept"))
     out = stored(others.union(leads).union(found.where("lead").select(*result)), "repeated")
     discard(members, classes_n, found)
     return out
