@@ -313,7 +313,10 @@ class Scorer:
             held = c.place[n - 1] >= 0
             among = np.zeros(len(held), bool)
             among[held] = c.shared[n - 1][c.place[n - 1][held]]
-            mine = mine[c.behind(among, True)[mine] | np.isin(c.history(n)[mine], self.asks(n))]
+            needed = c.behind(among, True)[mine]
+            alone = np.flatnonzero(~needed)
+            needed[alone] = np.isin(c.history(n)[mine[alone]], self.asks(n))
+            mine = mine[needed]
         histories, place = np.unique(c.history(n)[mine], return_inverse=True)
         add = lambda x: np.bincount(place, x[mine], len(histories))
         return histories, add(self.seen(n)), add(self.seen(n - 1))
