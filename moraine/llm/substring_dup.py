@@ -54,7 +54,7 @@ IN_ONE_STREAM = 100_000
 LINES = f"{UNITS}, size long, keys array<long>"
 PLACES = "anchor long, context long, doc_id long, whole long, start int, m int, over boolean"
 ANCHORS = "doc_id long, whole long, start int, anchor long, context long, lead boolean, runs array<long>"
-STRETCHES = "doc_id long, whole long, start int, m int, keeper_doc_id long, keeper_start int, kept boolean, anchor long, context long, lead boolean, at int"
+STRETCHES = "doc_id long, whole long, start int, m int, keeper_doc_id long, keeper_start int, kept boolean, lead boolean"
 
 
 def tuned_bands(similarity: float, recall: float, rows: int = 1) -> int:
@@ -200,8 +200,8 @@ def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     Of an anchor that goes on in the next batch, only the first places of its runs are held.
     """
-    columns = ("anchor", "doc_id", "whole", "start", "context", "lead", "start")
-    held, held_run, held_told, before = [np.zeros(0, np.int64)] * 7, np.zeros(0, np.int64), np.zeros(0, bool), None
+    columns = ("anchor", "doc_id", "whole", "start", "lead")
+    held, held_run, held_told, before = [np.zeros(0, np.int64)] * 5, np.zeros(0, np.int64), np.zeros(0, bool), None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -219,7 +219,7 @@ def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
         row = [np.r_[h, x[owner]] for h, x in zip(held, row)]
         row[3][len(held_run) :] += inner
-        anchors_, doc, whole, start, context, lead, at = row
+        anchors_, doc, whole, start, lead = row
         run = np.r_[held_run, lists.flatten().to_numpy()]
         told = np.r_[held_told, np.zeros(len(owner), bool)]
         if not len(run):
@@ -236,21 +236,21 @@ def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         held, held_run, held_told = [x[goes_on] for x in row], run[goes_on], told[goes_on]
         if not len(out):
             continue
-        ends = [doc[out], whole[out], start[out], doc[keeper[out]], start[keeper[out]], kept[out], anchors_[out], context[out], lead[out], at[out]]
+        ends = [doc[out], whole[out], start[out], doc[keeper[out]], start[keeper[out]], kept[out], lead[out]]
         new = np.ones(len(out), bool)
-        new[1:] = np.any([np.diff(x.astype(np.int64)) != step for x, step in zip(ends, (0, 0, 1, 0, 1, 0, 0, 0, 0, 0))], axis=0)
+        new[1:] = np.any([np.diff(x.astype(np.int64)) != step for x, step in zip(ends, (0, 0, 1, 0, 1, 0, 0))], axis=0)
         begin = np.flatnonzero(new)
-        d, w, s, kd, ks, k, a, c, first_of, row_start = (x[begin] for x in ends)
+        d, w, s, kd, ks, k, of_lead = (x[begin] for x in ends)
         m = np.diff(np.r_[begin, len(out)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(d), pa.array(w), pa.array(s, pa.int32()), pa.array(m, pa.int32()), pa.array(kd), pa.array(ks, pa.int32()), pa.array(k), pa.array(a), pa.array(c), pa.array(first_of > 0), pa.array(row_start, pa.int32())],
+            [pa.array(d), pa.array(w), pa.array(s, pa.int32()), pa.array(m, pa.int32()), pa.array(kd), pa.array(ks, pa.int32()), pa.array(k), pa.array(of_lead > 0)],
             names=[x.split()[0] for x in STRETCHES.split(", ")],
         )
 
 
 def windows_by_shuffle(rows: DataFrame) -> DataFrame:
     """What repeated_runs gives, for anchors with more classes than one stream should take: one row a window, pre-aggregated by window."""
-    each = rows.select("doc_id", "whole", F.col("start").alias("at"), "anchor", "context", "lead", F.posexplode("runs").alias("_j", "run")).withColumn("start", F.col("at") + F.col("_j"))
+    each = rows.select("doc_id", "whole", F.col("start").alias("_at"), "lead", F.posexplode("runs").alias("_j", "run")).withColumn("start", F.col("_at") + F.col("_j"))
     place = F.struct("doc_id", "start", "whole")
     ends = each.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
     kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
