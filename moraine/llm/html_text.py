@@ -6,7 +6,8 @@ says menu, banner, dialog and the like. An element whose class or id says advert
 too (an <article> only if it is named a comment and lies in another one), unless it holds most of the page's paragraph points, or an <article> or <main> that is not so named, and there is no other
 <article> or <main> with text. Names that tell a state (has-sidebar, comments-open) don't count. Each remaining paragraph gives points for
 its length and commas to its nearest LEVELS ancestors: all to the parent, half to the next, a third of a half to the one above, and so on;
-a container's points are then discounted by the share of its text that lies in links. The container with most points is
+a container's points are then discounted by the share of its text that lies in links. (The constants, a point and one for each
+comma and each 100 characters up to three, 25 characters at least, are those published with the Readability reader-mode script.) The container with most points is
 the article, or the <article>/<main> element around it if there is one. Siblings with a fair share of the points are kept too: of an
 <article> its sibling articles, without such an element all siblings, and long sibling paragraphs with few links. A page on which nothing scores gives
 its <article>, <main> or <body>.
