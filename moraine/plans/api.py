@@ -6,12 +6,13 @@ import hashlib
 import json
 import os
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from moraine.functions import scalar
 from moraine.functions.blake3 import blake3, digest as blake3_digest
@@ -19,7 +20,8 @@ from moraine.operators import classify, dedup, folds, inputs as I, verify as V
 from moraine.sources import cas, containers as C, pack_format as P, zip_writers as Z
 from moraine.sources.containers import PARTS
 
-from .storage import written
+from .storage import reader, streamed, written
+
 
 @dataclass
 class PackOptions:
@@ -72,8 +74,15 @@ def content_hash(column: str, key: str):
     return blake3(column) if key == "blake3" else F.sha2(F.col(column), 256)
 
 
-def _key_of(data: bytes, key: str) -> bytes:
-    return blake3_digest(data) if key == "blake3" else hashlib.sha256(data).digest()
+def _end_of(blobs: DataFrame, count: int, key: str) -> bytes:
+    """The end digest: the hash of all keys (first_seen_ord, h) in order. BLAKE3 takes them at once, 32 bytes each; SHA-256 one by one."""
+    keys = (bytes.fromhex(r["h"]) for r in streamed(blobs.select("first_seen_ord", "h"), "first_seen_ord", count, 100 * count))
+    if key == "blake3":
+        return blake3_digest(b"".join(keys))
+    chain = hashlib.sha256()
+    for k in keys:
+        chain.update(k)
+    return chain.digest()
 
 
 def pack(spark: SparkSession, options: PackOptions) -> PackSummary:
@@ -115,7 +124,7 @@ def pack(spark: SparkSession, options: PackOptions) -> PackSummary:
         raise ValueError(f"signed container {signed[0]}")
     if options.dry_run:
         return PackSummary(stats, warnings, 0)
-    body, chain = _document(jars, framed, stats, options)
+    body = _document(jars, framed, stats, options)
 
     tags, level = options.dialect, options.level
 
@@ -127,24 +136,27 @@ def pack(spark: SparkSession, options: PackOptions) -> PackSummary:
 
     # A frame holds at most the frame limit, or one payload; frames are compressed side by side and come to the writer in order.
     data = framed.join(payloads.select("bytes", *order), order)
-    partial = options.output + ".tmp"
+    partial, beside = options.output + ".tmp", f"{options.sidecar}.tmp"
     created = 0 if options.sort_inputs else int(time.time())
-    with open(partial, "wb") as out:
-        end = _key_of(chain, options.key)
+    frame_count = framed.agg(F.max("frame_id")).first()[0]
+    frame_count = 0 if frame_count is None else frame_count + 1
+    unique = stats["bytes_unique_blobs"]
+    end = _end_of(framed, blob_count, options.key)
+    with open(partial, "wb") as out, open(beside if options.sidecar else os.devnull, "wb") as copy:
+        body = P.Pieces(body.length, _copied(body.parts, copy))
         if options.version == 1:
-            made = ((bytes.fromhex(r["h"]), bytes(r["bytes"])) for r in data.select("first_seen_ord", "h", "bytes").orderBy("first_seen_ord").toLocalIterator())
+            rows = streamed(data.select("frame_id", "first_seen_ord", "h", "bytes"), "frame_id", frame_count, unique, order="first_seen_ord")
+            made = ((bytes.fromhex(r["h"]), bytes(r["bytes"])) for r in rows)
             layout = P.write_pack_v1(out, made, body, end, stats["jar_count"], level, created, tags)
         else:
-            frames = data.groupBy("frame_id").applyInPandas(compressed, "frame_id long, data binary, places string").orderBy("frame_id")
-            made = ((bytes(r["data"]), [(bytes.fromhex(h), o, s) for h, o, s in json.loads(r["places"])]) for r in frames.toLocalIterator())
+            frames = data.groupBy("frame_id").applyInPandas(compressed, "frame_id long, data binary, places string")
+            made = ((bytes(r["data"]), [(bytes.fromhex(h), o, s) for h, o, s in json.loads(r["places"])]) for r in streamed(frames, "frame_id", frame_count, unique))
             layout = P.write_pack(out, made, lambda: body, end, stats["jar_count"], level, created, tags)
     P.check_finished(partial, layout, tags)
     say("write", blob_count)
     os.replace(partial, options.output)
     if options.sidecar:
-        with open(options.sidecar + ".tmp", "wb") as out:
-            out.write(body)
-        os.replace(options.sidecar + ".tmp", options.sidecar)
+        os.replace(beside, options.sidecar)
     return PackSummary(stats, warnings, os.path.getsize(options.output))
 
 
@@ -175,17 +187,30 @@ def _stats(jars: DataFrame, blobs: DataFrame) -> dict:
     return stats | {"dedup_ratio": 1 - b[1] / a[4] if a[4] else 0.0}
 
 
-def _document(jars: DataFrame, framed: DataFrame, stats: dict, options: PackOptions) -> tuple[bytes, bytes]:
-    """The catalog document and all keys in order. It is one record of the pack, so the driver, which writes that, puts its parts together."""
-    keys, blobs = [], []
-    for r in framed.select("first_seen_ord", "h", "sha256", "size", "ref_count").orderBy("first_seen_ord").toLocalIterator():
-        keys.append(bytes.fromhex(r["h"]))
-        blobs.append(json.dumps({"blake3": r["h"], "sha256": r["sha256"], "size": r["size"], "ref_count": r["ref_count"]}, separators=(",", ":")))
-    parts = (r["document"] for r in jars.select("container_ord", "document").orderBy("container_ord").toLocalIterator())
+def _document(jars: DataFrame, framed: DataFrame, stats: dict, options: PackOptions) -> P.Pieces:
+    """The catalog document. It is one record of the pack, which the driver writes: executors make its parts, and they pass through the driver a few MB at a time."""
+    blobs = framed.select("first_seen_ord", F.to_json(F.struct(F.col("h").alias("blake3"), "sha256", "size", "ref_count")).alias("document"))
+    count = lambda rows: rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("document").cast("long")), F.lit(0))).first()
+    (jar_count, jar_bytes), (blob_count, blob_bytes) = count(jars), count(blobs)
+    top = jars.agg(F.max("container_ord")).first()[0]
     head = {"format": options.dialect.catalog_format, "version": 1, "hash_algo": options.key, "mode": "content"}
     text = lambda x: json.dumps(x, separators=(",", ":"))
-    whole = f'{text(head)[:-1]},"jars":[{",".join(parts)}],"blobs":[{",".join(blobs)}],"stats":{text(stats)}}}'
-    return whole.encode(), b"".join(keys)
+    fixed = [x.encode() for x in (f'{text(head)[:-1]},"jars":[', '],"blobs":[', f'],"stats":{text(stats)}}}')]
+
+    def parts() -> Iterator[bytes]:
+        yield fixed[0]
+        for rows, by, values, size, last in ((jars, "container_ord", (top or 0) + 1, jar_bytes, fixed[1]), (blobs, "first_seen_ord", blob_count, blob_bytes, fixed[2])):
+            for n, r in enumerate(streamed(rows.select(by, "document"), by, values, size, part=8 << 20)):
+                yield b"," * (n > 0) + r["document"].encode()
+            yield last
+
+    return P.Pieces(sum(map(len, fixed)) + jar_bytes + max(0, jar_count - 1) + blob_bytes + max(0, blob_count - 1), parts())
+
+
+def _copied(parts: Iterable[bytes], out) -> Iterator[bytes]:
+    for part in parts:
+        out.write(part)
+        yield part
 
 
 def restore_attributes(path: str) -> dict:
@@ -204,32 +229,119 @@ PARTS_SCHEMA = ", ".join(f"{k}_blob string, {k}_size long" for k in PARTS)
 CONTAINER_SCHEMA = f"container string, container_ord int, source_path string, source_size long, source_sha256 string, comment string, signed boolean, restore_path string, restore_mode long, restore_uid long, restore_gid long, {PARTS_SCHEMA}"
 
 
-def _row(schema: str, values: dict) -> tuple:
-    return tuple(values.get(f.split()[0]) for f in schema.replace("\n", " ").split(", "))
+NESTED_SCHEMA = f"container string, container_ord int, nested_ord long, {PARTS_SCHEMA}"
+BLOB_SCHEMA = "first_seen_ord long, h string, sha256 string, size long, ref_count long"
+#: How much of a catalog's text an executor's task takes.
+CATALOG_PART = 8 << 20
+
+
+def _fields(schema: str) -> dict[str, str]:
+    return dict(f.split() for f in schema.replace("\n", " ").split(", "))
+
+
+@dataclass
+class Catalog:
+    """A pack's catalog. head: its document without jars and blobs; end: the end digest; tables: container, nested, slot, blob, stats; jars: container, container_ord, document (JSON)."""
+
+    head: dict
+    end: bytes
+    tables: dict[str, DataFrame]
+    jars: DataFrame
 
 
-def tables(spark: SparkSession, document: dict) -> dict[str, DataFrame]:
-    """A catalog document as tables: container, nested, slot, blob, stats."""
-    containers, nested, slots = [], [], []
-    for k, jar in enumerate(document["jars"]):
-        at = {"container": jar["name"], "container_ord": k}
-        containers.append(_row(CONTAINER_SCHEMA, jar | at))
-        slots += [_row(SLOT_SCHEMA, e | at | {"slot_ord": n}) for n, e in enumerate(jar["entries"])]
-        for i, child in enumerate(jar.get("nestedindexes", [])):
-            nested.append(_row(f"container string, nested_ord long, {PARTS_SCHEMA}", child | at | {"nested_ord": i}))
-            slots += [_row(SLOT_SCHEMA, e | at | {"nested_ord": i, "slot_ord": n}) for n, e in enumerate(child["entries"])]
-    blobs = [(n, b["blake3"].lower(), b["sha256"].lower(), b["size"], b["ref_count"]) for n, b in enumerate(document["blobs"])]
-    stats = document["stats"]
-    return {
-        "container": spark.createDataFrame(containers, CONTAINER_SCHEMA),
-        "nested": spark.createDataFrame(nested, f"container string, nested_ord long, {PARTS_SCHEMA}"),
-        "slot": spark.createDataFrame(slots, SLOT_SCHEMA),
-        "blob": spark.createDataFrame(blobs, "first_seen_ord long, h string, sha256 string, size long, ref_count long"),
-        "stats": spark.createDataFrame([tuple(stats.values())], ", ".join(f"{k} {'double' if k == 'dedup_ratio' else 'long'}" for k in stats)),
-    }
+def read(spark: SparkSession, path: str, dialect: P.Dialect = P.MORAINE) -> Catalog:
+    """The catalog of a pack that executors see at this path; of a version 2 pack only the last frame is read.
+
+    It is one compressed JSON text: one task takes it apart as it reads, container by container, and others parse them. The driver gets the head.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    with open(path, "rb") as f:
+        layout = P.open_layout(f, dialect)
+    kinds = {"container": _fields(CONTAINER_SCHEMA) | {"document": "string"}, "nested": _fields(NESTED_SCHEMA), "slot": _fields(SLOT_SCHEMA), "blob": _fields(BLOB_SCHEMA), "head": {"document": "string"}}
+    ddl = ", ".join(f"{k} {v}" for k, v in ({"kind": "string"} | {k: v for names in kinds.values() for k, v in names.items()}).items())
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    lines = pa.schema([("kind", pa.string()), ("ord", pa.int64()), ("text", pa.string())])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, blobs, count, head, lists = [], 0, [], 0, {}, {"jars", "blobs"}
+
+        def group() -> dict:
+            line = {"kind": "blobs", "ord": count - len(blobs), "text": f"[{','.join(blobs)}]"}
+            blobs.clear()
+            return line
+
+        for _ in batches:  # one row
+            with open(path, "rb") as f:
+                for key, place, text in P.catalog_values(f, dialect):
+                    size += len(text)
+                    if key in ("jars", "blobs"):
+                        lists.discard(key)
+                    if key == "jars" and place is not None:
+                        held.append({"kind": "jar", "ord": place, "text": text})
+                    elif key == "blobs" and place is not None:
+                        blobs.append(text)
+                        count += 1
+                        if len(blobs) == 4096:
+                            held.append(group())
+                    elif place is None:
+                        head[key] = json.loads(text)
+                    else:
+                        head.setdefault(key, []).append(json.loads(text))
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_pylist(held, lines)
+                        held, size = [], 0
+            if lists or head.get("jars", []) != [] or head.get("blobs", []) != []:
+                raise P.PackError("the catalog has no list of jars or of blobs")
+            if blobs:
+                held.append(group())
+            held.append({"kind": "head", "ord": 0, "text": json.dumps(head)})
+            yield pa.RecordBatch.from_pylist(held, lines)
+
+    def rows_of(kind: str, place: int, text: str) -> Iterator[tuple[str, dict]]:
+        if kind == "head":
+            yield "head", {"document": text}
+        elif kind == "blobs":
+            for n, b in enumerate(json.loads(text)):
+                yield "blob", {"first_seen_ord": place + n, "h": b["blake3"].lower(), "sha256": b["sha256"].lower(), "size": b["size"], "ref_count": b["ref_count"]}
+        else:
+            jar = json.loads(text)
+            at = {"container": jar["name"], "container_ord": place}
+            yield "container", jar | at | {"document": text}
+            for n, e in enumerate(jar["entries"]):
+                yield "slot", e | at | {"slot_ord": n}
+            for i, child in enumerate(jar.get("nestedindexes", [])):
+                yield "nested", child | at | {"nested_ord": i}
+                for n, e in enumerate(child["entries"]):
+                    yield "slot", e | at | {"nested_ord": i, "slot_ord": n}
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for line in zip(*(batch.column(c).to_pylist() for c in ("kind", "ord", "text"))):
+                for kind, values in rows_of(*line):
+                    held.append({k: values.get(k) for k in kinds[kind]} | {"kind": kind})
+                    if len(held) >= 4096:
+                        yield pa.RecordBatch.from_pylist(held, schema)
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    taken = spark.range(0, 1, 1, 1).mapInArrow(split, "kind string, ord long, text string")
+    taken = taken.repartition(max(1, -(-layout.catalog_length // CATALOG_PART)), "kind", "ord")
+    rows = reader(taken.mapInArrow(parse, ddl), "catalog")
+    of = lambda kind: rows().where(F.col("kind") == kind).select(*(k for k in kinds[kind] if k != "document"))
+    head = json.loads(rows().where("kind = 'head'").select("document").collect()[0][0])
+    if head.get("format") != dialect.catalog_format:
+        raise P.PackError(f"the catalog's format is {head.get('format')!r}")
+    stats = head["stats"]
+    tables = {k: of(k) for k in ("container", "nested", "slot", "blob")}
+    tables["stats"] = spark.createDataFrame([tuple(stats.values())], ", ".join(f"{k} {'double' if k == 'dedup_ratio' else 'long'}" for k in stats))
+    return Catalog(head, bytes.fromhex(head["end"]), tables, rows().where("kind = 'container'").select("container", "container_ord", "document"))
 
 
 def document(path: str, dialect: P.Dialect = P.MORAINE) -> dict:
+    """The whole catalog document, held by the caller."""
     with open(path, "rb") as f:
         found = P.read_catalog(f, dialect)[1]
     if found.get("format") != dialect.catalog_format:
@@ -238,8 +350,8 @@ def document(path: str, dialect: P.Dialect = P.MORAINE) -> dict:
 
 
 def catalog(spark: SparkSession, path: str, dialect: P.Dialect = P.MORAINE) -> dict[str, DataFrame]:
-    """The catalog's tables; of a version 2 pack only the last frame is read."""
-    return tables(spark, document(path, dialect))
+    """The catalog's tables: container, nested, slot, blob, stats."""
+    return read(spark, path, dialect).tables
 
 
 def payloads(spark: SparkSession, path: str, dialect: P.Dialect = P.MORAINE) -> DataFrame:
@@ -255,18 +367,16 @@ def payloads(spark: SparkSession, path: str, dialect: P.Dialect = P.MORAINE) ->
 
 def verify(spark: SparkSession, path: str, dialect: P.Dialect = P.MORAINE) -> DataFrame:
     """All violations of a pack, in the order of their severity column; empty for a sound pack."""
-    found = document(path, dialect)
-    key = found["hash_algo"]
+    found = read(spark, path, dialect)
+    key, blobs = found.head["hash_algo"], found.tables["blob"]
     data = payloads(spark, path, dialect)
     data = data.select("ord", "h", "size", content_hash("bytes", key).alias("key"), F.sha2("bytes", 256).alias("sha256"), F.crc32("bytes").alias("crc32"))
     data = written(data, "verified")
-    out = V.verify(tables(spark, found), data)
-    listed = spark.createDataFrame([(n, b["blake3"].lower()) for n, b in enumerate(found["blobs"])], "ord long, h string")
+    out = V.verify(found.tables, data)
+    listed = blobs.select(F.col("first_seen_ord").alias("ord"), "h")
     differences = V.violation(V.sequence_differences(data, listed), 17, "sequence", None, None, F.concat_ws(" ", "side", F.col("ord").cast("string"), "h"))
-    with open(path, "rb") as f:
-        _, _, end = P.read_last(f, dialect)
-    chain = _key_of(b"".join(bytes.fromhex(b["blake3"]) for b in found["blobs"]), key)
-    ends = spark.createDataFrame([] if chain == end else [(chain.hex(),)], "d string")
+    chain = _end_of(blobs, blobs.count(), key)
+    ends = spark.createDataFrame([] if chain == found.end else [(chain.hex(),)], "d string")
     return out.unionByName(differences).unionByName(V.violation(ends, 18, "end_digest", None, None, F.col("d")))
 
 
@@ -275,9 +385,8 @@ def listing(spark: SparkSession, path: str, dialect: P.Dialect = P.MORAINE) -> D
     return classify.listing(t["container"], t["slot"], t["nested"])
 
 
-def backends(spark: SparkSession, found: dict) -> dict[str, str]:
-    """The writer that restores each container of a catalog document."""
-    t = tables(spark, found)
+def backends(t: dict[str, DataFrame]) -> dict[str, str]:
+    """The writer that restores each container of a catalog's tables."""
     return {r["container"]: r["backend"] for r in classify.backend(t["container"], t["slot"], t["nested"]).select("container", "backend").collect()}
 
 
@@ -302,21 +411,25 @@ def restore(spark: SparkSession, path: str, folder: str = ".", only: Iterable[st
     not read. Names that the pack doesn't have give a warning.
     """
     o = RestoreOptions(folder, None if only is None else list(only), overwrite, level=level, dialect=dialect, **more)
-    found = document(path, dialect)
-    known = {j["name"] for j in found["jars"]}
+    found = read(spark, path, dialect)
+    # Of each container the driver gets its name and what says where it goes, as it gives a result for each.
+    jars = found.tables["container"].select(F.col("container").alias("name"), "container_ord", "restore_path", "restore_mode", "restore_uid", "restore_gid", "prefix_size")
+    jars = [r.asDict() for r in sorted(jars.collect(), key=lambda r: r["container_ord"])]
+    known = {j["name"] for j in jars}
     for name in o.only or []:
         if name not in known:
             o.warn(f"the pack has no container {name}")
-    chosen = [j for j in found["jars"] if o.only is None or j["name"] in set(o.only)]
-    targets = _targets(found, chosen, o)
-    writer = backends(spark, found)
-    key, level, store_all = found["hash_algo"], o.level, o.store_all
-    refs = V.blob_references(tables(spark, found)).join(spark.createDataFrame([(j["name"],) for j in chosen], "container string"), "container", "left_semi")
+    wanted = known if o.only is None else set(o.only)
+    chosen = [j for j in jars if j["name"] in wanted]
+    targets = _targets(jars, chosen, o)
+    writer = backends(found.tables)
+    key, level, store_all = found.head["hash_algo"], o.level, o.store_all
+    refs = V.blob_references(found.tables).join(spark.createDataFrame([(j["name"],) for j in chosen], "container string"), "container", "left_semi")
     # Each payload is hashed once, however many containers it goes to.
     data = payloads(spark, path, dialect).select("h", "bytes", (content_hash("bytes", key) == F.col("h")).alias("sound"))
     data = written(data.join(refs.select("h").distinct(), "h", "left_semi"), "restore").join(refs.select("container", "h").distinct(), "h")
-    rows = [(j["name"], json.dumps(j), writer[j["name"]], targets[j["name"]]) for j in chosen]
-    named = spark.createDataFrame(rows, "container string, document string, backend string, target string")
+    rows = [(j["container_ord"], writer[j["name"]], targets[j["name"]]) for j in chosen]
+    named = found.jars.join(spark.createDataFrame(rows, "container_ord int, backend string, target string"), "container_ord")
 
     def write(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         said: list[str] = []
@@ -332,7 +445,8 @@ def restore(spark: SparkSession, path: str, folder: str = ".", only: Iterable[st
             os.replace(partial, r["target"])
         return pa.table({"container": [key[0].as_py()], "said": pa.array([said], pa.list_(pa.string()))})
 
-    for r in named.groupBy("container").cogroup(data.groupBy("container")).applyInArrow(write, "container string, said array<string>").orderBy("container").collect():
+    done = named.groupBy("container").cogroup(data.groupBy("container")).applyInArrow(write, "container string, said array<string>").collect()
+    for r in sorted(done, key=lambda r: r["container"]):  # a sort in Spark would have the containers written twice
         for text in r["said"]:
             o.warn(text)
     for jar in chosen:
@@ -340,11 +454,11 @@ def restore(spark: SparkSession, path: str, folder: str = ".", only: Iterable[st
     return [(j["name"], writer[j["name"]]) for j in chosen]
 
 
-def _targets(found: dict, chosen: list[dict], o: RestoreOptions) -> dict[str, str]:
+def _targets(jars: list[dict], chosen: list[dict], o: RestoreOptions) -> dict[str, str]:
     """Where each container goes; refuses unsafe names and files that are there, before anything is written."""
     out = {}
     if o.restore_paths:
-        for jar in found["jars"]:
+        for jar in jars:
             if not jar.get("restore_path"):
                 raise ValueError(f"{jar['name']}: the pack doesn't say where it came from")
     else:
@@ -399,12 +513,11 @@ def apply_attributes(jar: dict, target: str, o: RestoreOptions) -> None:
 
 def spill(spark: SparkSession, path: str, folder: str, dialect: P.Dialect = P.MORAINE) -> int:
     """Put all payloads of a pack into a content-addressed folder; returns how many were new. A payload of another hash, or a wrong end record, is an error."""
-    found = document(path, dialect)
-    with open(path, "rb") as f:
-        _, _, end = P.read_last(f, dialect)
-    if _key_of(b"".join(bytes.fromhex(b["blake3"]) for b in found["blobs"]), found["hash_algo"]) != end:
+    found = read(spark, path, dialect)
+    blobs, key = found.tables["blob"], found.head["hash_algo"]
+    if _end_of(blobs, blobs.count(), key) != found.end:
         raise P.PackError("the end record differs from the listed payloads")
-    data = written(payloads(spark, path, dialect).select("h", "bytes", (content_hash("bytes", found["hash_algo"]) == F.col("h")).alias("sound")), "spill")
+    data = written(payloads(spark, path, dialect).select("h", "bytes", (content_hash("bytes", key) == F.col("h")).alias("sound")), "spill")
     if bad := data.where("not sound").select("h").first():
         raise P.PackError(f"payload {bad[0]} has another hash")
     return cas.put(data, folder).where("written").count()

@@ -23,7 +23,6 @@ from . import adapters as A, api
 from .storage import shared_folder, written
 
 PER_CONTAINER = 50
-FILES = "path string, content binary, container string, container_ord int"
 PREFIX = b"#!/bin/sh\nexec true\n"
 
 
@@ -55,7 +54,7 @@ def container_files(docs: DataFrame, stored: bool = False, nested: int = 0) -> D
             content = archive(made[k], PREFIX if k % 5 == 0 else b"")
         return pa.table({"path": [f"c{k}.zip"], "content": pa.array([content], pa.binary()), "container": [f"c{k}.zip"], "container_ord": pa.array([k], pa.int32())})
 
-    return rows.withColumn("group", group).groupBy("group").applyInArrow(run, FILES)
+    return rows.withColumn("group", group).groupBy("group").applyInArrow(run, C.FILES)
 
 
 def slot_rows(files: DataFrame) -> DataFrame:
@@ -98,7 +97,7 @@ def rewritten(files: DataFrame, backend: str, level: int = 9) -> DataFrame:
                 content = api.container_bytes(jar, held, backend, level)
                 yield pa.RecordBatch.from_pydict({"path": [f["path"]], "content": pa.array([content], pa.binary()), "container": [f["container"]], "container_ord": pa.array([f["container_ord"]], pa.int32())})
 
-    return files.mapInArrow(run, FILES)
+    return files.mapInArrow(run, C.FILES)
 
 
 def written_files(files: DataFrame, folder: str) -> list[str]:
@@ -114,8 +113,8 @@ def written_files(files: DataFrame, folder: str) -> list[str]:
                 os.replace(partial, os.path.join(folder, name))
             yield batch.select(["container", "container_ord"])
 
-    rows = files.mapInArrow(run, "container string, container_ord int").orderBy("container_ord").collect()
-    return [os.path.join(folder, r["container"]) for r in rows]
+    rows = files.mapInArrow(run, "container string, container_ord int").collect()  # sorted here: a sort in Spark would have the files written twice
+    return [os.path.join(folder, r["container"]) for r in sorted(rows, key=lambda r: r["container_ord"])]
 
 
 def scratch(spark: SparkSession, label: str) -> str:

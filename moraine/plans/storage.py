@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,9 +22,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    return reader(df, label)()
+
+
+def reader(df: DataFrame, label: str) -> Callable[[], DataFrame]:
+    """df, written; each call gives a DataFrame of its own, so that parts of df can be joined with each other."""
+    spark, schema, path = df.sparkSession, df.schema, f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return lambda: spark.read.schema(schema).parquet(path)
+
+
+def streamed(df: DataFrame, by: str, values: int, size: int, part: int = 16 << 20, order: str | None = None) -> Iterator[Row]:
+    """df in the order of `order` (or `by`) to the driver, which holds about `part` of its `size` bytes at a time.
+
+    `by` counts from 0 to values - 1 and rises with the order; runs of it are the partitions, which come one after the other.
+    """
+    parts = max(1, min(values, -(-size // part)))
+    run = F.floor(F.col(by) * parts / max(1, values)).cast("int")
+    return df.repartitionById(parts, run).sortWithinPartitions(order or by).toLocalIterator()
 
 
 def with_ordinal(df: DataFrame, by: list[str], name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -195,14 +196,38 @@ def document_of(rows: Iterable[dict]) -> dict:
     return jar
 
 
+FILES = "path string, content binary, container string, container_ord int"
+#: So many bytes of files are one task's.
+TASK_BYTES = 16 << 20
+
+
 def read_files(spark: SparkSession, paths: list[str], names: list[str]) -> DataFrame:
-    """path, content, container, container_ord of the files."""
+    """path, content, container, container_ord of the files.
+
+    Paths without a scheme are files that executors see, too; they open them themselves, some MB of files a task. Others are read by Spark, which lists
+    each by a task of its own and reads only a few a task.
+    """
     if not paths:
-        return spark.createDataFrame([], "path string, content binary, container string, container_ord int")
-    uri = lambda p: p if "://" in p else "file:" + p
-    known = spark.createDataFrame([(uri(p), n, k) for k, (p, n) in enumerate(zip(paths, names))], "path string, container string, container_ord int")
-    files = spark.read.format("binaryFile").load([uri(p) for p in dict.fromkeys(paths)]).select("path", "content")
-    return files.join(F.broadcast(known), "path")  # a row for each input path, which the driver lists anyway
+        return spark.createDataFrame([], FILES)
+    if any("://" in p for p in paths):
+        uri = lambda p: p if "://" in p else "file:" + p
+        known = spark.createDataFrame([(uri(p), n, k) for k, (p, n) in enumerate(zip(paths, names))], "path string, container string, container_ord int")
+        files = spark.read.format("binaryFile").load([uri(p) for p in dict.fromkeys(paths)]).select("path", "content")
+        return files.join(F.broadcast(known), "path")  # a row for each input path, which the driver lists anyway
+    rows, size = [], 0
+    for k, (p, n) in enumerate(zip(paths, names)):
+        rows.append((os.path.abspath(p), n, k, size // TASK_BYTES))
+        size += os.path.getsize(p) + 4096
+    listed = spark.createDataFrame(rows, "path string, container string, container_ord int, task int").repartitionById(rows[-1][3] + 1, "task")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, n, k in zip(*(batch.column(c).to_pylist() for c in ("path", "container", "container_ord"))):
+                with open(p, "rb") as f:
+                    content = f.read()
+                yield pa.RecordBatch.from_pydict({"path": ["file:" + p], "content": pa.array([content], pa.binary()), "container": [n], "container_ord": pa.array([k], pa.int32())})
+
+    return listed.mapInArrow(run, FILES)
 
 
 def list_slots(spark: SparkSession, paths: list[str]) -> DataFrame:

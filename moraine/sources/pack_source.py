@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,8 +26,8 @@ class PackReader(DataSourceReader):
             layout = P.open_layout(f, self.dialect)
             if layout.version == 1:
                 return [FramePartition(layout.header_total, layout.payload_bytes, 0)]
-            toc, out, at = P.toc_of(f, layout, self.dialect), [], None
-            for n, (_, offset, length, _) in enumerate(toc.entries):
+            out, at = [], None
+            for n, (_, offset, length, _) in enumerate(P.toc_rows(f, layout, self.dialect)):
                 if offset != at:
                     out.append(FramePartition(layout.header_total + offset, length, n))
                     at = offset
@@ -41,15 +40,15 @@ class PackReader(DataSourceReader):
             return
         with open(self.path, "rb") as f:
             f.seek(partition.offset)
-            stream = io.BytesIO(zstandard.ZstdDecompressor().decompressobj().decompress(f.read(partition.length)))
-        tag, n = self.dialect.tags[0], partition.first
-        while (head := stream.read(41)) and head[0] == tag and len(head) == 41:
-            size = int.from_bytes(head[33:], "little")
-            data = stream.read(size)
-            if len(data) != size:
-                raise P.PackError("cut payload")
-            yield n, head[1:33].hex(), size, data
-            n += 1
+            stream = zstandard.ZstdDecompressor().stream_reader(P.Part(f, partition.length))
+            tag, n = self.dialect.tags[0], partition.first
+            while (head := stream.read(41)) and head[0] == tag and len(head) == 41:
+                size = int.from_bytes(head[33:], "little")
+                data = stream.read(size)
+                if len(data) != size:
+                    raise P.PackError("cut payload")
+                yield n, head[1:33].hex(), size, data
+                n += 1
 
 
 class PackSource(DataSource):
