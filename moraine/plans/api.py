@@ -355,14 +355,33 @@ def catalog(spark: SparkSession, path: str, dialect: P.Dialect = P.MORAINE) -> d
 
 
 def payloads(spark: SparkSession, path: str, dialect: P.Dialect = P.MORAINE) -> DataFrame:
-    """ord, h, size, bytes of a pack's payloads, a partition for each run of frames; executors read the file by range."""
-    from moraine.sources.pack_source import PackSource
-
-    spark.dataSource.register(PackSource)
-    reader = spark.read.format("moraine_pack").option("path", path)
-    for name in ("magic", "toc_magic", "trailer_magic"):
-        reader = reader.option(name, getattr(dialect, name).hex())
-    return reader.option("pack_format", dialect.format).load()
+    """ord, h, size, bytes of a pack's payloads, a partition for each run of frames; executors read the file by range.
+
+    These are the rows of format("moraine_pack"), without the Python processes that Spark starts beside the driver to plan a data source.
+    """
+    from moraine.sources.pack_source import frames, payloads_of
+
+    places, size = [], 0
+    for offset, length, first in frames(path, dialect):
+        places.append((offset, length, first, size // C.TASK_BYTES))
+        size += P.FRAME_LIMIT  # about what a frame unpacks to
+    schema = pa.schema([("ord", pa.int64()), ("h", pa.string()), ("size", pa.int64()), ("bytes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place in zip(*(batch.column(c).to_pylist() for c in ("offset", "length", "first"))):
+                held, size = [], 0
+                for row in payloads_of(path, *place, dialect):
+                    held.append(row)
+                    size += row[2] + 100
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    dealt = spark.createDataFrame(places, "offset long, length long, first long, task int").repartitionById(places[-1][3] + 1 if places else 1, "task")
+    return dealt.mapInArrow(run, "ord long, h string, size long, bytes binary")
 
 
 def verify(spark: SparkSession, path: str, dialect: P.Dialect = P.MORAINE) -> DataFrame:
