@@ -112,9 +112,10 @@ def mix(docs: DataFrame, weights: list[int] | None = None, repeats: int = 3, see
     shards = stored(shards.select("*", group, F.floor(F.col("length") * repeats / F.col("block")).alias("room")), "mix-shards")
     groups = shards.groupBy("source_key", "group", "source_quota").agg(F.sum("length").alias("length"), F.sum("room").alias("room"))
     groups = apportion(groups, F.col("length"), F.col("source_quota"), F.col("room"), ["source_key"], ["source_key", "group"])
-    groups = groups.select("source_key", "group", F.col("quota").alias("group_quota"))
+    # Written, as are the quotas of shards: apportioning reads its rows twice, and what is planned at once takes the driver's memory.
+    groups = stored(groups.select("source_key", "group", F.col("quota").alias("group_quota")), "mix-groups")
     shards = apportion(shards.join(groups, ["source_key", "group"]), F.col("length"), F.col("group_quota"), F.col("room"), ["source_key", "group"], ["source_key", "group", "shard"])
-    shards = shards.select(*by, "quota", "length")
+    shards = stored(shards.select(*by, "quota", "length"), "mix-quotas")
     rows = (with_size(F.struct(*docs.columns).alias("row")) if carry else sized).join(sources, "source_key").withColumn("shard", shard)
 
     order = Window.partitionBy(*by).orderBy("place", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)

@@ -882,3 +882,8 @@ def test_many_classes_of_an_anchor_are_compared_alike(spark):
     for x in substring_dup.stretches(frame, 24).where("not kept").collect():
         left[x.doc_id][x.start : x.start + x.n] = [None] * x.n
     assert {i: [x for x in w if x] for i, w in left.items()} == without_repeats_by_brute_force(dict(rows).items())
+
+
+def test_plan_of_the_mix_stays_small(spark, sf):
+    plan = mixing.repeated(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
